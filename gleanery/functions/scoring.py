@@ -58,19 +58,16 @@ def lexical_rank(summary: Column, terms: list[str], stemmed: bool = True) -> Col
     if not terms:
         return F.lit(0.0)
     if stemmed:
-        found = F.filter(stems(tokens(summary)), lambda t: t.isin(terms))
+        # A stem keeps the first letter of its word, so other words need no stemming.
+        initials = sorted({term[0] for term in terms})
+        likely = F.filter(tokens(summary), lambda t: F.substring(t, 1, 1).isin(initials))
+        found = F.filter(stems(likely), lambda t: t.isin(terms))
         return rank_of_hits(F.when(summary.isNotNull(), F.size(found)))
     word = TOKEN[:-1]
     pattern = f"(?<!{word})(?:{'|'.join(terms)})(?!{word})"
     return rank_of_hits(F.regexp_count(F.lower(summary), F.lit(pattern)))
 
 
-def lexical_rank_of(summary_terms: Column, terms: Column) -> Column:
-    """Rank from two term arrays."""
-    found = F.filter(summary_terms, lambda t: F.array_contains(terms, t))
-    return rank_of_hits(F.size(found))
-
-
 def _share(value: Column, maximum: Column) -> Column:
     return F.coalesce(F.try_divide(value, F.nullif(maximum, F.lit(0.0))), F.lit(0.0))
 

@@ -121,7 +121,7 @@ def stem(word: str) -> str:
     if word in IRREGULAR:
         return IRREGULAR[word]
     # A y that acts as a consonant is written Y until the end.
-    word = re.sub(r"^y|(?<=[aeiouy])y", "Y", word)
+    word = re.sub(r"([aeiouy])y", r"\1Y", re.sub(r"^y", "Y", word))
     r1, r2 = _region_starts(word)
     word = _strip_plural(word)
     if word in FINAL_SINGULARS:

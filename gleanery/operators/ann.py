@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.vectors import clamp_cosine, vector_block
-from gleanery.operators.batch_search import QUERIES_PER_PASS, _slices
+from gleanery.operators.batch_search import QUERIES_PER_PASS, query_slices
 from gleanery.operators.blocks import RunningBest, best_pairs, key_order, row_blocks
 
 BITS = 8
@@ -121,7 +121,7 @@ def vector_ann(
     key_type = index.schema[key].dataType.simpleString()
     found = spark.createDataFrame([], f"query_id {id_type}, {key} {key_type}, score double")
     asked = queries.where(F.col("query_vec").isNotNull()).select("query_id", "query_vec")
-    for rows in _slices(asked, queries_per_pass):
+    for rows in query_slices(asked, queries_per_pass):
         if not rows:
             continue
         vectors = np.array([row["query_vec"] for row in rows], dtype=np.float64)

@@ -207,11 +207,14 @@ def _thin(chunks: DataFrame, queries: QuerySlice, stemmed: bool) -> DataFrame:
         if all(wanted):
             chunks = chunks.where(F.col(name).isin(sorted(set(wanted))))
     words = tokens(F.col("summary"))
+    # A stem keeps the first letter of its word, so other words need no stemming.
+    initials = sorted({word[0] for word in queries.terms.words})
+    may_hit = lambda word: F.substring(word, 1, 1).isin(initials)
     thin = chunks.select(
         *NATURAL_KEY,
         "language",
         "summary_vec",
-        (stems(words) if stemmed else words).alias("all_words"),
+        (stems(F.filter(words, may_hit)) if stemmed else words).alias("all_words"),
         trigrams(F.col("path")).alias("all_grams"),
     )
     return thin.select(
@@ -242,13 +245,17 @@ def _search_slice(chunks: DataFrame, queries: QuerySlice, k: int, stemmed: bool)
     )
 
 
-def _slices(queries: DataFrame, per_pass: int) -> Iterator[list]:
-    """Rows of the query table in bounded slices, all of them in the end."""
-    total = queries.count()
-    parts = max(1, -(-total // per_pass))
-    for part in range(parts):
-        of_part = F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part
-        yield (queries.where(of_part) if parts > 1 else queries).collect()
+def query_slices(queries: DataFrame, per_pass: int) -> Iterator[list]:
+    """Rows of the query table in slices of at most ``per_pass``, all in the end."""
+    parts = max(1, -(-queries.count() // per_pass))
+    while True:
+        part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part")
+        fullest = queries.groupBy(part).count().agg(F.max("count")).first()[0] or 0
+        if fullest <= per_pass:
+            break
+        parts *= 2
+    for at in range(parts):
+        yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == at).collect()
 
 
 def batch_search(
@@ -274,7 +281,7 @@ def batch_search(
         "query_id", "query_text", "query_vec", *FILTERS
     )
     found = None
-    for rows in _slices(asked.where(F.lit(k > 0)), queries_per_pass):
+    for rows in query_slices(asked.where(F.lit(k > 0)), queries_per_pass):
         if not rows:
             continue
         part = QuerySlice.of(rows, stemmed)

@@ -25,7 +25,7 @@ def with_enrichment(delta: DataFrame, enriched: DataFrame) -> DataFrame:
 
 
 def upserted(incoming: DataFrame, stored: DataFrame, run_ts: datetime) -> DataFrame:
-    """The incoming rows as they stand after the upsert.
+    """The incoming rows as they stand after the upsert, with content if they have it.
 
     ``source_ref``, if present, names the ref a vector may be taken over from;
     all other old values come from the row itself. Old content is not read.
@@ -52,21 +52,23 @@ def upserted(incoming: DataFrame, stored: DataFrame, run_ts: datetime) -> DataFr
     now = F.lit(run_ts).cast("timestamp")
     given = F.nullif(F.col("summary"), F.lit(""))
     own = lambda column: F.when(conflict, F.col(column))
+    carried = [c for c in ("content",) if c in incoming.columns]
     return joined.select(
         F.coalesce(own("old_id"), F.col("id")).alias("id"),
         *NATURAL_KEY,
         "language",
         F.when(conflict, F.coalesce(given, "stored_summary")).otherwise(F.col("summary"))
         .alias("summary"),
-        "content",
+        *carried,
         F.coalesce("summary_vec", "stored_vec").alias("summary_vec"),
         "content_hash",
         F.coalesce(F.when(given.isNotNull(), now), own("stored_at")).alias("summarized_at"),
         F.when(conflict, F.col("stored_created")).otherwise(now).alias("created_at"),
-    ).select(CHUNK_COLUMNS)
+    )
 
 
 def upsert_chunks(incoming: DataFrame, stored: DataFrame, run_ts: datetime) -> DataFrame:
     """The whole table after the upsert; rows no longer delivered stay."""
     kept = stored.join(incoming.select(NATURAL_KEY), NATURAL_KEY, "left_anti")
-    return upserted(incoming, stored, run_ts).unionByName(kept.select(CHUNK_COLUMNS))
+    fresh = upserted(incoming, stored, run_ts).select(CHUNK_COLUMNS)
+    return fresh.unionByName(kept.select(CHUNK_COLUMNS))

@@ -17,7 +17,7 @@ from gleanery.sources.providers import ProviderSpec
 
 #: Rows of bare keys that are safe to broadcast.
 BROADCAST_KEYS = 200_000
-#: Repositories or pairs up to which a list of literals prunes partitions.
+#: Repositories up to which a list of literals prunes partitions.
 MAX_LISTED = 1_000
 
 
@@ -38,6 +38,13 @@ def run_index(
     return index_chunks(chunk_files(files), table, provider, run_ts, max_calls)
 
 
+def _flagged_content(staged: DataFrame, delta: DataFrame) -> DataFrame:
+    """Delta rows that need a provider, with their content."""
+    flagged = delta.where(F.col("need_summary") | F.col("need_embed")).drop("language")
+    content = staged.select(*NATURAL_KEY, "language", "content")
+    return content.join(_small(flagged), NATURAL_KEY)
+
+
 def index_chunks(
     chunks: DataFrame,
     table: ChunkTable,
@@ -45,30 +52,39 @@ def index_chunks(
     run_ts: datetime,
     max_calls: int | None = None,
 ) -> int:
-    """Index prepared chunks. Steps that are costly to repeat are written down."""
+    """Index prepared chunks.
+
+    Lookup, flags and merge run on keys, hashes and summaries; content joins at
+    the end, so it is shuffled once for the merge and once for the table layout.
+    What is costly to repeat (the scan, the flags, the provider's answers) is
+    written down on the way.
+    """
     if provider is not None and provider.dim != table.dim:
         raise ValueError(f"different vector dimensions: {provider.dim} and {table.dim}")
-    stored = table.load()
-    delta = materialize(index_delta(meta_lookup(chunks, stored)), "delta")
+    staged = materialize(chunks, "staged")
     pairs = [
         (row["repository"], row["ref"])
-        for row in delta.select("repository", "ref").distinct().collect()
+        for row in staged.select("repository", "ref").distinct().collect()
     ]
     if not pairs:
         return table.current_run()
-    enriched = materialize(enrich(delta, provider, max_calls), "enriched")
-    incoming = with_enrichment(delta, enriched)
-
-    # Vectors may come from other refs of the same repositories.
+    stored = table.load()
+    # Summaries and vectors may come from other refs of the same repositories.
     repositories = sorted({repository for repository, _ in pairs})
     if len(repositories) <= MAX_LISTED:
         stored = stored.where(F.col("repository").isin(repositories))
-    fresh = upserted(incoming, stored, run_ts)
+
+    thin = staged.drop("content")
+    delta = materialize(index_delta(meta_lookup(thin, stored)), "delta")
+    enriched = enrich(_flagged_content(staged, delta), provider, max_calls)
+    enriched = materialize(enriched, "enriched")
+    merged = upserted(with_enrichment(delta, enriched), stored, run_ts)
+    fresh = staged.select(*NATURAL_KEY, "content").join(merged, NATURAL_KEY)
 
     # Gone files of the touched partitions stay. Their keys are found without
     # reading content; few of them are then fetched without moving the rest.
     touched = table.load(within=pairs)
-    gone = touched.select(NATURAL_KEY).join(delta.select(NATURAL_KEY), NATURAL_KEY, "left_anti")
+    gone = touched.select(NATURAL_KEY).join(thin.select(NATURAL_KEY), NATURAL_KEY, "left_anti")
     gone = materialize(gone, "gone")
-    kept = touched.join(_small(gone), NATURAL_KEY, "left_semi").select(CHUNK_COLUMNS)
-    return table.save(fresh.unionByName(kept))
+    kept = touched.join(_small(gone), NATURAL_KEY, "left_semi")
+    return table.save(fresh.select(CHUNK_COLUMNS).unionByName(kept.select(CHUNK_COLUMNS)))

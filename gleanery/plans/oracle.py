@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gleanery.functions import stemmer
 from gleanery.functions.content import WHITE_SPACE
 from gleanery.functions.links import PAGE_SPACE
 from gleanery.functions.paths import LANGUAGES, SKIP_DIRECTORIES, SKIP_EXTENSIONS
@@ -141,18 +142,26 @@ queries AS (
 KEY = "repository, ref, path, line_start, line_end"
 
 
-def _scored(where: str) -> str:
+def _scored(where: str, stemmed: bool = False) -> str:
     """Terms, maxima and score of the flagship query."""
-    return f"""{CHUNKS},
+    before, joins = CHUNKS, ""
+    hits = f"len(list_filter({_tokens('summary')}, lambda t: t IN {_in(FLAGSHIP_TERMS)}))"
+    if stemmed:
+        before += f""",
+{_stemmed_words("SELECT doc_id, summary AS text FROM chunks")},
+summary_hits AS (
+  SELECT doc_id, count(*) AS hits FROM stemmed WHERE stem IN {_in(FLAGSHIP_STEMS)} GROUP BY doc_id
+)"""
+        joins, hits = "LEFT JOIN summary_hits USING (doc_id)", "coalesce(hits, 0)"
+    return f"""{before},
 terms AS (
   SELECT chunks.*,
          {_cosine('summary_vec', '(SELECT embedding FROM embeddings WHERE vec_id = 7)')} AS sem,
-         least(1.0, 0.4::DOUBLE * len(list_filter({_tokens('summary')},
-           lambda t: t IN {_in(_flagship_terms())}))) AS lex,
+         least(1.0, 0.4::DOUBLE * {hits}) AS lex,
          {_tri('path', "'doc_12.py'")} AS tri,
          {_bias('language', 'true')} AS bias,
          {_noise('path')} AS noise
-  FROM chunks WHERE {where}
+  FROM chunks {joins} WHERE {where}
 ),
 ranked AS (
   SELECT *, max(sem) OVER () AS max_sem, max(lex) OVER () AS max_lex, max(tri) OVER () AS max_tri
@@ -166,8 +175,123 @@ scored AS (
 )"""
 
 
-def _flagship_terms() -> list[str]:
-    return ["12", "attion", "bash", "doc", "eriner", "py", "script", "thnt", "tion"]
+# Terms of "bash script attion eriner tion thnt doc_12.py", plain and stemmed.
+FLAGSHIP_TERMS = ["12", "attion", "bash", "doc", "eriner", "py", "script", "thnt", "tion"]
+FLAGSHIP_STEMS = ["12", "attion", "bash", "doc", "erin", "py", "script", "thnt", "tion"]
+
+
+def _longest_ending(word: str, endings) -> str:
+    cases = " ".join(
+        f"WHEN ends_with({word}, '{e}') THEN '{e}'" for e in sorted(endings, key=len, reverse=True)
+    )
+    return f"CASE {cases} ELSE '' END"
+
+
+def _stemmed_words(texts: str) -> str:
+    """``stemmed(doc_id, nth, stem)``: the index terms of ``texts(doc_id, text)``.
+
+    The stemmer as a chain of set-wise steps over the distinct words.
+    """
+    def replaced(endings: dict) -> str:
+        return " ".join(f"WHEN '{e}' THEN '{r}'" for e, r in endings.items())
+
+    short_end = "([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$"
+    region = "^.*?[aeiouy][^aeiouy]"
+    irregular = ", ".join(f"('{w}', '{s}')" for w, s in stemmer.IRREGULAR.items())
+    return f"""texts AS ({texts}),
+all_words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS nth
+  FROM (SELECT doc_id, {_tokens('text')} AS w FROM texts)
+),
+kept_words AS (SELECT * FROM all_words WHERE word NOT IN {_in(STOP_WORDS)}),
+irregular(word, stem) AS (VALUES {irregular}),
+marked AS (
+  SELECT word, regexp_replace(regexp_replace(word, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS t
+  FROM (SELECT DISTINCT word FROM kept_words)
+  WHERE length(word) > 2 AND word NOT IN (SELECT word FROM irregular)
+),
+first_region AS (
+  SELECT *, CASE WHEN regexp_matches(t, '^(gener|commun|arsen)')
+      THEN length(regexp_extract(t, '^(gener|commun|arsen)'))
+    WHEN regexp_matches(t, '{region}') THEN length(regexp_extract(t, '{region}'))
+    ELSE length(t) END AS r1
+  FROM marked
+),
+regions AS (
+  SELECT *, CASE WHEN regexp_matches(substring(t, r1 + 1), '{region}')
+      THEN r1 + length(regexp_extract(substring(t, r1 + 1), '{region}'))
+    ELSE length(t) END AS r2
+  FROM first_region
+),
+singular AS (
+  SELECT * REPLACE (CASE
+      WHEN ends_with(t, 'sses') THEN left(t, length(t) - 2)
+      WHEN ends_with(t, 'ied') OR ends_with(t, 'ies')
+        THEN left(t, length(t) - CASE WHEN length(t) > 4 THEN 2 ELSE 1 END)
+      WHEN ends_with(t, 's') AND NOT ends_with(t, 'us') AND NOT ends_with(t, 'ss')
+        AND regexp_matches(left(t, length(t) - 2), '[aeiouy]') THEN left(t, length(t) - 1)
+      ELSE t END AS t)
+  FROM regions
+),
+verbs AS (
+  SELECT *, {_longest_ending('t', ('eed', 'eedly', 'ed', 'edly', 'ing', 'ingly'))} AS ending
+  FROM singular WHERE t NOT IN {_in(sorted(stemmer.FINAL_SINGULARS))}
+),
+bases AS (SELECT *, left(t, length(t) - length(ending)) AS base FROM verbs),
+plain AS (
+  SELECT word, r1, r2, CASE
+      WHEN ending IN ('eed', 'eedly') THEN CASE WHEN length(base) >= r1 THEN base || 'ee' ELSE t END
+      WHEN ending = '' OR NOT regexp_matches(base, '[aeiouy]') THEN t
+      WHEN regexp_matches(base, '(at|bl|iz)$') THEN base || 'e'
+      WHEN regexp_matches(base, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(base, length(base) - 1)
+      WHEN r1 >= length(base) AND regexp_matches(base, '{short_end}') THEN base || 'e'
+      ELSE base END AS t
+  FROM bases
+),
+with_i AS (
+  SELECT * REPLACE (regexp_replace(t, '(.[^aeiouy])[yY]$', '\\1i') AS t) FROM plain
+),
+two AS (SELECT *, {_longest_ending('t', stemmer.ROUND_TWO)} AS e FROM with_i),
+after_two AS (
+  SELECT word, r1, r2, CASE
+      WHEN e = '' OR length(t) - length(e) < r1 OR (e = 'ogi' AND NOT ends_with(t, 'logi'))
+        OR (e = 'li' AND NOT regexp_matches(t, '[cdeghkmnrt]li$')) THEN t
+      ELSE left(t, length(t) - length(e)) || CASE e {replaced(stemmer.ROUND_TWO)} END END AS t
+  FROM two
+),
+three AS (SELECT *, {_longest_ending('t', stemmer.ROUND_THREE)} AS e FROM after_two),
+after_three AS (
+  SELECT word, r1, r2, CASE
+      WHEN e = '' OR length(t) - length(e) < CASE e WHEN 'ative' THEN r2 ELSE r1 END THEN t
+      ELSE left(t, length(t) - length(e)) || CASE e {replaced(stemmer.ROUND_THREE)} END END AS t
+  FROM three
+),
+four AS (SELECT *, {_longest_ending('t', stemmer.ROUND_FOUR)} AS e FROM after_three),
+after_four AS (
+  SELECT word, r1, r2, CASE
+      WHEN e = '' OR length(t) - length(e) < r2
+        OR (e = 'ion' AND NOT regexp_matches(t, '[st]ion$')) THEN t
+      ELSE left(t, length(t) - length(e)) END AS t
+  FROM four
+),
+after_five AS (
+  SELECT word, CASE
+      WHEN ends_with(t, 'e') AND (length(t) > r2 OR (length(t) > r1
+        AND NOT regexp_matches(left(t, length(t) - 1), '{short_end}'))) THEN left(t, length(t) - 1)
+      WHEN ends_with(t, 'll') AND length(t) > r2 THEN left(t, length(t) - 1)
+      ELSE t END AS t
+  FROM after_four
+),
+stem_of AS (
+  SELECT word, replace(t, 'Y', 'y') AS stem FROM after_five
+  UNION ALL SELECT word, replace(t, 'Y', 'y') FROM singular
+    WHERE t IN {_in(sorted(stemmer.FINAL_SINGULARS))}
+  UNION ALL SELECT word, stem FROM irregular
+),
+stemmed AS (
+  SELECT doc_id, nth, coalesce(stem, word) AS stem
+  FROM kept_words LEFT JOIN stem_of USING (word)
+)"""
 
 
 ORDER = f"score DESC, sem DESC, {KEY}"
@@ -175,8 +299,8 @@ SEARCH_COLUMNS = f"""repository, ref, path, line_start, line_end, round(sem, 6)
   round(lex, 6) AS lex, round(tri, 6) AS tri, bias, noise, round(score, 6) AS score"""
 
 
-def _search(where: str, k: int) -> str:
-    return f"""WITH {_scored(where)}
+def _search(where: str, k: int, stemmed: bool = False) -> str:
+    return f"""WITH {_scored(where, stemmed)}
 SELECT {SEARCH_COLUMNS}, row_number() OVER (ORDER BY {ORDER}) AS rank
 FROM scored ORDER BY {ORDER} LIMIT {k}"""
 
@@ -501,9 +625,14 @@ def oracle_sql() -> dict[str, str]:
             FROM scored""",
         "sanitize_score": f"""SELECT doc_id, CASE WHEN score IS NULL OR isnan(score)
             OR isinf(score) THEN 0.0 ELSE round(score, 6) END AS score FROM ({SCORES})""",
-        "hybrid_search": _search(flagship, 10),
+        "hybrid_search": _search(flagship, 10, stemmed=True),
+        "hybrid_search_unstemmed": _search(flagship, 10),
         "analyze_text": f"""SELECT doc_id, len({_terms('text')}) AS terms,
             md5(array_to_string({_terms('text')}, ' ')) AS digest FROM documents""",
+        "analyze_text_stemmed": f"""WITH {_stemmed_words("SELECT doc_id, text FROM documents")}
+            SELECT doc_id, count(stem) AS terms,
+              md5(coalesce(string_agg(stem, ' ' ORDER BY nth), '')) AS digest
+            FROM documents LEFT JOIN stemmed USING (doc_id) GROUP BY doc_id""",
         "path_tokens": f"""WITH {PATHS} SELECT id, array_to_string(
             {_terms("regexp_replace(path, '[^A-Za-z0-9]+', ' ', 'g')")}, ' ') AS terms FROM paths""",
         "fielded_postings": f"""WITH {_positions()}
@@ -536,4 +665,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT repository, ref, path, 1 AS line_start, {LINES} AS line_end,
               sha1(text) AS content_hash, {_stub('path', 'text')} AS summary, {DIM} AS dim
             FROM final""",
+        "provider": f"""WITH {DELTA}, told AS (
+              SELECT *, CASE WHEN NOT need_summary THEN old_summary
+                WHEN length(path) % 2 = 1 THEN language || ' file ' || path
+                ELSE summary END AS new_summary
+              FROM delta WHERE need_summary OR need_embed)
+            SELECT {KEY}, new_summary AS summary,
+              CASE WHEN need_embed AND length(new_summary) % 5 <> 0
+                THEN length(new_summary)::DOUBLE END AS total
+            FROM told""",
     }

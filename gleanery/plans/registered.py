@@ -21,7 +21,7 @@ from gleanery.plans.index_job import index_chunks
 from gleanery.schema import CHUNK_COLUMNS, NATURAL_KEY
 from gleanery.session import new_scratch
 from gleanery.sources.chunk_table import ChunkTable
-from gleanery.sources.providers import make_provider
+from gleanery.sources.providers import make_provider, register_provider
 from gleanery.sources.tree import scan_jobs, scan_tree, write_tree
 from gleanery.streaming.index_stream import CHANGES, index_stream
 
@@ -250,8 +250,8 @@ def _delta(spark, folder) -> DataFrame:
     return index_delta(looked_up)
 
 
-def _enriched(spark, folder, provider: str = "stub") -> DataFrame:
-    return enrich(_delta(spark, folder), make_provider(provider, dim=corpus.DIM))
+def _enriched(spark, folder) -> DataFrame:
+    return enrich(_delta(spark, folder), make_provider("stub", dim=corpus.DIM))
 
 
 def q_summarize(spark, folder):
@@ -602,10 +602,31 @@ def q_index_stream(spark, folder):
     )
 
 
+class LengthProvider:
+    """A provider from outside: names files, and points vectors by length."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def summarize_batch(self, items):
+        # No answer for every second path: the caller falls back.
+        return [f"{lang} file {path}" if len(path) % 2 else None for path, lang, _ in items]
+
+    def embed_batch(self, texts):
+        vectors = []
+        for told in texts:
+            if len(told) % 5 == 0:
+                raise ValueError("refused")  # only this text is left without a vector
+            vectors.append([float(len(told)) if i == len(told) % self.dim else 0.0
+                            for i in range(self.dim)])
+        return vectors
+
+
 def q_provider(spark, folder):
-    """Hashed vectors of the summaries, as a provider plugged in by name."""
-    return _enriched(spark, folder, "hashing").select(
-        *NATURAL_KEY, F.size("new_vec").alias("dim"), _vec_sum("new_vec").alias("total")
+    register_provider("length", LengthProvider)
+    enriched = enrich(_delta(spark, folder), make_provider("length", dim=corpus.DIM))
+    return enriched.select(
+        *NATURAL_KEY, F.col("new_summary").alias("summary"), _vec_sum("new_vec").alias("total")
     )
 
 
@@ -669,8 +690,8 @@ def queries() -> dict[str, Query]:
         "noise_penalty": q_noise_penalty,
         "hybrid_score": q_hybrid_score,
         "sanitize_score": q_sanitize_score,
-        "hybrid_search": _searched(),
-        "hybrid_search_stemmed": _searched(stemmed=True),
+        "hybrid_search": _searched(stemmed=True),
+        "hybrid_search_unstemmed": _searched(),
         "analyze_text": _analyzed(stemmed=False),
         "analyze_text_stemmed": _analyzed(stemmed=True),
         "path_tokens": q_path_tokens,

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def build_session(app_name: str = "gleanery", master: str | None = None, **conf) -> SparkSession:
@@ -22,12 +26,25 @@ def build_session(app_name: str = "gleanery", master: str | None = None, **conf)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Rows with long content: smaller batches keep Python workers small.
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
     }
     settings.update({key.replace("_", "."): str(value) for key, value in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application."""
+    context = spark.sparkContext
+    if any(name.startswith("gleanery") for name in context._python_includes or []):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="gleanery-")) / package.name
+    context.addPyFile(shutil.make_archive(str(target), "zip", package.parent, package.name))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,6 +70,12 @@ def new_scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """A table without rows that the optimizer knows to be empty."""
+    columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+    return spark.range(1).where(F.lit(False)).select(columns)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.schema import CHUNK, CHUNK_COLUMNS
+from gleanery.session import empty
 
 _LIVE = "repository string, ref string, run int, folder string"
 
@@ -64,7 +65,7 @@ class ChunkTable:
             wanted = set(within)
             rows = [r for r in rows if (r["repository"], r["ref"]) in wanted]
         if not rows:
-            return self.spark.createDataFrame([], CHUNK)
+            return empty(self.spark, CHUNK)
         read = self.spark.read.schema(CHUNK).option("basePath", f"{self.path}/data")
         chunks = read.parquet(*[f"{self.path}/data/{r['folder']}" for r in rows])
         return chunks.withColumn("ref", F.coalesce("ref", F.lit(""))).select(CHUNK_COLUMNS)

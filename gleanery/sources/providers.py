@@ -1,20 +1,16 @@
 """Where summaries and embeddings come from.
 
-A provider works on batches inside tasks. Only the stub and a hashing embedder
-are built in; clients of hosted models register from outside.
+A provider works on batches inside tasks. Only the stub is built in; clients of
+hosted models register from outside.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
-import numpy as np
-
 from gleanery.functions.content import STUB_LINES, STUB_MIN_BYTES, WHITE_SPACE
-from gleanery.functions.text import local_terms
 
 # Vector lengths of known embedding models, and per provider.
 MODEL_DIMS = {
@@ -58,23 +54,8 @@ class StubProvider:
         return f"Code file: {path}"
 
 
-class HashingProvider(StubProvider):
-    """Stub summaries with hashed bag-of-words vectors, for trials without a model."""
-
-    def embed_batch(self, texts):
-        return [self._vector(text) for text in texts]
-
-    def _vector(self, text: str) -> list[float]:
-        vector = np.zeros(self.dim, dtype=np.float32)
-        for term in local_terms(text):
-            digest = hashlib.md5(term.encode()).digest()
-            vector[int.from_bytes(digest[:4], "big") % self.dim] += 1 if digest[4] & 1 else -1
-        return vector.tolist()
-
-
 _FACTORIES: dict[str, Callable[..., Provider]] = {
     "stub": StubProvider,
-    "hashing": HashingProvider,
 }
 _HOSTED = ("openai", "vertexai")
 

@@ -25,8 +25,9 @@ LOCAL_REPOSITORY = "local"
 
 #: Entries one task lists before it hands its remaining folders back.
 LIST_BUDGET = 20_000
-#: Bytes of file content per batch sent from a reading task.
+#: Bytes of file content per batch sent from a reading task, and per task.
 BATCH_BYTES = 32 << 20
+TASK_BYTES = 256 << 20
 
 _LISTING = "repository string, ref string, root string, path string, is_dir boolean, size long"
 _MARKERS = tuple(f"/{d}/" for d in SKIP_DIRECTORIES)
@@ -164,8 +165,11 @@ def scan_jobs(jobs: DataFrame, keep_unreadable: bool = False) -> DataFrame:
         "root",
     )
     wanted = list_files(jobs).where(~should_skip(F.col("path")))
-    # Large files would pile up in one task if files stayed in listing order.
-    spread = wanted.repartition("path").select("repository", "ref", "root", "path")
+    # As many tasks as the content needs, not the few that would hold the bare
+    # paths; hashing the path keeps the large files of one folder apart.
+    total = wanted.agg(F.sum("size")).first()[0] or 0
+    tasks = max(jobs.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    spread = wanted.repartition(tasks, "path").select("repository", "ref", "root", "path")
     files = spread.mapInArrow(_read_files, FILES)
     return files if keep_unreadable else files.where(F.col("content").isNotNull())
 
