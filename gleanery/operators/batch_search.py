@@ -45,13 +45,15 @@ class Vocabulary:
         for query, words in enumerate(words_of):
             for w in words:
                 holders[at[w]].append(query)
-        self.starts = np.cumsum([0] + [len(h) for h in holders])
+        # The last entry stands for words no query holds.
+        self.starts = np.cumsum([0] + [len(h) for h in holders] + [0])
         self.members = np.array([q for h in holders for q in h], dtype=np.int64)
 
     def hits(self, lists: pa.Array) -> np.ndarray:
         """Rows x queries: how many entries of the row's list the query holds."""
         lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
-        words = np.asarray(pc.index_in(lists.flatten(), value_set=pa.array(self.words, pa.string())))
+        known = pc.index_in(lists.flatten(), value_set=pa.array(self.words, pa.string()))
+        words = np.asarray(pc.fill_null(known, len(self.words)))
         rows = np.repeat(np.arange(len(lists)), lengths)
         counts = self.starts[words + 1] - self.starts[words]
         offsets = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
