@@ -54,7 +54,9 @@ def _enrich_rows(provider, rows: list[dict]) -> list[dict]:
     if provider:
         vectors = _each(provider.embed_batch, [r["new_summary"] for r in asked])
         for row, vector in zip(asked, vectors, strict=True):
-            row["new_vec"] = vector
+            # The table cannot hold a vector of another length.
+            fits = vector is not None and len(vector) == provider.dim
+            row["new_vec"] = vector if fits else None
     return rows
 
 

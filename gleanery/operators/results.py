@@ -17,7 +17,12 @@ def clamp_limit(k: Column) -> Column:
 
 
 def flat_results(results: DataFrame) -> DataFrame:
-    """One flat row per result; the preview is the full content."""
+    """One flat row per result; the preview is the full content.
+
+    Rows that are flat already stay as they are.
+    """
+    if "chunk" not in results.columns:
+        return results
     others = [c for c in results.columns if c not in ("chunk", "score")]
     return results.select(
         *others,
@@ -33,11 +38,18 @@ def flat_results(results: DataFrame) -> DataFrame:
     )
 
 
+def _rfc3339(time: Column) -> Column:
+    """Time as text, without trailing zeros in the fraction."""
+    text = F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    return F.regexp_replace(text, r"\.?0*(Z|[+-]\d\d:\d\d)\z", "$1")
+
+
 def search_json(results: DataFrame) -> DataFrame:
     """Results as JSON objects, one per row, with finite scores."""
     others = [c for c in results.columns if c not in ("chunk", "score")]
-    packed = F.struct(F.col("chunk"), sanitize_score(F.col("score")).alias("score"))
-    options = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    chunk = F.col("chunk").withField("created_at", _rfc3339(F.col("chunk.created_at")))
+    packed = F.struct(chunk.alias("chunk"), sanitize_score(F.col("score")).alias("score"))
+    options = {"ignoreNullFields": "false"}
     return results.select(*others, F.to_json(packed, options).alias("result"))
 
 

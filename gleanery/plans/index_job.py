@@ -11,7 +11,7 @@ from gleanery.operators.delta import chunk_files, index_delta, meta_lookup
 from gleanery.operators.enrich import enrich
 from gleanery.operators.merge import upserted, with_enrichment
 from gleanery.schema import CHUNK_COLUMNS, NATURAL_KEY
-from gleanery.session import materialize
+from gleanery.session import delete_folder, materialize, new_scratch
 from gleanery.sources.chunk_table import ChunkTable
 from gleanery.sources.providers import ProviderSpec
 
@@ -61,7 +61,23 @@ def index_chunks(
     """
     if provider is not None and provider.dim != table.dim:
         raise ValueError(f"different vector dimensions: {provider.dim} and {table.dim}")
-    staged = materialize(chunks, "staged")
+    spark = table.spark
+    scratch = new_scratch(spark, "index")
+    try:
+        return _index(chunks, table, provider, run_ts, max_calls, scratch)
+    finally:
+        delete_folder(spark, scratch)
+
+
+def _index(
+    chunks: DataFrame,
+    table: ChunkTable,
+    provider: ProviderSpec | None,
+    run_ts: datetime,
+    max_calls: int | None,
+    scratch: str,
+) -> int:
+    staged = materialize(chunks, "staged", scratch)
     pairs = [
         (row["repository"], row["ref"])
         for row in staged.select("repository", "ref").distinct().collect()
@@ -75,9 +91,9 @@ def index_chunks(
         stored = stored.where(F.col("repository").isin(repositories))
 
     thin = staged.drop("content")
-    delta = materialize(index_delta(meta_lookup(thin, stored)), "delta")
+    delta = materialize(index_delta(meta_lookup(thin, stored)), "delta", scratch)
     enriched = enrich(_flagged_content(staged, delta), provider, max_calls)
-    enriched = materialize(enriched, "enriched")
+    enriched = materialize(enriched, "enriched", scratch)
     merged = upserted(with_enrichment(delta, enriched), stored, run_ts)
     fresh = staged.select(*NATURAL_KEY, "content").join(merged, NATURAL_KEY)
 
@@ -85,6 +101,6 @@ def index_chunks(
     # reading content; few of them are then fetched without moving the rest.
     touched = table.load(within=pairs)
     gone = touched.select(NATURAL_KEY).join(thin.select(NATURAL_KEY), NATURAL_KEY, "left_anti")
-    gone = materialize(gone, "gone")
+    gone = materialize(gone, "gone", scratch)
     kept = touched.join(_small(gone), NATURAL_KEY, "left_semi")
     return table.save(fresh.select(CHUNK_COLUMNS).unionByName(kept.select(CHUNK_COLUMNS)))

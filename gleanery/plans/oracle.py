@@ -505,7 +505,7 @@ def oracle_sql() -> dict[str, str]:
             FROM files WHERE NOT {_skip(f"'{TREE_ROOT}/' || path")}""",
         "load_chunks": f"""WITH {CHUNKS} SELECT id, repository, ref, path, language, summary,
             sha1(content) AS content_hash, line_start, line_end, {FIRST_RUN} AS created_at
-            FROM chunks WHERE repository = 'src0'""",
+            FROM chunks""",
         "save_chunks": f"""WITH {CHUNKS} SELECT repository, ref, count(*) AS chunks,
             count(summary_vec) AS vectors, sum(line_end)::BIGINT AS lines
             FROM chunks GROUP BY ALL""",

@@ -99,7 +99,7 @@ def _saved(spark, folder) -> ChunkTable:
 
 
 def q_load_chunks(spark, folder):
-    return _saved(spark, folder).load(repository="src0").select(
+    return _saved(spark, folder).load().select(
         "id", "repository", "ref", "path", "language", "summary",
         F.sha1("content").alias("content_hash"), "line_start", "line_end", _seconds("created_at"),
     )

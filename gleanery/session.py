@@ -76,12 +76,18 @@ def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.range(1).where(F.lit(False)).select(columns)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage in a way that survives lost executors.
     """
     spark = df.sparkSession
-    path = new_scratch(spark, name)
+    path = f"{folder}/{name}" if folder else new_scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder this program made, on whatever file system it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

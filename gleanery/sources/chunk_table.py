@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.schema import CHUNK, CHUNK_COLUMNS
-from gleanery.session import empty
+from gleanery.session import delete_folder, empty
 
 _LIVE = "repository string, ref string, run int, folder string"
 
@@ -91,6 +91,18 @@ class ChunkTable:
         self._publish(run, [f for f in folders if "/ref=" in f])
         return run
 
+    def drop_old_runs(self, keep: int = 2) -> None:
+        """Delete what no list of the newest ``keep`` runs names any more."""
+        runs = sorted(int(p.split("/run=")[-1].split("/")[0]) for p in self._glob("live/run=*/_SUCCESS"))
+        recent = runs[-max(1, keep):]
+        live = {r["folder"] for run in recent for r in self.live_partitions(run).collect()}
+        for run in runs[: -max(1, keep)]:
+            delete_folder(self.spark, f"{self.path}/live/run={run}")
+        for path in self._glob("data/run=*/*/ref=*"):
+            run = int(path.split("/data/run=")[-1].split("/")[0])
+            if run <= recent[-1] and path.split("/data/")[-1] not in live:
+                delete_folder(self.spark, path)
+
     def _publish(self, run: int, folders: list[str]) -> None:
         written = self.spark.createDataFrame(
             [(*_partition_values(f), run, f) for f in folders], _LIVE

@@ -155,8 +155,11 @@ def scan_jobs(jobs: DataFrame, keep_unreadable: bool = False) -> DataFrame:
 
     Skipped files are never opened. A job without a repository is a local tree:
     its repository is ``local`` and its ref the last element of its root.
-    Unreadable files are left out, or kept with null content on request.
+    Unreadable files are left out, or kept with null content on request. Jobs
+    with a false ``enabled`` are left out too.
     """
+    if "enabled" in jobs.columns:
+        jobs = jobs.where(F.coalesce("enabled", F.lit(True)))
     named = F.coalesce(F.nullif(F.col("repository"), F.lit("")), F.lit(LOCAL_REPOSITORY))
     ref = F.coalesce(F.col("ref"), F.lit(""))
     jobs = jobs.select(

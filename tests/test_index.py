@@ -1,3 +1,4 @@
+import json
 from datetime import UTC, datetime
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from gleanery.operators import catalog
 from gleanery.operators.delta import chunk_files, index_delta, meta_lookup, unstorable_files
 from gleanery.operators.enrich import enrich
+from gleanery.plans import search_service
 from gleanery.plans.index_job import run_index
 from gleanery.schema import CHUNK_COLUMNS, FILES, NATURAL_KEY
 from gleanery.session import new_scratch
@@ -233,3 +235,27 @@ def test_natural_key_is_unique(spark, table):
     run_index(files(spark, FIRST), table, STUB, DAY[0])
     run_index(files(spark, FIRST), table, STUB, DAY[1])
     assert table.load().groupBy(*NATURAL_KEY).count().where("count > 1").count() == 0
+
+
+def test_old_runs_are_dropped(spark, table):
+    for day in range(4):
+        run_index(files(spark, {"a": str(day).encode()}, "r1"), table, STUB, DAY[day])
+    run_index(files(spark, {"a": b"x"}, "r2"), table, STUB, DAY[4])
+    before = stored(table, repository="r1"), stored(table, repository="r2")
+    table.drop_old_runs(keep=1)
+    assert (stored(table, repository="r1"), stored(table, repository="r2")) == before
+    assert len(table._glob("data/run=*/*/ref=*")) == 2
+    assert table.current_run() == 5
+
+
+def test_search_service(spark, table):
+    run_index(files(spark, FIRST), table, COUNTING, DAY[0])
+    with pytest.raises(ValueError, match="missing query"):
+        search_service.search(table, "", COUNTING)
+    assert search_service.search(table, "  ", COUNTING).count() == 0
+    found = search_service.search(table, "main.go", COUNTING, k="2", ref="main").orderBy("rank")
+    assert [r["chunk"]["path"] for r in found.collect()][0] == "main.go"
+    body = json.loads(search_service.search_body(table, "main.go", COUNTING).first()["body"])
+    assert len(body) == 4 and body[0]["chunk"]["created_at"] == "2026-03-01T00:00:00Z"
+    assert [r[0] for r in search_service.repositories(table).collect()] == ["r"]
+    assert [r[0] for r in search_service.refs(table, "r").collect()] == ["main"]
