@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleanery.functions.text import TOKEN, stems, tokens
+from gleanery.functions.text import TOKEN, initials_of, stems, tokens_starting
 
 # Weights and word lists of the ranking.
 SEMANTIC_WEIGHT = 0.80
@@ -58,9 +58,7 @@ def lexical_rank(summary: Column, terms: list[str], stemmed: bool = True) -> Col
     if not terms:
         return F.lit(0.0)
     if stemmed:
-        # A stem keeps the first letter of its word, so other words need no stemming.
-        initials = sorted({term[0] for term in terms})
-        likely = F.filter(tokens(summary), lambda t: F.substring(t, 1, 1).isin(initials))
+        likely = tokens_starting(summary, initials_of(terms))
         found = F.filter(stems(likely), lambda t: t.isin(terms))
         return rank_of_hits(F.when(summary.isNotNull(), F.size(found)))
     word = TOKEN[:-1]

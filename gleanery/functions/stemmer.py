@@ -113,7 +113,7 @@ def _final_letter(word: str, r1: int, r2: int) -> str:
     return word
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=500_000)
 def stem(word: str) -> str:
     """Stem of one lower-case word."""
     if len(word) <= 2:

@@ -34,6 +34,19 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def tokens_starting(text: Column, initials: str) -> Column:
+    """The tokens that start with one of some letters or digits."""
+    word = TOKEN[:-1]
+    pattern = f"(?<!{word})[{initials}]{word}*"
+    return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
+
+
+def initials_of(terms: list[str]) -> str:
+    """First letters of terms. A stem keeps the first letter of its word, so no
+    word with another one can match."""
+    return "".join(sorted({term[0] for term in terms}))
+
+
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _stem_batch(batch: pa.Array) -> pa.Array:
     encoded = batch.flatten().dictionary_encode()

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.functions.text import tokens
 
-#: Above this many query trigrams, one array intersection beats single tests.
-MAX_SINGLE_TESTS = 48
+_BLANK = ord(" ")
 
 
 def trigrams(text: Column) -> Column:
@@ -44,21 +46,46 @@ def trigram_sim(left: Column, right: Column) -> Column:
     return F.coalesce(_jaccard(F.size(F.array_intersect(a, b)), F.size(a), F.size(b)), F.lit(0.0))
 
 
-def trigram_sim_to(path: Column, token: str) -> Column:
-    """``trigram_sim`` against one known token.
+def padded_words(text: Column) -> Column:
+    """Lower-case words with the blanks their trigrams need around them."""
+    words = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "   ")
+    return F.concat(F.lit("  "), words, F.lit(" "))
+
+
+def trigram_codes(padded: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code) of the distinct trigrams of each row, from ``padded_words``."""
+    texts = padded.fill_null("").to_pylist()
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    first, second, third = points[:-2], points[1:-1], points[2:]
+    # Three characters in a row that lie in one text and in one padded word.
+    in_word = (second != _BLANK) | ((first == _BLANK) & (third != _BLANK))
+    kept = in_word & (rows[:-2] == rows[2:])
+    rows = rows[:-2][kept]
+    codes = ((first << 42) | (second << 21) | third)[kept]
+    order = np.lexsort((codes, rows))
+    rows, codes = rows[order], codes[order]
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (np.diff(rows) != 0) | (np.diff(codes) != 0)
+    return rows[new], codes[new]
+
+
+def code_of(trigram: str) -> int:
+    first, second, third = map(ord, trigram)
+    return (first << 42) | (second << 21) | third
 
-    Counts the shared trigrams with plain substring tests on the padded path,
-    so that the set of all its trigrams is built only where one is shared.
-    """
-    wanted = local_trigrams(token)
-    if not wanted:
+
+def trigram_sim_to(path: Column, token: str) -> Column:
+    """``trigram_sim`` against one known token, computed by blocks of rows."""
+    wanted = np.array([code_of(t) for t in local_trigrams(token)], dtype=np.int64)
+    if not len(wanted):
         return F.lit(0.0)
-    if len(wanted) > MAX_SINGLE_TESTS:
-        shared = F.size(F.array_intersect(trigrams(path), F.array(*map(F.lit, wanted))))
-    else:
-        padded = F.concat(
-            F.lit("  "), F.regexp_replace(F.lower(path), r"[^\p{L}\p{N}]+", "   "), F.lit(" ")
-        )
-        shared = sum((F.contains(padded, F.lit(t)).cast("int") for t in wanted), F.lit(0))
-    sim = _jaccard(shared, F.size(trigrams(path)), F.lit(len(wanted)))
-    return F.coalesce(sim, F.lit(0.0))
+
+    @F.arrow_udf(T.DoubleType())
+    def similarity(padded: pa.Array) -> pa.Array:
+        rows, codes = trigram_codes(padded)
+        sizes = np.bincount(rows, minlength=len(padded))
+        shared = np.bincount(rows[np.isin(codes, wanted)], minlength=len(padded))
+        return pa.array(shared / (sizes + len(wanted) - shared))
+
+    return similarity(padded_words(path))

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import scoring
 from gleanery.functions.content import WHITE_SPACE, trim_space
-from gleanery.functions.text import local_longest_token, local_terms, stems, tokens
-from gleanery.functions.trigrams import local_trigrams, trigrams
+from gleanery.functions.stemmer import stem
+from gleanery.functions.text import initials_of, local_longest_token, local_terms, tokens_starting
+from gleanery.functions.trigrams import code_of, local_trigrams, padded_words, trigram_codes
 from gleanery.functions.vectors import clamp_cosine, vector_block
 from gleanery.operators.blocks import RunningBest, best_pairs, key_order, row_blocks
 from gleanery.operators.search import DEFAULT_K, best_first
@@ -34,33 +35,49 @@ TERMS = ["sem", "lex", "tri"]
 
 
 class Vocabulary:
-    """Words of all queries, and which queries hold each."""
+    """Words (or codes of words) of all queries, and which queries hold each."""
 
-    def __init__(self, words_of: list[list[str]]):
+    def __init__(self, words_of: list[list]):
         self.words = sorted({w for words in words_of for w in words})
         self.queries = len(words_of)
         self.sizes = np.array([len(words) for words in words_of])
-        at = {w: i for i, w in enumerate(self.words)}
+        self.number = {w: i for i, w in enumerate(self.words)}
         holders: list[list[int]] = [[] for _ in self.words]
         for query, words in enumerate(words_of):
             for w in words:
-                holders[at[w]].append(query)
+                holders[self.number[w]].append(query)
         # The last entry stands for words no query holds.
         self.starts = np.cumsum([0] + [len(h) for h in holders] + [0])
         self.members = np.array([q for h in holders for q in h], dtype=np.int64)
 
-    def hits(self, lists: pa.Array) -> np.ndarray:
-        """Rows x queries: how many entries of the row's list the query holds."""
-        lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
-        known = pc.index_in(lists.flatten(), value_set=pa.array(self.words, pa.string()))
-        words = np.asarray(pc.fill_null(known, len(self.words)))
-        rows = np.repeat(np.arange(len(lists)), lengths)
+    def hits(self, rows: np.ndarray, words: np.ndarray, height: int) -> np.ndarray:
+        """Rows x queries: how many of the row's word numbers the query holds."""
+        known = words < len(self.words)
+        rows, words = rows[known], words[known]
         counts = self.starts[words + 1] - self.starts[words]
         offsets = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         queries = self.members[np.repeat(self.starts[words], counts) + offsets]
         cells = np.repeat(rows, counts) * self.queries + queries
-        shape = (len(lists), self.queries)
-        return np.bincount(cells, minlength=shape[0] * shape[1]).reshape(shape)
+        return np.bincount(cells, minlength=height * self.queries).reshape(height, self.queries)
+
+    def word_hits(self, lists: pa.Array, stemmed: bool) -> np.ndarray:
+        """``hits`` for lists of words, each distinct word looked up once."""
+        lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+        encoded = lists.flatten().dictionary_encode()
+        unknown = len(self.words)
+        numbers = [
+            self.number.get(stem(w) if stemmed else w, unknown)
+            for w in encoded.dictionary.to_pylist()
+        ]
+        words = np.array(numbers, dtype=np.int64)[np.asarray(encoded.indices)]
+        return self.hits(np.repeat(np.arange(len(lists)), lengths), words, len(lists))
+
+    def code_hits(self, rows: np.ndarray, codes: np.ndarray, height: int) -> np.ndarray:
+        """``hits`` for the sorted integer codes of the vocabulary."""
+        known = np.array(self.words, dtype=np.int64)
+        at = np.searchsorted(known, codes)
+        found = np.append(known, -1)[at] == codes
+        return self.hits(rows, np.where(found, at, len(known)), height)
 
 
 def _like_regex(fragment: str) -> re.Pattern:
@@ -83,6 +100,7 @@ class QuerySlice:
 
     ids: list
     filters: list[dict[str, str]]
+    stemmed: bool
     terms: Vocabulary
     grams: Vocabulary
     asks: np.ndarray
@@ -103,8 +121,11 @@ class QuerySlice:
         return cls(
             ids=[row["query_id"] for row in rows],
             filters=[{f: row[f] for f in FILTERS if row[f]} for row in rows],
+            stemmed=stemmed,
             terms=Vocabulary([local_terms(t, stemmed) for t in texts]),
-            grams=Vocabulary([local_trigrams(local_longest_token(t)) for t in texts]),
+            grams=Vocabulary(
+                [[code_of(g) for g in local_trigrams(local_longest_token(t))] for t in texts]
+            ),
             asks=np.array([any(w in t.lower() for w in scoring.SCRIPT_WORDS) for t in texts]),
             vectors=matrix,
             has_vector=np.array([v is not None for v in vectors]),
@@ -128,7 +149,7 @@ class QuerySlice:
         return mask
 
     def score_terms(self, block: pa.RecordBatch) -> dict[str, np.ndarray]:
-        shape = (block.num_rows, len(self.ids))
+        shape = (len(block), len(self.ids))
         sem = np.zeros(shape)
         if self.vectors is not None:
             present, rows = vector_block(block["summary_vec"], self.vectors.shape[1])
@@ -139,9 +160,12 @@ class QuerySlice:
             )
             sem[present] = clamp_cosine(rows @ self.vectors.T, norms)
             sem[:, ~self.has_vector] = 0.0
-        lex = np.minimum(1.0, scoring.TERM_WEIGHT * self.terms.hits(block["words"]))
-        shared = self.grams.hits(block["grams"])
-        union = np.asarray(block["gram_count"])[:, None] + self.grams.sizes[None, :] - shared
+        word_hits = self.terms.word_hits(block["words"], self.stemmed)
+        lex = np.minimum(1.0, scoring.TERM_WEIGHT * word_hits)
+        rows, codes = trigram_codes(block["padded_path"])
+        shared = self.grams.code_hits(rows, codes, len(block))
+        sizes = np.bincount(rows, minlength=len(block))
+        union = sizes[:, None] + self.grams.sizes[None, :] - shared
         tri = np.divide(shared, union, out=np.zeros(shape), where=shared > 0)
         bias = np.asarray(block["bias"])[:, None] * self.asks[None, :]
         noise = np.broadcast_to(np.asarray(block["noise"])[:, None], shape)
@@ -202,37 +226,27 @@ def _task_best(queries: QuerySlice, maxima: np.ndarray, k: int):
     return run
 
 
-def _thin(chunks: DataFrame, queries: QuerySlice, stemmed: bool) -> DataFrame:
-    """The columns scoring needs; word lists are cut to the words asked for."""
+def _thin(chunks: DataFrame, queries: QuerySlice) -> DataFrame:
+    """The columns scoring needs, without words that no query can hold."""
     for name in ("repository", "ref", "language"):
         wanted = [f.get(name) for f in queries.filters]
         if all(wanted):
             chunks = chunks.where(F.col(name).isin(sorted(set(wanted))))
-    words = tokens(F.col("summary"))
-    # A stem keeps the first letter of its word, so other words need no stemming.
-    initials = sorted({word[0] for word in queries.terms.words})
-    may_hit = lambda word: F.substring(word, 1, 1).isin(initials)
-    thin = chunks.select(
-        *NATURAL_KEY,
-        "language",
-        "summary_vec",
-        (stems(F.filter(words, may_hit)) if stemmed else words).alias("all_words"),
-        trigrams(F.col("path")).alias("all_grams"),
-    )
-    return thin.select(
+    initials = initials_of(queries.terms.words)
+    words = tokens_starting(F.col("summary"), initials) if initials else F.array().cast("array<string>")
+    return chunks.select(
         *NATURAL_KEY,
         "language",
         "summary_vec",
-        F.filter("all_words", lambda w: w.isin(queries.terms.words)).alias("words"),
-        F.filter("all_grams", lambda g: g.isin(queries.grams.words)).alias("grams"),
-        F.size("all_grams").alias("gram_count"),
+        words.alias("words"),
+        padded_words(F.col("path")).alias("padded_path"),
         scoring.script_bias(F.col("language"), True).alias("bias"),
         scoring.noise_penalty(F.col("path")).alias("noise"),
     )
 
 
-def _search_slice(chunks: DataFrame, queries: QuerySlice, k: int, stemmed: bool) -> DataFrame:
-    thin = _thin(chunks, queries, stemmed)
+def _search_slice(chunks: DataFrame, queries: QuerySlice, k: int) -> DataFrame:
+    thin = _thin(chunks, queries)
     maxima = np.zeros((len(TERMS), len(queries.ids)))
     partial = thin.mapInArrow(
         _task_maxima(queries), "query int, sem double, lex double, tri double"
@@ -290,7 +304,7 @@ def batch_search(
         ids = chunks.sparkSession.createDataFrame(
             list(enumerate(part.ids)), f"query int, query_id {id_type}"
         )
-        best = _search_slice(chunks, part, k, stemmed).join(F.broadcast(ids), "query")
+        best = _search_slice(chunks, part, k).join(F.broadcast(ids), "query")
         found = best if found is None else found.unionByName(best)
     if found is None:
         return chunks.sparkSession.createDataFrame(

@@ -71,7 +71,8 @@ def _group(block: pa.RecordBatch, stemmed: bool) -> pa.RecordBatch:
         weights.append(np.full(len(at), weight))
         np.maximum.at(ends, at, positions[-1])
     row, term, position, weight = map(np.concatenate, (rows, terms, positions, weights))
-    order = np.lexsort((position, term, row))
+    # Fields and words come in order, so equal keys keep theirs in a stable sort.
+    order = np.argsort(row * max(1, len(vocabulary)) + term, kind="stable")
     row, term, position, weight = row[order], term[order], position[order], weight[order]
     changes = (np.diff(row) != 0) | (np.diff(term) != 0)
     starts = np.concatenate([np.zeros(min(1, len(row)), np.int64), np.nonzero(changes)[0] + 1])

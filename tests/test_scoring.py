@@ -19,13 +19,15 @@ def test_trigram_sim(column):
             pytest.approx([expected])
 
 
-def test_long_token_takes_the_set_path(column):
+def test_trigrams_of_odd_texts(column):
     token = "".join(chr(97 + (i * 7 + i // 5) % 26) for i in range(120))
-    assert len(trigrams.local_trigrams(token)) > trigrams.MAX_SINGLE_TESTS
-    rows = [(token,), (token[:60] + "/x",), ("zz",)]
-    fast = column(rows, "p string", trigrams.trigram_sim_to(F.col("p"), token))
-    slow = column(rows, "p string", trigrams.trigram_sim(F.col("p"), F.lit(token)))
-    assert fast == slow and fast[0] == 1.0
+    rows = [(token,), (token[:60] + "/x",), ("zz",), ("",), (None,), ("//--",), ("été/ÑAN_a 1",),
+            ("😀a𝒳b",), ("a" * 500,)]
+    for other in (token, "a", "nan_1", "aaa"):
+        fast = column(rows, "p string", trigrams.trigram_sim_to(F.col("p"), other))
+        slow = column(rows, "p string", trigrams.trigram_sim(F.col("p"), F.lit(other)))
+        assert fast == slow
+    assert column(rows, "p string", trigrams.trigram_sim_to(F.col("p"), "--")) == [0.0] * len(rows)
 
 
 VECTORS = [([1.0, 0.0],), ([0.0, 2.0],), ([-1.0, 0.0],), ([3.0, 4.0],), ([0.0, 0.0],), (None,)]

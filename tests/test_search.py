@@ -139,11 +139,18 @@ def test_like_regex_agrees_with_ilike(column):
 
 
 def test_vocabulary_counts_repeats():
+    import numpy as np
     import pyarrow as pa
 
     words = Vocabulary([["a", "b"], ["b"], []])
     lists = pa.array([["b", "b", "a"], [], None, ["zz", "a"]], pa.list_(pa.string()))
-    assert words.hits(lists).tolist() == [[3, 2, 0], [0, 0, 0], [0, 0, 0], [1, 0, 0]]
+    assert words.word_hits(lists, False).tolist() == [[3, 2, 0], [0, 0, 0], [0, 0, 0], [1, 0, 0]]
+    codes = Vocabulary([[5, 9], [9]])
+    rows = np.array([0, 0, 1, 2])
+    assert codes.code_hits(rows, np.array([5, 9, 7, 99]), 3).tolist() == [[2, 1], [0, 0], [0, 0]]
+    nothing = Vocabulary([[], []])
+    assert nothing.code_hits(rows, rows, 3).tolist() == [[0, 0]] * 3
+    assert nothing.word_hits(lists, True).tolist() == [[0, 0]] * 4
 
 
 def _executed(frame) -> str:
@@ -155,7 +162,7 @@ def test_plan_reads_vectors_once_and_no_content(spark, small):
     table = ChunkTable(spark, new_scratch(spark, "plan"), corpus.DIM)
     table.save(corpus.chunks(spark, small))
     query = corpus.flagship_query(spark, small)
-    plan = _executed(hybrid_search(table.load(), query)).split("Initial Plan")[0]
+    plan = _executed(hybrid_search(table.load(), query))
     assert "ReusedExchange" in plan
     assert "content" not in plan
     assert re.search(r"PartitionFilters: \[.*main", plan)
