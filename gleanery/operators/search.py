@@ -180,13 +180,14 @@ def hybrid_search(chunks: DataFrame, query: SearchQuery) -> DataFrame:
 def attach_chunks(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     """Search results ``(chunk, score, rank)``: content is read for winners only.
 
-    ``ranked`` holds at most k rows per query, so it is the broadcast side; on a
-    table partitioned by repository and ref, other partitions are not read.
+    ``ranked`` holds at most k rows per query. Spark sees how few they are, joins
+    them by broadcast while they fit, and on a table partitioned by repository
+    and ref then reads the partitions of the winners only.
     """
     winners = ranked.select(*NATURAL_KEY, "score", "rank")
     if "query_id" in ranked.columns:
         winners = ranked.select("query_id", *NATURAL_KEY, "score", "rank")
-    joined = chunks.join(F.broadcast(winners), NATURAL_KEY)
+    joined = chunks.join(winners, NATURAL_KEY)
     extra = [c for c in winners.columns if c not in NATURAL_KEY and c not in ("score", "rank")]
     return joined.select(
         *extra,

@@ -38,6 +38,21 @@ def run_index(
     return index_chunks(chunk_files(files), table, provider, run_ts, max_calls)
 
 
+def _one_per_key(staged: DataFrame, scratch: str) -> DataFrame:
+    """The staged chunks with unique keys, as overlapping jobs may repeat a file.
+
+    Repeats are looked for without content, and are rare; of several contents the
+    one with the greatest hash stays.
+    """
+    repeats = staged.groupBy(NATURAL_KEY).count().where("count > 1")
+    if repeats.isEmpty():
+        return staged
+    rest = [c for c in staged.columns if c not in NATURAL_KEY]
+    last = F.max_by(F.struct(*rest), "content_hash").alias("chunk")
+    unique = staged.groupBy(NATURAL_KEY).agg(last).select(*NATURAL_KEY, "chunk.*")
+    return materialize(unique.select(staged.columns), "unique", scratch)
+
+
 def _flagged_content(staged: DataFrame, delta: DataFrame) -> DataFrame:
     """Delta rows that need a provider, with their content."""
     flagged = delta.where(F.col("need_summary") | F.col("need_embed")).drop("language")
@@ -84,6 +99,7 @@ def _index(
     ]
     if not pairs:
         return table.current_run()
+    staged = _one_per_key(staged, scratch)
     stored = table.load()
     # Summaries and vectors may come from other refs of the same repositories.
     repositories = sorted({repository for repository, _ in pairs})

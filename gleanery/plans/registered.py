@@ -22,7 +22,7 @@ from gleanery.schema import CHUNK_COLUMNS, NATURAL_KEY
 from gleanery.session import new_scratch
 from gleanery.sources.chunk_table import ChunkTable
 from gleanery.sources.providers import make_provider, register_provider
-from gleanery.sources.tree import scan_jobs, scan_tree, write_tree
+from gleanery.sources.tree import scan_jobs, scan_tree
 from gleanery.streaming.index_stream import CHANGES, index_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,24 +55,9 @@ def _ranked(found: DataFrame, *first: str) -> DataFrame:
 # Sources and sinks
 
 
-def _documents_as_tree(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
-    """The documents written out as source files, and their descriptions."""
-    files = corpus.documents(spark, folder)
-    root = new_scratch(spark, "tree")
-    write_tree(
-        files.select(
-            F.concat(F.lit(f"{root}/"), "repository", F.lit("/"), "ref").alias("root"),
-            "path",
-            F.col("text").alias("content"),
-        )
-    )
-    return root, files
-
-
 def q_scan_tree(spark, folder):
     root = new_scratch(spark, "tree")
-    files = corpus.documents(spark, folder)
-    write_tree(files.select(F.lit(root).alias("root"), "path", F.col("text").alias("content")))
+    corpus.write_tree(corpus.documents(spark, folder).withColumn("root", F.lit(root)))
     return scan_tree(spark, root).select(
         paths.rel_path(F.col("root"), F.col("path")).alias("path"),
         F.sha1("content").alias("content_hash"),
@@ -80,11 +65,12 @@ def q_scan_tree(spark, folder):
 
 
 def q_scan_jobs(spark, folder):
-    root, files = _documents_as_tree(spark, folder)
-    jobs = files.select(
-        "repository", "ref",
-        F.concat(F.lit(f"{root}/"), "repository", F.lit("/"), "ref").alias("root"),
-    ).distinct()
+    """One tree, and one job, per repository and ref."""
+    base = F.lit(new_scratch(spark, "tree") + "/")
+    root = F.concat(base, "repository", F.lit("/"), "ref")
+    files = corpus.documents(spark, folder).withColumn("root", root)
+    corpus.write_tree(files)
+    jobs = files.select("repository", "ref", "root").distinct()
     return scan_jobs(jobs).select(
         "repository", "ref",
         paths.rel_path(F.col("root"), F.col("path")).alias("path"),

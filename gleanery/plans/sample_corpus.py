@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
 from datetime import UTC, datetime
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +20,7 @@ from gleanery.functions.content import (
 from gleanery.functions.paths import guess_lang
 from gleanery.operators.search import SearchQuery
 from gleanery.schema import CHUNK_COLUMNS
+from gleanery.sources.tree import local_path
 
 DIRECTORIES = ["src", "test", "docs", "vendor", "sample", "lib", "tmp"]
 SUFFIXES = [".py", ".go", ".sh", ".md", ".yaml", ".json", ".tf", ".ts"]
@@ -147,3 +152,27 @@ def new_chunks(spark: SparkSession, folder: str) -> DataFrame:
         "id", "repository", "ref", "path", "line_start", "line_end", "language", "content",
         "content_hash",
     )
+
+
+def write_tree(files: DataFrame) -> None:
+    """Write (root, path, text) rows as plain files, from the executors."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                target = f"{row['root']}/{row['path']}"
+                local = local_path(target)
+                if local is None:
+                    system, inside = fs.FileSystem.from_uri(target)
+                    system.create_dir(os.path.dirname(inside))
+                    with system.open_output_stream(inside) as file:
+                        file.write(row["text"].encode())
+                    continue
+                os.makedirs(os.path.dirname(local), exist_ok=True)
+                with open(local, "wb") as file:
+                    file.write(row["text"].encode())
+            yield pa.RecordBatch.from_pydict({"written": pa.array([batch.num_rows], pa.int64())})
+
+    files.select("root", "path", "text").mapInArrow(write, "written long").write.format(
+        "noop"
+    ).mode("overwrite").save()

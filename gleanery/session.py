@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Fallback folders of local sessions, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def build_session(app_name: str = "gleanery", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the jobs here are written for.
@@ -60,9 +63,10 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="gleanery-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="gleanery-")
+    return _LOCAL_FOLDERS[application]
 
 
 def new_scratch(spark: SparkSession, name: str) -> str:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import stat
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyarrow import fs
@@ -33,23 +34,37 @@ _LISTING = "repository string, ref string, root string, path string, is_dir bool
 _MARKERS = tuple(f"/{d}/" for d in SKIP_DIRECTORIES)
 
 
-def _local_path(path: str) -> str | None:
+def local_path(path: str) -> str | None:
     """The path for plain file calls, or None for a remote file system."""
     if path.startswith("file:"):
         return "/" + path[len("file:"):].lstrip("/")
     return None if "://" in path else path
 
 
+@lru_cache(maxsize=64)
+def _file_system(address: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(address)
+
+
+def _remote_path(path: str) -> tuple[fs.FileSystem, str, str]:
+    """(file system, path inside it, what to put before an inside path)."""
+    scheme, rest = path.split("://", 1)
+    authority, _, inside = rest.partition("/")
+    system, base = _file_system(f"{'s3' if scheme == 's3a' else scheme}://{authority}/")
+    base = base.rstrip("/")
+    address = f"{scheme}://{authority}"
+    return system, f"{base}/{inside}", address.removesuffix(base) if base else address
+
+
 def _entries(folder: str) -> Iterator[tuple[str, bool, int]]:
     """(path, is folder, size) of what lies in a folder; links are not followed into."""
-    local = _local_path(folder)
+    local = local_path(folder)
     if local is None:
-        system, inner = fs.FileSystem.from_uri(folder)
-        scheme_part = folder[: len(folder) - len(inner)] if folder.endswith(inner) else ""
-        for info in system.get_file_info(fs.FileSelector(inner)):
+        system, inside, before = _remote_path(folder)
+        for info in system.get_file_info(fs.FileSelector(inside)):
             is_dir = info.type == fs.FileType.Directory
             if is_dir or info.type == fs.FileType.File:
-                yield scheme_part + info.path, is_dir, info.size or 0
+                yield before + info.path, is_dir, info.size or 0
         return
     with os.scandir(local) as found:
         for entry in found:
@@ -103,12 +118,12 @@ def _listing(job: dict, rows: list, names: list[str]) -> pa.RecordBatch:
 
 def _read_file(path: str) -> bytes | None:
     try:
-        local = _local_path(path)
+        local = local_path(path)
         if local is not None:
             with open(local, "rb") as file:
                 return file.read()
-        system, inner = fs.FileSystem.from_uri(path)
-        with system.open_input_file(inner) as file:
+        system, inside, _ = _remote_path(path)
+        with system.open_input_file(inside) as file:
             return file.read()
     except OSError:
         return None
@@ -183,28 +198,3 @@ def scan_tree(spark: SparkSession, root: str, repository: str = "", ref: str = "
         [(repository, ref, root)], "repository string, ref string, root string"
     )
     return scan_jobs(jobs)
-
-
-def write_tree(files: DataFrame) -> None:
-    """Write (root, path, content) rows as plain files, from the executors."""
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        written = 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                target = f"{row['root']}/{row['path']}"
-                local = _local_path(target)
-                if local is not None:
-                    os.makedirs(os.path.dirname(local), exist_ok=True)
-                    with open(local, "wb") as file:
-                        file.write(row["content"])
-                else:
-                    system, inner = fs.FileSystem.from_uri(target)
-                    system.create_dir(os.path.dirname(inner))
-                    with system.open_output_stream(inner) as file:
-                        file.write(row["content"])
-                written += 1
-        yield pa.RecordBatch.from_pydict({"written": pa.array([written], pa.int64())})
-
-    rows = files.select("root", "path", F.col("content").cast("binary").alias("content"))
-    rows.mapInArrow(write, "written long").agg(F.sum("written")).collect()

@@ -10,7 +10,7 @@ from gleanery.operators.enrich import enrich
 from gleanery.plans import search_service
 from gleanery.plans.index_job import run_index
 from gleanery.schema import CHUNK_COLUMNS, FILES, NATURAL_KEY
-from gleanery.session import new_scratch
+from gleanery.session import new_scratch, shared_folder
 from gleanery.sources.chunk_table import ChunkTable
 from gleanery.sources.providers import StubProvider, default_dim, make_provider, register_provider
 from gleanery.streaming.index_stream import CHANGES, index_stream
@@ -259,3 +259,29 @@ def test_search_service(spark, table):
     assert len(body) == 4 and body[0]["chunk"]["created_at"] == "2026-03-01T00:00:00Z"
     assert [r[0] for r in search_service.repositories(table).collect()] == ["r"]
     assert [r[0] for r in search_service.refs(table, "r").collect()] == ["main"]
+
+
+def test_overlapping_jobs_index_a_file_once(spark, table):
+    twice = files(spark, {"a": b"1", "b": b"2"})
+    twice = twice.unionByName(files(spark, {"a": b"1", "b": b"3"}))
+    run_index(twice, table, STUB, DAY[0])
+    assert sorted(k[1] for k in stored(table)) == ["a", "b"]
+    assert table.load().count() == 2
+
+
+def test_local_sessions_have_a_folder_of_their_own(spark, monkeypatch):
+    class Unset:
+        def get(self, name, default=None):
+            return None
+
+    class Context:
+        master, applicationId = "local[2]", "app-x"
+        getConf = lambda self: Unset()
+
+    class Session:
+        conf, sparkContext = Unset(), Context()
+
+    assert shared_folder(Session()) == shared_folder(Session())
+    Context.master = "spark://host:7077"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())

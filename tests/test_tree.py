@@ -65,3 +65,15 @@ def test_root_below_a_marker_skips_everything(spark, tmp_path):
     inner.mkdir(parents=True)
     (inner / "a.py").write_bytes(b"1")
     assert tree.scan_tree(spark, str(inner)).count() == 0
+
+
+def test_remote_paths(monkeypatch):
+    class System:
+        pass
+
+    bases = {"hdfs://host:9/": "/", "s3://bucket/": "bucket", "gs://b/": "b/"}
+    monkeypatch.setattr(tree, "_file_system", lambda address: (System, bases[address]))
+    for path, inside in [("hdfs://host:9/a/b", "/a/b"), ("s3a://bucket/a", "bucket/a"), ("gs://b/x", "b/x")]:
+        system, got, before = tree._remote_path(path)
+        assert (system, got) == (System, inside)
+        assert before + got == path
