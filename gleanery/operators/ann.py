@@ -1,8 +1,8 @@
 """Approximate nearest vectors by random hyperplanes (Charikar, 2002).
 
 Every vector falls into the bucket of its side of each hyperplane. A query looks
-into its own bucket and those a few sides away, and ranks what it finds exactly.
-With ``probe_distance`` equal to ``bits`` every bucket is read and the answer is
+into its own bucket and into those across the hyperplanes it lies closest to (Lv et
+al., 2007), and ranks what it finds exactly. With all buckets probed the answer is
 exact. Stored by bucket, a search reads the probed folders only.
 """
 
@@ -21,7 +21,7 @@ from gleanery.operators.batch_search import QUERIES_PER_PASS, query_slices
 from gleanery.operators.blocks import RunningBest, best_pairs, key_order, row_blocks
 
 BITS = 8
-PROBE_DISTANCE = 2
+PROBES = 48
 
 
 def hyperplanes(bits: int, dim: int) -> np.ndarray:
@@ -55,11 +55,22 @@ def save_index(bucketed: DataFrame, path: str) -> None:
     bucketed.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
 
 
-def _probes(buckets: np.ndarray, bits: int, distance: int) -> np.ndarray:
-    """Queries x buckets: whether the query looks into the bucket."""
-    apart = buckets[:, None] ^ np.arange(1 << bits)[None, :]
-    sides_apart = sum((apart >> bit) & 1 for bit in range(bits))
-    return sides_apart <= distance
+def _probes(vectors: np.ndarray, planes: np.ndarray, probes: int) -> np.ndarray:
+    """Queries x buckets: whether the query looks into the bucket.
+
+    A bucket costs the squared distances to the hyperplanes it lies across.
+    """
+    distances = vectors @ planes.T
+    own = _buckets(vectors, planes)
+    every = np.arange(1 << len(planes))
+    cost = np.zeros((len(vectors), len(every)))
+    for bit in range(len(planes)):
+        across = ((own[:, None] ^ every[None, :]) >> bit) & 1
+        cost += across * distances[:, bit : bit + 1] ** 2
+    wanted = np.zeros(cost.shape, dtype=bool)
+    nearest = np.argsort(cost, axis=1, kind="stable")[:, :probes]
+    np.put_along_axis(wanted, nearest, True, axis=1)
+    return wanted
 
 
 def _task(ids: list, vectors: np.ndarray, probes: np.ndarray, key: str, k: int):
@@ -106,7 +117,7 @@ def vector_ann(
     k: int = 10,
     key: str = "id",
     bits: int = BITS,
-    probe_distance: int = PROBE_DISTANCE,
+    probes: int = PROBES,
     queries_per_pass: int = QUERIES_PER_PASS,
 ) -> DataFrame:
     """``query_id``, key, ``score`` and ``rank`` of the nearest indexed vectors.
@@ -127,12 +138,12 @@ def vector_ann(
         vectors = np.array([row["query_vec"] for row in rows], dtype=np.float64)
         if vectors.shape[1] != dim:
             raise ValueError(f"different vector dimensions: {vectors.shape[1]} and {dim}")
-        probes = _probes(_buckets(vectors, planes), bits, probe_distance)
-        wanted = np.nonzero(probes.any(axis=0))[0].tolist()
+        looks_into = _probes(vectors, planes, probes)
+        wanted = np.nonzero(looks_into.any(axis=0))[0].tolist()
         near = index.where(F.col("bucket").isin(wanted)).select(key, "vector", "bucket")
         ids = [row["query_id"] for row in rows]
         best = near.mapInArrow(
-            _task(ids, vectors, probes, key, k), f"query int, {key} {key_type}, score double"
+            _task(ids, vectors, looks_into, key, k), f"query int, {key} {key_type}, score double"
         )
         names = spark.createDataFrame(list(enumerate(ids)), f"query int, query_id {id_type}")
         found = found.unionByName(best.join(F.broadcast(names), "query").drop("query"))

@@ -11,8 +11,8 @@ from gleanery.functions.text import STOP_WORDS
 from gleanery.operators.ann import hyperplanes
 from gleanery.plans.sample_corpus import DIM, DIRECTORIES, QUERY_TEXT, SUFFIXES, TREE_ROOT
 
-ANN_BITS = 4
-ANN_DISTANCE = 1
+ANN_BITS = 6
+ANN_PROBES = 12
 
 
 def _in(values) -> str:
@@ -432,18 +432,29 @@ def _planes() -> str:
 
 
 def _ann(k: int) -> str:
-    bucket = """SELECT {id} AS id, any_value({vec}) AS vec,
-    sum(CASE WHEN list_dot_product({vec}::DOUBLE[], normal::DOUBLE[]) > 0 THEN 1 << bit ELSE 0 END)
-      ::INT AS bucket
-  FROM {table} CROSS JOIN planes WHERE {vec} IS NOT NULL GROUP BY {id}"""
-    stored = bucket.format(id="vec_id", vec="embedding", table="embeddings")
-    asked = bucket.format(id="query_id", vec="query_vec", table="queries")
+    far = "list_dot_product({vec}::DOUBLE[], normal::DOUBLE[])"
+    stored, asked = far.format(vec="embedding"), far.format(vec="query_vec")
     return f"""WITH {QUERIES}, {_planes()},
-stored AS ({stored}),
-asked AS ({asked}),
+stored AS (
+  SELECT vec_id, any_value(embedding) AS vec,
+         sum(CASE WHEN {stored} > 0 THEN 1 << bit ELSE 0 END)::INT AS bucket
+  FROM embeddings CROSS JOIN planes WHERE embedding IS NOT NULL GROUP BY vec_id
+),
+sides AS (
+  SELECT query_id, query_vec, bit, {asked} AS far
+  FROM queries CROSS JOIN planes WHERE query_vec IS NOT NULL
+),
+looked AS (
+  SELECT query_id, any_value(query_vec) AS vec, bucket
+  FROM sides CROSS JOIN range({1 << ANN_BITS}) buckets(bucket)
+  GROUP BY query_id, bucket
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY
+    sum(CASE WHEN (far > 0) <> ((bucket >> bit) & 1 = 1) THEN far * far ELSE 0 END), bucket
+  ) <= {ANN_PROBES}
+),
 near AS (
-  SELECT a.id AS query_id, s.id AS vec_id, {_cosine('s.vec', 'a.vec')} AS score
-  FROM asked a JOIN stored s ON bit_count(xor(a.bucket, s.bucket)) <= {ANN_DISTANCE}
+  SELECT query_id, vec_id, {_cosine('s.vec', 'l.vec')} AS score
+  FROM looked l JOIN stored s USING (bucket)
 )
 SELECT query_id, vec_id, round(score, 6) AS score,
        row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank

@@ -497,7 +497,7 @@ def q_vector_ann(spark, folder):
     index = ann.with_bucket(rows, corpus.DIM, bits=oracle.ANN_BITS)
     found = ann.vector_ann(
         index, corpus.queries(spark, folder), corpus.DIM, 10, "vec_id",
-        oracle.ANN_BITS, oracle.ANN_DISTANCE,
+        oracle.ANN_BITS, oracle.ANN_PROBES,
     )
     return found.select("query_id", "vec_id", _six("score"), "rank")
 

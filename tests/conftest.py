@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
     session = build_session(
         "tests",
         "local[4]",
-        spark_sql_shuffle_partitions=4,
+        spark_sql_shuffle_partitions=2,
         spark_ui_enabled="false",
         spark_ui_showConsoleProgress="false",
     )
