@@ -15,16 +15,19 @@ from gleanery.session import delete_folder, materialize, new_scratch
 from gleanery.sources.chunk_table import ChunkTable
 from gleanery.sources.providers import ProviderSpec
 
-#: Rows of bare keys that are safe to broadcast.
-BROADCAST_KEYS = 200_000
-#: Repositories up to which a list of literals prunes partitions.
+#: Rows, and characters in them, that are safe to broadcast.
+BROADCAST_ROWS = 200_000
+BROADCAST_CHARACTERS = 64_000_000
+#: Repositories up to which a list of names prunes the lookup.
 MAX_LISTED = 1_000
 
 
-def _small(keys: DataFrame) -> DataFrame:
-    """Marked for broadcast if few enough; counting stops at the bound."""
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return F.broadcast(keys) if few else keys
+def _small(rows: DataFrame) -> DataFrame:
+    """Marked for broadcast if small enough; measuring stops at the bound."""
+    size = F.sum(F.length(F.to_json(F.struct("*")))).alias("characters")
+    found = rows.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("rows"), size).first()
+    fits = found["rows"] <= BROADCAST_ROWS and (found["characters"] or 0) <= BROADCAST_CHARACTERS
+    return F.broadcast(rows) if fits else rows
 
 
 def run_index(
@@ -53,9 +56,18 @@ def _one_per_key(staged: DataFrame, scratch: str) -> DataFrame:
     return materialize(unique.select(staged.columns), "unique", scratch)
 
 
-def _flagged_content(staged: DataFrame, delta: DataFrame) -> DataFrame:
-    """Delta rows that need a provider, with their content."""
-    flagged = delta.where(F.col("need_summary") | F.col("need_embed")).drop("language")
+def _flagged_content(staged: DataFrame, delta: DataFrame, all_new: bool) -> DataFrame:
+    """Chunks that need a provider, with their content and flags.
+
+    Where nothing is stored yet all of them do, and nothing needs joining.
+    """
+    if all_new:
+        yes = F.lit(True)
+        return staged.withColumns(
+            {"need_summary": yes, "need_embed": yes, "old_summary": F.lit("")}
+        )
+    flagged = delta.where(F.col("need_summary") | F.col("need_embed"))
+    flagged = flagged.select(*NATURAL_KEY, "need_summary", "need_embed", "old_summary")
     content = staged.select(*NATURAL_KEY, "language", "content")
     return content.join(_small(flagged), NATURAL_KEY)
 
@@ -100,15 +112,15 @@ def _index(
     if not pairs:
         return table.current_run()
     staged = _one_per_key(staged, scratch)
-    stored = table.load()
     # Summaries and vectors may come from other refs of the same repositories.
     repositories = sorted({repository for repository, _ in pairs})
-    if len(repositories) <= MAX_LISTED:
-        stored = stored.where(F.col("repository").isin(repositories))
+    names = repositories if len(repositories) <= MAX_LISTED else None
+    stored = table.load(names)
+    all_new = not table.holds(names)
 
     thin = staged.drop("content")
     delta = materialize(index_delta(meta_lookup(thin, stored)), "delta", scratch)
-    enriched = enrich(_flagged_content(staged, delta), provider, max_calls)
+    enriched = enrich(_flagged_content(staged, delta, all_new), provider, max_calls)
     enriched = materialize(enriched, "enriched", scratch)
     merged = upserted(with_enrichment(delta, enriched), stored, run_ts)
     fresh = staged.select(*NATURAL_KEY, "content").join(merged, NATURAL_KEY)

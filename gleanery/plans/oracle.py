@@ -9,7 +9,7 @@ from gleanery.functions.paths import LANGUAGES, SKIP_DIRECTORIES, SKIP_EXTENSION
 from gleanery.functions.scoring import CONFIG_LANGUAGES, SCRIPT_LANGUAGES, SCRIPT_WORDS
 from gleanery.functions.text import STOP_WORDS
 from gleanery.operators.ann import hyperplanes
-from gleanery.plans.sample_corpus import DIM, DIRECTORIES, QUERY_TEXT, SUFFIXES, TREE_ROOT
+from gleanery.plans.sample_corpus import DIM, DIRECTORIES, SUFFIXES, TREE_ROOT
 
 ANN_BITS = 6
 ANN_PROBES = 12

@@ -45,19 +45,27 @@ class ChunkTable:
             return self.spark.createDataFrame([], _LIVE)
         return self.spark.read.schema(_LIVE).json(f"{self.path}/live/run={run}")
 
+    def holds(self, repositories: list[str] | None = None) -> bool:
+        """Whether anything is stored, of these repositories or at all."""
+        live = self.live_partitions()
+        if repositories is not None:
+            live = live.where(F.col("repository").isin(repositories))
+        return not live.isEmpty()
+
     def load(
         self,
-        repository: str | None = None,
+        repository: str | list[str] | None = None,
         ref: str | None = None,
         within: list[tuple[str, str]] | None = None,
     ) -> DataFrame:
-        """The chunks, or those of one repository, ref or list of pairs.
+        """The chunks, or those of some repositories, a ref or a list of pairs.
 
         Only folders of matching partitions are listed and read.
         """
         live = self.live_partitions()
         if repository is not None:
-            live = live.where(F.col("repository") == repository)
+            names = [repository] if isinstance(repository, str) else repository
+            live = live.where(F.col("repository").isin(names))
         if ref is not None:
             live = live.where(F.col("ref") == ref)
         rows = live.collect()  # one row per partition, as any file listing holds
