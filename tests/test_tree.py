@@ -77,3 +77,10 @@ def test_remote_paths(monkeypatch):
         system, got, before = tree._remote_path(path)
         assert (system, got) == (System, inside)
         assert before + got == path
+
+
+def test_disabled_jobs_are_left_out(spark, root):
+    jobs = spark.createDataFrame(
+        [("a", "m", f"{root}/deep", False), ("b", "m", f"{root}/deep", True), ("c", "m", f"{root}/deep", None)],
+        "repository string, ref string, root string, enabled boolean")
+    assert {r["repository"] for r in tree.scan_jobs(jobs).collect()} == {"b", "c"}
