@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import exact_dedup, line_dedup, mixing, sharding
+from gleanery.llm import (
+    exact_dedup,
+    line_dedup,
+    minhash_dedup,
+    mixing,
+    sharding,
+    token_output,
+)
 from gleanery.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +27,10 @@ def queries() -> dict[str, Query]:
     return {
         "op1_sharding": _over_documents(sharding.op1_sharding),
         "op4_exact_dedup": _over_documents(exact_dedup.op4_exact_dedup),
+        "op6_token_output": _over_documents(token_output.op6_token_output),
         "op8_mixing": _over_documents(mixing.op8_mixing),
         "op9_line_dedup": _over_documents(line_dedup.op9_line_dedup),
+        "op10_minhash_dedup": _over_documents(minhash_dedup.op10_minhash_dedup),
     }
 
 
