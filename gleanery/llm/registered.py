@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.llm import (
+    decontaminate,
     exact_dedup,
     line_dedup,
     minhash_dedup,
     mixing,
+    quality,
     sharding,
     token_output,
 )
@@ -19,22 +21,25 @@ from gleanery.llm.common import read_table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _over_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, folder: operator(read_table(spark, folder, "documents"))
+def _over(operator: Callable[..., DataFrame], *tables: str) -> Query:
+    return lambda spark, folder: operator(*[read_table(spark, folder, t) for t in tables])
 
 
 def queries() -> dict[str, Query]:
     return {
-        "op1_sharding": _over_documents(sharding.op1_sharding),
-        "op4_exact_dedup": _over_documents(exact_dedup.op4_exact_dedup),
-        "op6_token_output": _over_documents(token_output.op6_token_output),
-        "op8_mixing": _over_documents(mixing.op8_mixing),
-        "op9_line_dedup": _over_documents(line_dedup.op9_line_dedup),
-        "op10_minhash_dedup": _over_documents(minhash_dedup.op10_minhash_dedup),
+        "op1_sharding": _over(sharding.op1_sharding, "documents"),
+        "op3_decontaminate": _over(decontaminate.op3_decontaminate, "documents", "benchmark"),
+        "op4_exact_dedup": _over(exact_dedup.op4_exact_dedup, "documents"),
+        "op5_quality_crf": _over(quality.op5_quality_crf, "documents", "labels"),
+        "op6_token_output": _over(token_output.op6_token_output, "documents"),
+        "op8_mixing": _over(mixing.op8_mixing, "documents"),
+        "op9_line_dedup": _over(line_dedup.op9_line_dedup, "documents"),
+        "op10_minhash_dedup": _over(minhash_dedup.op10_minhash_dedup, "documents"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
+    """SQL with the same result, for the queries that SQL can express."""
     return {
         "op4_exact_dedup": exact_dedup.OP4_SQL,
         "op9_line_dedup": line_dedup.OP9_SQL,
