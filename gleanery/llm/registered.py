@@ -14,6 +14,8 @@ from gleanery.llm import (
     mixing,
     quality,
     sharding,
+    substring_dedup,
+    suffix_dedup,
     token_output,
 )
 from gleanery.llm.common import read_table
@@ -28,10 +30,12 @@ def _over(operator: Callable[..., DataFrame], *tables: str) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op1_sharding": _over(sharding.op1_sharding, "documents"),
+        "op2_suffix_dedup": _over(suffix_dedup.op2_suffix_dedup, "documents"),
         "op3_decontaminate": _over(decontaminate.op3_decontaminate, "documents", "benchmark"),
         "op4_exact_dedup": _over(exact_dedup.op4_exact_dedup, "documents"),
         "op5_quality_crf": _over(quality.op5_quality_crf, "documents", "labels"),
         "op6_token_output": _over(token_output.op6_token_output, "documents"),
+        "op7_substring_dedup": _over(substring_dedup.op7_substring_dedup, "documents"),
         "op8_mixing": _over(mixing.op8_mixing, "documents"),
         "op9_line_dedup": _over(line_dedup.op9_line_dedup, "documents"),
         "op10_minhash_dedup": _over(minhash_dedup.op10_minhash_dedup, "documents"),
