@@ -24,8 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.wordhash import batches
-
 #: Characters of an item per allowed edit.
 PER_EDIT = 16
 #: Bytes of item texts that one pass over the documents takes.
@@ -119,47 +117,64 @@ class Matcher:
         return found
 
 
-def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document and item that it holds: doc_id, item_id, distance, end (in the
-    normalised text)."""
+def _slices(benchmark: DataFrame) -> Iterator[list[tuple[int, int, str]]]:
+    """The items, in slices of bounded size (one empty slice if there are none)."""
     items = benchmark.where(F.col("text").isNotNull()).select(
         F.col("item_id").cast("long").alias("item_id"), "text"
     )
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = -(-total // SLICE_BYTES) or 1
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = None
     for number in range(slices):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == number)
-        rows = [(i, row.item_id, row.text) for i, row in enumerate(part.collect())]
-        one = _slice_matches(texts, rows)
+        yield [(i, row.item_id, row.text) for i, row in enumerate(part.collect())]
+
+
+def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document and item that it holds: doc_id, item_id, distance, end (in the
+    normalised text)."""
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = None
+    for items in _slices(benchmark):
+        one = _slice_matches(texts, items)
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def _slice_matches(texts: DataFrame, rows: list[tuple[int, int, str]]) -> DataFrame:
-    sent = texts.sparkSession.sparkContext.broadcast(rows)
+def _slice_matches(texts: DataFrame, items: list[tuple[int, int, str]]) -> DataFrame:
+    sent = texts.sparkSession.sparkContext.broadcast(items)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(sent.value)
         for part in parts:
-            for batch in batches(part, "text"):
-                ids = batch.column("doc_id").to_pylist()
-                out: list[list] = [[], [], [], []]
-                for doc_id, text in zip(ids, batch.column("text"), strict=True):
-                    for i, (distance, end) in matcher.find(text.as_py() or "").items():
-                        for column, value in zip(
-                            out, (doc_id, matcher.items[i][1], distance, end), strict=True
-                        ):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(column, pa.int64()) for column in out],
-                    ["doc_id", "item_id", "distance", "end"],
-                )
+            rows = [
+                (doc_id.as_py(), matcher.items[i][1], distance, end)
+                for doc_id, text in zip(part.column("doc_id"), part.column("text"), strict=True)
+                for i, (distance, end) in matcher.find(text.as_py() or "").items()
+            ]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(column, pa.int64()) for column in columns],
+                ["doc_id", "item_id", "distance", "end"],
+            )
 
     return texts.mapInArrow(run, "doc_id bigint, item_id bigint, distance bigint, end bigint")
 
 
+def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that hold no item, with all their columns."""
+    for items in _slices(benchmark):
+        sent = documents.sparkSession.sparkContext.broadcast(items)
+
+        def run(parts: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(sent.value)
+            for part in parts:
+                keep = [not matcher.find(text.as_py() or "") for text in part.column("text")]
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+        documents = documents.mapInArrow(run, documents.schema)
+    return documents
+
+
 def op3_decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contaminated documents with the items they hold."""
     return matches(documents, benchmark)

@@ -176,8 +176,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, key (hash of the text), n_shingles, node (class of
-    equal sets), component_id."""
+    """One row per input row: doc_id, key (hash of the text), n_shingles, root (names the
+    component; null for an empty set), component_id."""
     folder = job_folder(documents.sparkSession, "minhash")
     texts = documents.select("doc_id", F.xxhash64("text").alias("key"), "text")
     schema = "doc_id bigint, key bigint, n_shingles bigint, node binary, sketch array<bigint>"
@@ -238,12 +238,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         .withColumn("root", F.coalesce("root", "node"))
     )
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_class = named.join(least, "root").select("node", "component_id")
+    of_class = named.join(least, "root").select("node", "root", "component_id")
     return (
         rows.drop("sketch")
         .join(of_class, "node", "left")
         .select(
-            "doc_id", "key", "n_shingles", "node",
+            "doc_id", "key", "n_shingles", "root",
             F.when(F.col("node").isNull(), F.col("doc_id"))
             .otherwise(F.col("component_id"))
             .alias("component_id"),
@@ -331,6 +331,30 @@ def _hub_links(long, sets, classes, links, roots, folder):
         buckets *= 8
 
 
+def keep_one(documents: DataFrame) -> DataFrame:
+    """One row of each component, that of the smallest doc_id, with all its columns. Texts
+    without words are linked with nothing and stay."""
+    folder = job_folder(documents.sparkSession, "near-copies")
+    found = near_duplicates(documents).groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
+    stays = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "n")).alias("s")
+    best = save(
+        found.where("root is not null").groupBy("root").agg(stays).select("s.doc_id", "s.key", "s.n"),
+        folder, "stay",
+    )
+    empty = found.where("root is null").select("doc_id", "key", "n")
+    d = documents.withColumn("_key", F.xxhash64("text")).alias("d")
+
+    def rows_of(keys: DataFrame) -> DataFrame:
+        same = (F.col("d._key") == F.col("k.key")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
+        return d.join(keys.alias("k"), same, "left_semi")
+
+    kept = rows_of(best.where("n = 1").unionByName(empty))
+    again = best.where("n > 1")
+    if not again.isEmpty():
+        kept = kept.unionByName(rows_of(again).dropDuplicates(["doc_id", "_key"]))
+    return kept.select(documents.columns)
+
+
 def op10_minhash_dedup(documents: DataFrame) -> DataFrame:
     """Size, component and verdict of every document."""
     return near_duplicates(documents).select(

@@ -283,20 +283,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def score_documents(
-    documents: DataFrame, model: QualityModel | ConstantModel, keep: list[str]
+    documents: DataFrame, model: QualityModel | ConstantModel, keep: list[str], name: str = "score"
 ) -> DataFrame:
-    """The columns ``keep`` and ``score``; needs ``text``."""
-    wanted = documents.select(*[F.col(c) for c in keep], F.col("text").alias("_text"))
+    """The columns ``keep`` and the score of ``text``."""
+    wanted = documents.select(list(dict.fromkeys([*keep, "text"])))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(keep).schema]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for batch in batches(part, "_text", 2 << 20):
-                scores = pa.array(model.scores(batch.column("_text")), pa.float64())
-                columns = [batch.column(i) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*columns, scores], [*keep, "score"])
+            for batch in batches(part, "text", 2 << 20):
+                scores = pa.array(model.scores(batch.column("text")), pa.float64())
+                columns = [batch.column(c) for c in keep]
+                yield pa.RecordBatch.from_arrays([*columns, scores], [*keep, name])
 
-    return wanted.mapInArrow(run, ", ".join([*fields, "score double"]))
+    return wanted.mapInArrow(run, ", ".join([*fields, f"`{name}` double"]))
 
 
 def op5_quality_crf(documents: DataFrame, labels: DataFrame) -> DataFrame:

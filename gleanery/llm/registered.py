@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from gleanery.llm import (
     decontaminate,
     exact_dedup,
@@ -39,6 +40,7 @@ def queries() -> dict[str, Query]:
         "op8_mixing": _over(mixing.op8_mixing, "documents"),
         "op9_line_dedup": _over(line_dedup.op9_line_dedup, "documents"),
         "op10_minhash_dedup": _over(minhash_dedup.op10_minhash_dedup, "documents"),
+        "pipeline": corpus_pipeline.run,
     }
 
 
