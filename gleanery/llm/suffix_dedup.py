@@ -202,7 +202,8 @@ def _merge_ties(order: np.ndarray, group: np.ndarray, ranks: np.ndarray) -> np.n
 
 
 def sort_suffixes(text: np.ndarray, positions: np.ndarray):
-    """``positions`` in the order of their suffixes, and the words of the text."""
+    """``positions`` in the order of their suffixes, and the words of the text. At least
+    ``PERIOD`` bytes must follow each position."""
     words = _words(text)
     ranks = cover_ranks(text, words)
     order, group = positions.copy(), np.zeros(len(positions), np.int64)
