@@ -13,7 +13,6 @@ WHITE_SPACE = (
 )
 
 HEURISTIC_LENGTH = 240
-SUMMARIZER_INPUT = 400_000
 PROMPT_INPUT = 8_000
 STUB_LINES = 5
 STUB_MIN_BYTES = 10

@@ -7,7 +7,6 @@ row of maxima, or the best k rows, per query. Pairs are never shuffled or stored
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +23,7 @@ from gleanery.functions.text import initials_of, local_longest_token, local_term
 from gleanery.functions.trigrams import code_of, local_trigrams, padded_words, trigram_codes
 from gleanery.functions.vectors import clamp_cosine, vector_block
 from gleanery.operators.blocks import RunningBest, best_pairs, key_order, row_blocks
-from gleanery.operators.search import DEFAULT_K, best_first
+from gleanery.operators.search import DEFAULT_K, best_first, path_matches
 from gleanery.schema import NATURAL_KEY
 
 #: Most queries one pass over the chunks answers; more take more passes.
@@ -80,26 +79,13 @@ class Vocabulary:
         return self.hits(rows, np.where(found, at, len(known)), height)
 
 
-def _like_regex(fragment: str) -> re.Pattern:
-    """The LIKE pattern ``%fragment%`` as a regular expression."""
-    out, at = [], 0
-    while at < len(fragment):
-        char = fragment[at]
-        if char == "\\" and at + 1 < len(fragment):
-            at += 1
-            out.append(re.escape(fragment[at]))
-        else:
-            out.append({"%": ".*", "_": "."}.get(char, re.escape(char)))
-        at += 1
-    return re.compile("".join(out), re.IGNORECASE | re.DOTALL)
-
-
 @dataclass
 class QuerySlice:
     """A bounded number of queries, ready for block scoring."""
 
     ids: list
     filters: list[dict[str, str]]
+    fragments: list[str]
     stemmed: bool
     terms: Vocabulary
     grams: Vocabulary
@@ -118,9 +104,11 @@ class QuerySlice:
         matrix = None
         if dim is not None:
             matrix = np.array([v if v is not None else [0.0] * dim for v in vectors], np.float64)
+        filters = [{f: row[f] for f in FILTERS if row[f]} for row in rows]
         return cls(
             ids=[row["query_id"] for row in rows],
-            filters=[{f: row[f] for f in FILTERS if row[f]} for row in rows],
+            filters=filters,
+            fragments=sorted({f["path_contains"] for f in filters if "path_contains" in f}),
             stemmed=stemmed,
             terms=Vocabulary([local_terms(t, stemmed) for t in texts]),
             grams=Vocabulary(
@@ -134,18 +122,17 @@ class QuerySlice:
     def allowed(self, block: pa.RecordBatch) -> np.ndarray:
         """Rows x queries: whether the row passes the query's filters."""
         mask = np.ones((block.num_rows, len(self.ids)), dtype=bool)
+        hits = np.asarray(block["path_hits"].flatten()).astype(bool)
+        hits = hits.reshape(block.num_rows, len(self.fragments))
         columns: dict[str, np.ndarray] = {}
         for query, wanted in enumerate(self.filters):
             for name, value in wanted.items():
-                source = "path" if name == "path_contains" else name
-                if source not in columns:
-                    columns[source] = np.array(block[source].to_pylist(), dtype=object)
                 if name == "path_contains":
-                    find = _like_regex(value).search
-                    passes = np.array([find(p) is not None for p in columns[source]])
-                else:
-                    passes = columns[source] == value
-                mask[:, query] &= passes
+                    mask[:, query] &= hits[:, self.fragments.index(value)]
+                    continue
+                if name not in columns:
+                    columns[name] = np.array(block[name].to_pylist(), dtype=object)
+                mask[:, query] &= columns[name] == value
         return mask
 
     def score_terms(self, block: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -234,8 +221,11 @@ def _thin(chunks: DataFrame, queries: QuerySlice) -> DataFrame:
             chunks = chunks.where(F.col(name).isin(sorted(set(wanted))))
     initials = initials_of(queries.terms.words)
     words = tokens_starting(F.col("summary"), initials) if initials else F.array().cast("array<string>")
+    # One test per distinct fragment and row, by the rule of a single search.
+    hits = [F.coalesce(path_matches(F.col("path"), f), F.lit(False)) for f in queries.fragments]
     return chunks.select(
         *NATURAL_KEY,
+        F.array(*hits).cast("array<boolean>").alias("path_hits"),
         "language",
         "summary_vec",
         words.alias("words"),

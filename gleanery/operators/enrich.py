@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.functions.content import SUMMARIZER_INPUT, WHITE_SPACE, summary_heuristic
+from gleanery.functions.content import WHITE_SPACE, summary_heuristic
 from gleanery.schema import NATURAL_KEY
 from gleanery.sources.providers import ProviderSpec
 
@@ -67,8 +67,8 @@ def enrich(
 
     Without a provider, or where it fails or says nothing, the summary is the
     start of the content; a failed embedding is null. ``max_calls`` bounds the
-    tasks, and with them the calls under way at once. Content is cut before it
-    leaves the JVM. Write the result down before joining it, so that a lost
+    tasks, and with them the calls under way at once. Where the provider has an
+    input limit, content is cut before it leaves the JVM. Write the result down before joining it, so that a lost
     executor does not repeat calls.
     """
 
@@ -79,13 +79,16 @@ def enrich(
                 rows = _enrich_rows(built, batch.slice(at, CALL_SIZE).to_pylist())
                 yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
+    content = F.col("content")
+    if provider and provider.input_limit:
+        content = F.substring(content, 1, provider.input_limit)
     flagged = delta.where(F.col("need_summary") | F.col("need_embed")).select(
         *NATURAL_KEY,
         F.coalesce("language", F.lit("")).alias("language"),
         "need_summary",
         "need_embed",
         "old_summary",
-        F.when(F.col("need_summary"), F.substring("content", 1, SUMMARIZER_INPUT)).alias("input"),
+        F.when(F.col("need_summary"), content).alias("input"),
         F.when(F.col("need_summary"), summary_heuristic(F.col("content"))).alias("heuristic"),
     )
     if max_calls:

@@ -21,11 +21,13 @@ from gleanery.functions.text import local_longest_token, local_terms
 from gleanery.functions.trigrams import trigram_sim_to
 from gleanery.functions.vectors import cosine_sim
 from gleanery.schema import NATURAL_KEY, RESULT_COLUMNS
+from gleanery.session import materialize
 
 DEFAULT_K = 5
 
-#: Up to here Spark prunes a ranking window before its shuffle.
-WINDOW_PRUNING_LIMIT = 1000
+#: Paths that a scan takes as a filter, and winners that are sent to every task.
+PUSHED_PATHS = 1_000
+BROADCAST_ROWS = 100_000
 
 RANKED = (
     "repository string, ref string, path string, line_start int, line_end int, "
@@ -84,9 +86,14 @@ def with_embedding(query: SearchQuery, provider) -> SearchQuery:
 
 
 def path_matches(path: Column, fragment: Column | str) -> Column:
-    """Substring test without case; ``%``, ``_`` and ``\\`` keep their LIKE meaning."""
+    """Substring test without case; ``%``, ``_`` and ``\\`` keep their LIKE meaning.
+
+    A backslash before any other character stands for that character; one at the end of
+    the fragment takes the closing ``%`` of the pattern by its letter.
+    """
     fragment = fragment if isinstance(fragment, Column) else F.lit(fragment)
-    return F.ilike(path, F.concat(F.lit("%"), fragment, F.lit("%")))
+    pattern = F.concat(F.lit("%"), fragment, F.lit("%"))
+    return F.ilike(path, F.regexp_replace(pattern, r"(?s)(\\[%_\\])|\\(.)", "$1$2"))
 
 
 def filter_candidates(chunks: DataFrame, query: SearchQuery) -> DataFrame:
@@ -115,27 +122,6 @@ def score_terms(candidates: DataFrame, query: SearchQuery) -> DataFrame:
     )
 
 
-def contenders(terms: DataFrame, k: int) -> DataFrame:
-    """The rows that can still be among the best k once the maxima are known.
-
-    Rows that agree in all terms but the semantic one keep their order whatever
-    the maxima are, so each such class needs its best k rows only. Every maximum
-    is reached by a class leader too. The vectors are therefore read once, and
-    Spark cuts each class before the shuffle. The number of classes follows from
-    the query (hit counts, biases, trigram ratios), not from the table.
-    """
-    if k > WINDOW_PRUNING_LIMIT:
-        return terms
-    by_class = Window.partitionBy("lex", "tri", "bias", "noise").orderBy(
-        F.desc("sem"), *NATURAL_KEY
-    )
-    return (
-        terms.withColumn("class_rank", F.row_number().over(by_class))
-        .where(F.col("class_rank") <= k)
-        .drop("class_rank")
-    )
-
-
 def score_maxima(terms: DataFrame) -> DataFrame:
     """One row with the three maxima."""
     return terms.agg(
@@ -167,10 +153,15 @@ def best_first() -> list[Column]:
 
 
 def hybrid_search(chunks: DataFrame, query: SearchQuery) -> DataFrame:
-    """The best k chunks: natural key, score terms, score and rank."""
+    """The best k chunks: natural key, score terms, score and rank.
+
+    The maxima are needed before any score, so the thin terms of all candidates are
+    written to the shared folder once, and the vectors are read once for any k. The
+    maxima and the best k then come from the terms alone.
+    """
     if query.is_empty:
         return chunks.sparkSession.createDataFrame([], RANKED)
-    terms = contenders(score_terms(filter_candidates(chunks, query), query), query.k)
+    terms = materialize(score_terms(filter_candidates(chunks, query), query), "terms")
     best = with_score(with_maxima(terms)).orderBy(*best_first()).limit(query.k)
     # At most k rows are left, so one task may number them.
     ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(*best_first())))
@@ -178,20 +169,35 @@ def hybrid_search(chunks: DataFrame, query: SearchQuery) -> DataFrame:
 
 
 def attach_chunks(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Search results ``(chunk, score, rank)``: content is read for winners only.
+    """Search results ``(chunk, score, rank)`` from any table of chunks.
 
-    ``ranked`` holds at most k rows per query. Spark sees how few they are, joins
-    them by broadcast while they fit, and on a table partitioned by repository
-    and ref then reads the partitions of the winners only.
+    The chunks are joined as they come; ``fetch_chunks`` reads a stored table no wider
+    than the winners need.
     """
-    winners = ranked.select(*NATURAL_KEY, "score", "rank")
-    if "query_id" in ranked.columns:
-        winners = ranked.select("query_id", *NATURAL_KEY, "score", "rank")
-    joined = chunks.join(winners, NATURAL_KEY)
-    extra = [c for c in winners.columns if c not in NATURAL_KEY and c not in ("score", "rank")]
-    return joined.select(
+    extra = [c for c in ("query_id",) if c in ranked.columns]
+    winners = ranked.select(*extra, *NATURAL_KEY, "score", "rank")
+    return chunks.join(winners, NATURAL_KEY).select(
         *extra,
         F.struct(*RESULT_COLUMNS).alias("chunk"),
         sanitize_score(F.col("score")).alias("score"),
         "rank",
     )
+
+
+def fetch_chunks(ranked: DataFrame, table) -> DataFrame:
+    """``attach_chunks`` on a ``ChunkTable``: content is read for winners only.
+
+    The winners, at most k rows per query, are written down first. Their partitions are
+    then the only ones that are listed, and their paths a filter of the scan, which the
+    order of the stored files serves. Up to ``BROADCAST_ROWS`` winners are sent to the
+    content; beyond, Spark joins both sides as it sees fit.
+    """
+    extra = [c for c in ("query_id",) if c in ranked.columns]
+    winners = materialize(ranked.select(*extra, *NATURAL_KEY, "score", "rank"), "winners")
+    pairs = winners.select("repository", "ref").distinct().collect()
+    chunks = table.load(within=[tuple(pair) for pair in pairs])
+    paths = winners.select("path").distinct().limit(PUSHED_PATHS + 1).collect()
+    if len(paths) <= PUSHED_PATHS:
+        chunks = chunks.where(F.col("path").isin([row["path"] for row in paths]))
+    small = winners.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return attach_chunks(F.broadcast(winners) if small else winners, chunks)

@@ -135,7 +135,7 @@ chunks AS (
 
 QUERIES = """
 queries AS (
-  SELECT item_id AS query_id, substring(text, 1, 80) AS query_text, embedding AS query_vec
+  SELECT item_id AS query_id, text AS query_text, embedding AS query_vec
   FROM benchmark LEFT JOIN embeddings ON vec_id = item_id
 )"""
 
@@ -594,7 +594,7 @@ def oracle_sql() -> dict[str, str]:
               round(list_sum(summary_vec::DOUBLE[]), 6), {FIRST_RUN}
             FROM previous WHERE ref = 'old'""",
         "query_cross": f"""WITH {CHUNKS}, q AS (
-              SELECT substring(text, 1, 80) AS query_text FROM benchmark
+              SELECT text AS query_text FROM benchmark
               WHERE item_id = (SELECT max(item_id) FROM benchmark))
             SELECT doc_id, {_longest('query_text')} AS token,
               round({_tri('path', _longest('query_text'))}, 6) AS tri,
@@ -617,6 +617,9 @@ def oracle_sql() -> dict[str, str]:
               floor((0.2::DOUBLE + (score - low) / (high - low) * 0.8::DOUBLE) * 100 + 0.5)::INT
               END AS pct
             FROM shown JOIN bounds USING (query_id)""",
+        "batch_results": f"""WITH {_batch(5)}
+            SELECT query_id, rank, path, sha1(content) AS content_hash, round(score, 6) AS score
+            FROM best""",
         "batch_topk": f"WITH {_batch(5)} SELECT query_id, {SEARCH_COLUMNS}, rank FROM best",
         "topk": _search("true", 5),
         "clamp_limit": """SELECT doc_id, least(greatest(doc_id % 50 - 10, 1), 20) AS k

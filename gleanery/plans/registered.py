@@ -318,7 +318,7 @@ def q_index_job(spark, folder):
 def q_query_cross(spark, folder):
     """Parts of the one query, read by every chunk as scalar subqueries."""
     asked = corpus.table(spark, folder, "benchmark").agg(
-        F.max_by(F.substring("text", 1, 80), "item_id").alias("query_text")
+        F.max_by("text", "item_id").alias("query_text")
     )
     query = asked.select(
         text.longest_token(F.col("query_text")).alias("token"),
@@ -383,6 +383,17 @@ def q_display_pct(spark, folder):
     return shown.select("query_id", "rank", "pct")
 
 
+def q_batch_results(spark, folder):
+    """The winners of a batch with their chunks, from the stored table."""
+    table = _saved(spark, folder)
+    queries = corpus.queries(spark, folder)
+    found = search.fetch_chunks(batch_search(table.load(), queries, 5, stemmed=False), table)
+    return found.select(
+        "query_id", "rank", F.col("chunk.path").alias("path"),
+        F.sha1("chunk.content").alias("content_hash"), _six("score"),
+    )
+
+
 def q_batch_topk(spark, folder):
     return _ranked(_batch(spark, folder, 5), "query_id")
 
@@ -561,7 +572,8 @@ def q_result_counts(spark, folder):
 
 
 def q_index_stream(spark, folder):
-    """Change records in two files, folded into an empty table one after the other."""
+    """Change records in several micro-batches, the newer records first, folded into an
+    empty table."""
     feed = new_scratch(spark, "changes")
     files = corpus.documents(spark, folder)
     first = files.select(
@@ -574,9 +586,14 @@ def q_index_stream(spark, folder):
         F.concat("text", F.lit(" v2")).cast("binary").alias("content"),
         F.lit(corpus.SECOND_RUN).alias("changed_at"),
     )
-    first.write.parquet(feed)
-    second.write.mode("append").parquet(feed)
-    changes = spark.readStream.schema(CHANGES).parquet(feed)
+    second.write.parquet(feed)
+    first.write.mode("append").parquet(feed)
+    written = len(spark.read.parquet(feed).inputFiles())
+    changes = (
+        spark.readStream.schema(CHANGES)
+        .option("maxFilesPerTrigger", max(1, written // 2))
+        .parquet(feed)
+    )
     table = ChunkTable(spark, new_scratch(spark, "chunks"), corpus.DIM)
     stream = index_stream(
         changes, table, make_provider("stub", dim=corpus.DIM),
@@ -662,6 +679,7 @@ def queries() -> dict[str, Query]:
         "max_over_all": q_max_over_all,
         "display_pct": q_display_pct,
         "batch_topk": q_batch_topk,
+        "batch_results": q_batch_results,
         "topk": _searched(ref="", k=5),
         "clamp_limit": q_clamp_limit,
         "cosine_sim": _term("sem"),

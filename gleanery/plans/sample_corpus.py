@@ -101,12 +101,12 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, folder: str) -> DataFrame:
-    """Query table: the start of each benchmark text, with a vector."""
+    """Query table: every benchmark text, with a vector."""
     vectors = table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("item_id"), F.col("embedding").alias("query_vec")
     )
     return table(spark, folder, "benchmark").join(vectors, "item_id", "left").select(
-        F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("query_text"), "query_vec"
+        F.col("item_id").alias("query_id"), F.col("text").alias("query_text"), "query_vec"
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from gleanery.operators import catalog, results
 from gleanery.operators.search import (
     SearchQuery,
-    attach_chunks,
+    fetch_chunks,
     hybrid_search,
     parse_k,
     with_embedding,
@@ -39,7 +39,7 @@ def search(
     chunks = table.load(repository or None, ref or None)
     if not query.is_empty:
         query = with_embedding(query, provider.build())
-    return attach_chunks(hybrid_search(chunks, query), chunks)
+    return fetch_chunks(hybrid_search(chunks, query), table)
 
 
 def search_body(*args, **options) -> DataFrame:

@@ -71,13 +71,23 @@ def register_provider(name: str, factory: Callable[..., Provider]) -> None:
     _FACTORIES[name.lower()] = factory
 
 
+#: Characters of content that a hosted model takes; the specifications of such providers
+#: set it as their ``input_limit``.
+HOSTED_INPUT = 400_000
+
+
 @dataclass(frozen=True)
 class ProviderSpec:
-    """A chosen provider that tasks can build for themselves."""
+    """A chosen provider that tasks can build for themselves.
+
+    ``input_limit`` cuts the content a summary is made of; without one, the provider
+    gets whole texts.
+    """
 
     name: str
     factory: Callable[..., Provider]
     options: dict = field(default_factory=dict)
+    input_limit: int | None = None
 
     def build(self) -> Provider:
         return self.factory(**self.options)
@@ -87,16 +97,19 @@ class ProviderSpec:
         return self.options["dim"]
 
 
-def make_provider(name: str | None, **options) -> ProviderSpec:
+def make_provider(
+    name: str | None, input_limit: int | None = None, **options
+) -> ProviderSpec:
     """The provider of this name; raises ``ValueError`` if there is none."""
     if not name:
         raise ValueError("provider config is required")
     key = name.lower()
     if key in _HOSTED:
+        input_limit = input_limit or HOSTED_INPUT
         options["dim"] = options.get("dim") or default_dim(key, options.get("embed_model", ""))
     if key not in _FACTORIES:
         hint = "; register a client for it first" if key in _HOSTED else ""
         raise ValueError(f"unsupported provider: {name}{hint}")
     if not options.get("dim"):
         raise ValueError("embedding dimension must be set")
-    return ProviderSpec(key, _FACTORIES[key], options)
+    return ProviderSpec(key, _FACTORIES[key], options, input_limit)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import stat
+import time
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +30,8 @@ LIST_BUDGET = 20_000
 #: Bytes of file content per batch sent from a reading task, and per task.
 BATCH_BYTES = 32 << 20
 TASK_BYTES = 256 << 20
+#: Content that one value of a batch can hold; longer files count as unreadable.
+LONGEST_FILE = (1 << 31) - 1
 
 _LISTING = "repository string, ref string, root string, path string, is_dir boolean, size long"
 _MARKERS = tuple(f"/{d}/" for d in SKIP_DIRECTORIES)
@@ -80,6 +83,21 @@ def _entries(folder: str) -> Iterator[tuple[str, bool, int]]:
                 yield path, False, info.st_size
 
 
+def _listed(folder: str) -> list[tuple[str, bool, int]]:
+    """The entries of a folder; what fails after a few tries fails the run, as a tree
+    with unseen parts would look like a smaller tree."""
+    for wait in (0.1, 1.0, None):
+        try:
+            return list(_entries(folder))
+        except (FileNotFoundError, NotADirectoryError, PermissionError):
+            raise
+        except OSError:
+            if wait is None:
+                raise
+            time.sleep(wait)
+    return []
+
+
 def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     budget = LIST_BUDGET
     names = ["repository", "ref", "root", "path", "is_dir", "size"]
@@ -90,18 +108,15 @@ def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 folder = waiting.pop()
                 if any(m in f"{folder.lower()}/" for m in _MARKERS):
                     continue  # nothing below is indexed
-                try:
-                    for path, is_dir, size in _entries(folder):
-                        budget -= 1
-                        if is_dir:
-                            waiting.append(path)
-                        else:
-                            rows.append((path, False, size))
-                            if len(rows) >= 10_000:
-                                yield _listing(job, rows, names)
-                                rows = []
-                except OSError:  # an unreadable folder has no files
-                    continue
+                for path, is_dir, size in _listed(folder):
+                    budget -= 1
+                    if is_dir:
+                        waiting.append(path)
+                    else:
+                        rows.append((path, False, size))
+                        if len(rows) >= 10_000:
+                            yield _listing(job, rows, names)
+                            rows = []
             rows.extend((path, True, 0) for path in waiting)
             yield _listing(job, rows, names)
 
@@ -121,10 +136,10 @@ def _read_file(path: str) -> bytes | None:
         local = local_path(path)
         if local is not None:
             with open(local, "rb") as file:
-                return file.read()
+                return file.read() if os.fstat(file.fileno()).st_size < LONGEST_FILE else None
         system, inside, _ = _remote_path(path)
         with system.open_input_file(inside) as file:
-            return file.read()
+            return file.read() if file.size() < LONGEST_FILE else None
     except OSError:
         return None
 
@@ -170,7 +185,8 @@ def scan_jobs(jobs: DataFrame, keep_unreadable: bool = False) -> DataFrame:
 
     Skipped files are never opened. A job without a repository is a local tree:
     its repository is ``local`` and its ref the last element of its root.
-    Unreadable files are left out, or kept with null content on request. Jobs
+    A root or folder that cannot be listed raises. Unreadable files are left out,
+    or kept with null content on request, which ``unreadable_files`` counts. Jobs
     with a false ``enabled`` are left out too.
     """
     if "enabled" in jobs.columns:
@@ -192,6 +208,12 @@ def scan_jobs(jobs: DataFrame, keep_unreadable: bool = False) -> DataFrame:
     return files if keep_unreadable else files.where(F.col("content").isNotNull())
 
 
+def unreadable_files(files: DataFrame) -> DataFrame:
+    """How many files per repository and ref could not be read (see ``keep_unreadable``)."""
+    bad = files.where(F.col("content").isNull())
+    return bad.groupBy("repository", "ref").agg(F.count("*").alias("files"))
+
+
 def scan_tree(spark: SparkSession, root: str, repository: str = "", ref: str = "") -> DataFrame:
     """Files of one tree."""
     jobs = spark.createDataFrame(

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from gleanery.operators.delta import chunk_files
 from gleanery.plans.index_job import index_chunks
+from gleanery.session import empty, materialize
 from gleanery.sources.chunk_table import ChunkTable
 from gleanery.sources.providers import ProviderSpec
 
@@ -18,12 +21,35 @@ CHANGES = (
 )
 
 
+FILE = ["repository", "ref", "root", "path"]
+
+
 def last_changes(changes: DataFrame) -> DataFrame:
     """The last change of each file; of equal times, the greater content hash."""
-    key = ["repository", "ref", "root", "path"]
-    order = F.struct("changed_at", F.sha1("content"))
-    latest = changes.groupBy(*key).agg(F.max_by("content", order).alias("content"))
-    return latest.select(*key, "content")
+    order = F.struct("changed_at", F.sha1("content").alias("content_hash"))
+    latest = changes.groupBy(*FILE).agg(
+        F.max_by("content", order).alias("content"), F.max(order).alias("mark")
+    )
+    return latest.select(*FILE, "content", "mark")
+
+
+def _marks(spark: SparkSession, folder: str) -> DataFrame:
+    """The mark of the newest change that was indexed, per file."""
+    schema = ", ".join(f"{c} string" for c in FILE)
+    schema += ", mark struct<changed_at: timestamp, content_hash: string>"
+    try:
+        stored = spark.read.schema(schema).parquet(folder)
+    except AnalysisException:  # nothing was indexed yet
+        return empty(spark, T.StructType.fromDDL(schema))
+    return stored.groupBy(*FILE).agg(F.max("mark").alias("done"))
+
+
+def newer_changes(changes: DataFrame, marks: DataFrame) -> DataFrame:
+    """The last changes that are not older than what was indexed already."""
+    if "done" not in marks.columns:
+        return last_changes(changes)
+    known = last_changes(changes).join(marks, FILE, "left")
+    return known.where(F.col("done").isNull() | (F.col("mark") >= F.col("done"))).drop("done")
 
 
 def index_stream(
@@ -36,14 +62,21 @@ def index_stream(
 ) -> StreamingQuery:
     """Fold a stream of change records into the table, then stop.
 
-    Each micro-batch is one indexing run over the last change per file. A batch
-    that is replayed after a failure finds its content already indexed and
-    changes nothing but time stamps.
+    Each micro-batch is one indexing run over the last change per file. Beside the table,
+    ``changes`` keeps the time and hash of the newest change of each file, so a record
+    that arrives after a newer one changes nothing, however the records are split into
+    batches. A batch that is replayed after a failure finds its content already indexed
+    and changes nothing but time stamps.
     """
 
-    def fold(batch: DataFrame, _: int) -> None:
-        target = ChunkTable(batch.sparkSession, table.path, table.dim)
-        index_chunks(chunk_files(last_changes(batch)), target, provider, run_ts, max_calls)
+    def fold(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        target = ChunkTable(spark, table.path, table.dim)
+        seen = f"{table.path}/changes"
+        fresh = materialize(newer_changes(batch, _marks(spark, f"{seen}/*")), "fresh")
+        index_chunks(chunk_files(fresh.drop("mark")), target, provider, run_ts, max_calls)
+        marks = fresh.select(*FILE, "mark")
+        marks.write.mode("overwrite").parquet(f"{seen}/batch-{number}")
 
     return (
         changes.writeStream.foreachBatch(fold)

@@ -1,3 +1,4 @@
+import itertools
 import json
 from datetime import UTC, datetime
 
@@ -25,7 +26,6 @@ class CountingProvider(StubProvider):
     def summarize_batch(self, items):
         if any("boom" in content for _, _, content in items):
             raise RuntimeError("boom")
-        assert all(len(content) <= 400_000 for _, _, content in items)
         return [f"sum {len(c)}" if "blank" not in c else "  " for _, _, c in items]
 
     def embed_batch(self, texts):
@@ -100,7 +100,13 @@ def test_provider_failures(spark, table):
     run_index(files(spark, contents), table, COUNTING, DAY[0])
     got = {k[1]: r["summary"] for k, r in stored(table).items()}
     assert got == {"boom.py": "boom text", "blank.py": "blank", "ok.py": "sum 4",
-                   "big.txt": "sum 400000"}
+                   "big.txt": "sum 500000"}
+
+
+def test_input_limit_of_a_provider(spark, table):
+    short = make_provider("counting", input_limit=300, dim=DIM)
+    run_index(files(spark, {"big.txt": b"x" * 500}), table, short, DAY[0])
+    assert [r["summary"] for r in stored(table).values()] == ["sum 300"]
 
 
 def test_failed_embedding_is_null_then_retried_and_keeps_the_old_vector(spark, table):
@@ -285,3 +291,18 @@ def test_local_sessions_have_a_folder_of_their_own(spark, monkeypatch):
     Context.master = "spark://host:7077"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session())
+
+
+@pytest.mark.parametrize("order", list(itertools.permutations(range(3))))
+def test_stream_keeps_the_newest_change(spark, table, order):
+    """However records are split into batches, and whichever comes first."""
+    changes = [{"a.py": b"old", "b.py": b"only"}, {"a.py": b"newer"}, {"a.py": b"newest"}]
+    feed = new_scratch(spark, "feed")
+    for turn in order:
+        part = files(spark, changes[turn]).withColumn("changed_at", F.lit(DAY[turn]))
+        part.coalesce(1).write.mode("append").parquet(feed)
+        stream = index_stream(spark.readStream.schema(CHANGES).parquet(feed), table, STUB,
+                              f"{feed}-checkpoint", DAY[4])
+        stream.awaitTermination()
+    assert {k[1]: r["content"] for k, r in stored(table).items()} == {
+        "a.py": "newest", "b.py": "only"}

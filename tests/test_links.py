@@ -10,20 +10,20 @@ def _url(column, rows, **options):
 
 def test_source_url(column):
     rows = [
-        ("src/foo/bar.ts", None, None, "owner/repo", None),
-        ("https://raw.example.com/owner/repo/main/README.md", None, None, "", None),
-        ("git@github.com:owner/repo/src/index.js", None, None, "", None),
-        ("src/a", None, None, "owner/repo.git", "dev"),
+        ("jobs/nightly/clean.sql", None, None, "acme/warehouse", None),
+        ("http://files.example.net/x/y/notes.txt", None, None, "", None),
+        ("git@github.com:acme/tools/lib/run.rb", None, None, "", None),
+        ("etc", None, None, "acme/warehouse.git", "r/2"),
         ("/src/a.py", 3, 9, "https://github.com/o/r.git", "v1"),
         ("src/a.py", 3, 0, "github.com/o/r/tree/x", ""),
         ("see HTTP://x/y.git/z", 1, None, "o/r", None),
         ("a.py", 0, 4, "", None),
     ]
     assert _url(column, rows) == [
-        "https://github.com/owner/repo/blob/main/src/foo/bar.ts",
-        "https://raw.example.com/owner/repo/main/README.md",
-        "https://github.com/owner/repo/src/index.js",
-        "https://github.com/owner/repo/blob/dev/src/a",
+        "https://github.com/acme/warehouse/blob/main/jobs/nightly/clean.sql",
+        "http://files.example.net/x/y/notes.txt",
+        "https://github.com/acme/tools/lib/run.rb",
+        "https://github.com/acme/warehouse/blob/r/2/etc",
         "https://github.com/o/r/blob/v1/src/a.py#L3-L9",
         "https://github.com/o/r/blob/main/src/a.py#L3",
         "https://github.com/o/r/blob/main/HTTP://x/y/z#L1",

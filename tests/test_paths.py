@@ -5,17 +5,15 @@ from gleanery.functions import paths
 
 def test_should_skip(column):
     cases = {
-        "/project/main.go": False,
-        "/project/vendor/lib.go": True,
-        "/project/.git/config": True,
-        "/project/.terraform/state": True,
-        "/project/image.png": True,
-        "/project/document.pdf": True,
-        "/project/app.exe": True,
-        "/project/go.mod": True,
-        "/project/go.sum": True,
-        "/project/README.md": False,
-        "/project/script.sh": False,
+        "/w/jobs/etl.scala": False,
+        "/w/node_modules/left/pad.js": True,
+        "/w/vendor/a/b/c.rs": True,
+        "/w/sub/.git/HEAD": True,
+        "/w/scan.jpeg": True,
+        "/w/manual.zip": True,
+        "/w/go.sum": True,
+        "/w/notes/today.md": False,
+        "/w/bin.sh": False,
         "/project/Build/x.c": True,
         "vendor/lib.go": False,  # a marker needs its leading slash
         "/project/rebuild/x.c": False,
@@ -29,18 +27,15 @@ def test_should_skip(column):
 
 def test_guess_lang(column):
     cases = {
-        "main.go": "go",
-        "script.py": "python",
-        "README.md": "markdown",
-        "config.yaml": "yaml",
-        "config.yml": "yaml",
-        "package.json": "json",
-        "script.sh": "shell",
-        "app.js": "javascript",
-        "app.ts": "typescript",
-        "Main.java": "java",
-        "app.rb": "ruby",
-        "infra.tf": "terraform",
+        "cmd/serve.go": "go",
+        "etl/load.py": "python",
+        "docs/usage.md": "markdown",
+        "ci/jobs.yml": "yaml",
+        "data/rows.json": "json",
+        "tools/run.sh": "shell",
+        "web/view.js": "javascript",
+        "web/model.ts": "typescript",
+        "net/main.tf": "terraform",
         "unknown.xyz": "xyz",
         "Makefile": "",
         ".gitignore": "gitignore",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.scoring import hybrid_score
 from gleanery.operators import search
-from gleanery.operators.batch_search import Vocabulary, _like_regex, batch_search, query_slices
+from gleanery.operators.batch_search import Vocabulary, batch_search, query_slices
 from gleanery.operators.search import SearchQuery, hybrid_search
 from gleanery.plans import sample_corpus as corpus
 from gleanery.schema import CHUNK, NATURAL_KEY
@@ -130,12 +130,43 @@ def test_slices_are_bounded_and_complete(spark):
     assert sorted(r["query_id"] for s in slices for r in s) == list(range(57))
 
 
-def test_like_regex_agrees_with_ilike(column):
-    fragments = ["a", "A_c", "%", "a%c", r"a\%", r"\_", "x.y", "(", ""]
-    texts = ["abc", "ABC", "a%", "a_b", "x.y", "xzy", "f(x)", "a\nc", ""]
-    rows = list(itertools.product(texts, fragments))
+def _like(pattern: str, text: str) -> bool:
+    """LIKE without case, a character at a time."""
+    if not pattern:
+        return not text
+    head, rest = pattern[0], pattern[1:]
+    if head == "%":
+        return any(_like(rest, text[i:]) for i in range(len(text) + 1))
+    if head == "\\" and rest:
+        head, rest = rest[0], rest[1:]
+    elif head == "_":
+        return bool(text) and _like(rest, text[1:])
+    return bool(text) and text[0].lower() == head.lower() and _like(rest, text[1:])
+
+
+FRAGMENTS = ["a", "A_c", "%", "a%c", r"a\%", r"\_", "x.y", "(", "", r"\m", r"src\main", "foo\\",
+             r"a\\b", r"\\", r"\a\%"]
+TEXTS = ["abc", "ABC", "a%", "a_b", "x.y", "xzy", "f(x)", "a\nc", "", "srcmain", "foo%", "a\\b", "m"]
+
+
+def test_path_fragments(column):
+    rows = list(itertools.product(TEXTS, FRAGMENTS))
     got = column(rows, "t string, f string", search.path_matches(F.col("t"), F.col("f")))
-    assert got == [_like_regex(f).search(t) is not None for t, f in rows]
+    assert got == [_like(f"%{f}%", t) for t, f in rows]
+
+
+def test_path_fragments_in_batches(spark):
+    """Batch and single searches agree on every legal fragment."""
+    rows = [(f"i{i}", "r", "m", t, "go", "alpha", "", 1, 1, [1.0, 0.0], "h", None, None)
+            for i, t in enumerate(TEXTS)]
+    chunks = spark.createDataFrame(rows, CHUNK)
+    queries = spark.createDataFrame(
+        [(i, "alpha", [1.0, 0.0], f) for i, f in enumerate(FRAGMENTS)],
+        "query_id int, query_text string, query_vec array<float>, path_contains string")
+    found = batch_search(chunks, queries, 99).collect()
+    for i, fragment in enumerate(FRAGMENTS):
+        paths = {r["path"] for r in found if r["query_id"] == i}
+        assert paths == {t for t in TEXTS if not fragment or _like(f"%{fragment}%", t)}
 
 
 def test_vocabulary_counts_repeats():
@@ -158,26 +189,40 @@ def _executed(frame) -> str:
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-def test_plan_reads_vectors_once_and_no_content(spark, small):
+@pytest.mark.parametrize("k", [10, 5000])
+def test_plan_reads_vectors_once_and_no_content(spark, small, k, monkeypatch):
     table = ChunkTable(spark, new_scratch(spark, "plan"), corpus.DIM)
     table.save(corpus.chunks(spark, small))
-    query = corpus.flagship_query(spark, small)
-    plan = _executed(hybrid_search(table.load(), query))
-    assert "ReusedExchange" in plan
-    assert "content" not in plan
+    query = corpus.flagship_query(spark, small, k=k)
+    written = []
+    keep = search.materialize
+    monkeypatch.setattr(search, "materialize", lambda df, name: written.append(df) or keep(df, name))
+    found = hybrid_search(table.load(), query)
+    (terms,) = written
+    plan = _executed(terms)
+    assert "content" not in plan and "Exchange" not in plan
     assert re.search(r"PartitionFilters: \[.*main", plan)
-    # Candidates are cut in their own partitions before the only shuffle.
-    assert re.search(r"Exchange hashpartitioning.*\n\W*WindowGroupLimit.*Partial", plan)
+    plan = _executed(found)
+    assert "summary_vec" not in plan
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-def test_attach_chunks_reads_winning_partitions_only(spark, small):
+@pytest.mark.parametrize("batch", [False, True])
+def test_winners_partitions_alone_are_read(spark, small, batch):
     table = ChunkTable(spark, new_scratch(spark, "plan"), corpus.DIM)
     table.save(corpus.chunks(spark, small))
     chunks = table.load()
-    query = corpus.flagship_query(spark, small)
-    results = search.attach_chunks(hybrid_search(chunks, query), chunks)
+    if batch:
+        ranked = batch_search(chunks, corpus.queries(spark, small).limit(3), 1)
+    else:
+        ranked = hybrid_search(chunks, corpus.flagship_query(spark, small, k=2))
+    winners = ranked.collect()
+    results = search.fetch_chunks(ranked, table)
+    assert results.count() == len(winners)
     plan = _executed(results)
-    assert "dynamicpruning" in plan.lower()
-    assert results.count() == query.k
+    pairs = {(r["repository"], r["ref"]) for r in winners}
+    read = {tuple(f.split("/")[-3:-1]) for f in results.inputFiles() if "repository=" in f}
+    assert {(r.split("=")[1], f.split("=")[1]) for r, f in read} == pairs
+    assert "In(path" in plan
+    assert not re.search(r"Exchange hashpartitioning[^\n]*\n[^\n]*content", plan)
     assert set(NATURAL_KEY) <= set(results.select("chunk.*").columns)

@@ -36,14 +36,42 @@ def test_scan_tree(spark, root):
 @pytest.mark.parametrize("scheme", ["", "file://"])
 def test_scan_jobs(spark, root, scheme):
     jobs = spark.createDataFrame(
-        [("https://host/a.git", "v1", f"{scheme}{root}/deep"), ("", "x", f"{scheme}{root}/.github"),
-         ("gone", "main", f"{scheme}{root}/missing")],
+        [("https://host/a.git", "v1", f"{scheme}{root}/deep"), ("", "x", f"{scheme}{root}/.github")],
         "repository string, ref string, root string")
     got = {(r["repository"], r["ref"], r["path"].split("/")[-1])
            for r in tree.scan_jobs(jobs).collect()}
     assert got == {("https://host/a.git", "v1", "d.txt"), ("local", ".github", "ci.yml")}
 
 
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_what_cannot_be_listed_raises(spark, root, scheme, monkeypatch):
+    for name in ("missing", "main.go"):
+        with pytest.raises(Exception, match="FileNotFound|NotADirectory"):
+            tree.scan_tree(spark, f"{scheme}{root}/{name}").collect()
+
+
+def test_forbidden_folder_raises(root, monkeypatch):
+    tries = []
+
+    def entries(folder):
+        tries.append(folder)
+        raise PermissionError(folder) if "secret" in folder else OSError("busy")
+
+    monkeypatch.setattr(tree, "_entries", entries)
+    monkeypatch.setattr(tree.time, "sleep", lambda _: None)
+    with pytest.raises(PermissionError):
+        tree._listed("/secret")
+    with pytest.raises(OSError, match="busy"):
+        tree._listed("/shared")
+    assert tries == ["/secret", "/shared", "/shared", "/shared"]
+
+
+def test_too_long_files_are_unreadable(root, monkeypatch):
+    monkeypatch.setattr(tree, "LONGEST_FILE", 5)
+    assert tree._read_file(f"{root}/deep/a/b/c/d.txt") == b"deep"
+    assert tree._read_file(f"{root}/main.go") is None
+
+
 def test_small_budget_takes_more_rounds(spark, root, monkeypatch):
     monkeypatch.setattr(tree, "LIST_BUDGET", 1)
     rows = tree.scan_tree(spark, root).collect()
@@ -57,6 +85,8 @@ def test_unreadable_files(spark, root, monkeypatch):
     monkeypatch.setattr(tree, "list_files", lambda _: listed)
     kept = {r["path"].split("/")[-1]: r["content"] for r in tree.scan_jobs(jobs, True).collect()}
     assert kept["main.go"] is None and kept["link.go"] is None
+    counts = tree.unreadable_files(tree.scan_jobs(jobs, True)).collect()
+    assert [(r["repository"], r["ref"], r["files"]) for r in counts] == [("r", "m", 2)]
     assert "main.go" not in [r["path"].split("/")[-1] for r in tree.scan_jobs(jobs).collect()]
 
 
