@@ -15,17 +15,37 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     and then from its smaller neighbours, which flattens a chain in a logarithmic number
     of rounds. Neighbours are never gathered: a round takes minima (combined before the
     shuffle) and joins them back, so a hub costs no more than its links. Rounds end when
-    no link changes; each is written to the shared folder.
+    all links lead to roots; each is written to the shared folder.
     """
     edges = save(_ordered(links), folder, "links")
-    state = _state(edges)
-    while state[0]:
+    while not _flat(edges):
         edges = save(_small_star(_large_star(edges)), folder, "links")
-        before, state = state, _state(edges)
-        if state == before:
-            break
-    nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    roots = edges.select("b").distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        roots.select(F.col("b").alias("node"), F.col("b").alias("root"))
+    )
+
+
+def merged(roots: DataFrame, links: DataFrame, folder: str) -> DataFrame:
+    """Components after further links: their roots are joined, other nodes follow."""
+    ends = links
+    for end in ("a", "b"):
+        root = roots.select(F.col("node").alias(end), F.col("root").alias("r"))
+        ends = ends.join(root, end, "left").withColumn(end, F.coalesce("r", end)).drop("r")
+    up = save(components(ends, folder), folder, "up")
+    new = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = roots.join(new, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    fresh = up.join(roots.select("node"), "node", "left_anti")
+    return save(moved.unionByName(fresh), folder, "roots")
+
+
+def _flat(edges: DataFrame) -> bool:
+    """Whether each node has one link, and no link leads to a node that has one."""
+    ends = edges.select("a", F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(
+        edges.select(F.col("b").alias("a"), F.lit(0).alias("out"), F.lit(1).alias("in"))
+    )
+    degree = ends.groupBy("a").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return degree.where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("in") > 0))).isEmpty()
 
 
 def _ordered(links: DataFrame) -> DataFrame:
@@ -37,10 +57,6 @@ def _ordered(links: DataFrame) -> DataFrame:
     )
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 2**31)).first())
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import job_folder, save
-from gleanery.llm.components import components
+from gleanery.llm.components import merged
 from gleanery.llm.wordhash import (
     batches,
     mix,
@@ -53,6 +53,8 @@ SIMILAR = 85
 K = 32
 NEED = 20
 SHORT = 24
+#: How many times more hubs of a list each further round takes.
+HUB_GROWTH = 64
 #: Least estimate that goes on to the exact comparison: more than five standard
 #: deviations of a K-sample below the limit.
 LEAST_ESTIMATE = 0.5
@@ -126,14 +128,16 @@ def _exploded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+def _compared(pairs: DataFrame, roots: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+    """``roots`` after the exact comparison of ``pairs``."""
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("members_a"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("members_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     found = both.select("a", "b", "members_a", "members_b").mapInArrow(
         _compare, "a binary, b binary"
     )
-    return save(found, folder, "links")
+    links = save(found, folder, "links")
+    return roots if links.isEmpty() else merged(roots, links, folder)
 
 
 def _with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -229,9 +233,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         .agg(F.first("members").alias("members")),
         folder, "sets",
     )
-    links, roots = _linked(pairs, sets, folder)
+    none = "node binary, root binary"
+    roots = _linked(pairs, documents.sparkSession.createDataFrame([], none), sets, folder)
     if not crowded.isEmpty():
-        links, roots = _crowded_links(crowded, sets, classes, links, roots, folder)
+        roots = _crowded_links(crowded, sets, classes, roots, folder)
     named = (
         classes.select("node", "least_id")
         .join(roots, "node", "left")
@@ -251,32 +256,20 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Compare candidate pairs, best estimates first, while they are not connected."""
+def _linked(pairs: DataFrame, roots: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+    """``roots`` after comparing candidate pairs: of each document the best estimate
+    first, then all pairs that are not connected yet."""
     best = Window.partitionBy("b").orderBy(F.col("estimate").desc(), "a")
-    left = save(pairs.withColumn("turn", F.row_number().over(best)), folder, "turns")
-    links, roots, upto, before = None, None, 1, 0
-    turns = left.agg(F.max("turn")).first()[0] or 0
-    while before < turns:
-        now = left.where((F.col("turn") > before) & (F.col("turn") <= upto))
-        before, upto = upto, upto * 8
-        if roots is not None:
-            now = save(_with_roots(now, roots), folder, "now")
-            if now.isEmpty():
-                continue
-        found = _compared(now, sets, folder)
-        links = found if links is None else links.unionByName(found)
-        roots = components(links, folder)
-    if links is None:
-        links = pairs.select("a", "b")
-        roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return links, roots
-
-
-def _crowded_links(crowded, sets, classes, links, roots, folder):
-    """Links between crowded documents, by their rarest shingles and by hubs."""
-    members = sets.join(crowded, "node").select("node", "n", "members")
-    exploded = members.select("node", "members").mapInArrow(_exploded, "node binary, v bigint")
+    turns = save(pairs.withColumn("turn", F.row_number().over(best)), folder, "turns")
+    roots = _compared(turns.where("turn = 1"), roots, sets, folder)
+    return _compared(_with_roots(turns.where("turn > 1"), roots), roots, sets, folder)
+
+
+def _crowded_links(crowded, sets, classes, roots, folder) -> DataFrame:
+    """``roots`` after links between crowded documents, by their rarest shingles and by
+    hubs."""
+    members = sets.join(crowded, "node").select("node", "members")
+    exploded = members.mapInArrow(_exploded, "node binary, v bigint")
     lengths = exploded.groupBy("v").agg(F.count("*").alias("length"))
     rare = Window.partitionBy("node").orderBy("length", "v")
     ranked = (
@@ -286,20 +279,23 @@ def _crowded_links(crowded, sets, classes, links, roots, folder):
         .join(crowded, "node")
     )
     differ = F.floor(F.col("n") * (100 - SIMILAR) / 100) + 1
+    # Of all values that two documents share, the rarest one brings them together.
+    order = F.array_sort(F.collect_list(F.struct("length", "v")).over(Window.partitionBy("node")))
     prefix = save(
-        ranked.where((F.col("rank") <= differ) & (F.col("length") > 1)), folder, "prefix"
+        ranked.where((F.col("rank") <= differ) & (F.col("length") > 1)).withColumn(
+            "values", F.transform(order, lambda x: x["v"])
+        ),
+        folder, "prefix",
     )
-    short = prefix.where(F.col("length") <= SHORT)
-    pairs = save(_estimated(_pairs(short), classes), folder, "pairs")
-    apart = _with_roots(pairs, roots)
-    if not apart.isEmpty():
-        links = links.unionByName(_linked(apart, sets, folder)[0])
-        roots = components(links, folder)
+    short = _with_roots(_pairs(prefix.where(F.col("length") <= SHORT)), roots)
+    pairs = save(_estimated(short, classes), folder, "pairs")
+    if not pairs.isEmpty():
+        roots = _linked(pairs, roots, sets, folder)
     long = save(prefix.where(F.col("length") > SHORT), folder, "long")
-    return _hub_links(long, sets, classes, links, roots, folder)
+    return _hub_links(long, sets, classes, roots, folder)
 
 
-def _hub_links(long, sets, classes, links, roots, folder):
+def _hub_links(long, sets, classes, roots, folder) -> DataFrame:
     """Compare members of long lists with hubs until each list is one component or all
     its pairs are compared. A round takes one hub from each hash bucket of a list."""
     used, buckets = None, 1
@@ -310,25 +306,23 @@ def _hub_links(long, sets, classes, links, roots, folder):
         fresh = at if used is None else at.join(used, ["v", "node"], "left_anti")
         bucket = F.pmod(F.xxhash64("node"), F.lit(buckets))
         top = fresh.groupBy("v", bucket.alias("bucket")).agg(
-            F.max(F.struct("common", "node", "n", "root")).alias("h")
+            F.max(F.struct("common", "node", "n", "root", "values")).alias("h")
         )
         hubs = save(top.select("v", "h.*"), folder, "hubs")
         if hubs.isEmpty():
-            return links, roots
-        hub = hubs.select("v", *[F.col(c).alias(f"h_{c}") for c in ("node", "n", "root")])
-        sizes = 100 * F.least("n", "h_n") >= SIMILAR * F.greatest("n", "h_n")
+            return roots
+        m, h = at.alias("m"), hubs.alias("h")
+        sizes = 100 * F.least("m.n", "h.n") >= SIMILAR * F.greatest("m.n", "h.n")
+        first = F.array_intersect("m.values", "h.values")[0] == F.col("m.v")
+        met = (F.col("m.v") == F.col("h.v")) & (F.col("m.root") != F.col("h.root")) & sizes & first
         pairs = (
-            at.join(hub, "v")
-            .where((F.col("root") != F.col("h_root")) & sizes)
-            .select(F.least("node", "h_node").alias("a"), F.greatest("node", "h_node").alias("b"))
+            m.join(h, met)
+            .select(F.least("m.node", "h.node").alias("a"), F.greatest("m.node", "h.node").alias("b"))
             .distinct()
         )
-        pairs = save(_estimated(pairs, classes), folder, "pairs")
-        if not pairs.isEmpty():
-            links = links.unionByName(_compared(pairs, sets, folder))
-            roots = components(links, folder)
+        roots = _compared(_estimated(pairs, classes), roots, sets, folder)
         used = hubs.select("v", "node") if used is None else used.union(hubs.select("v", "node"))
-        buckets *= 8
+        buckets *= HUB_GROWTH
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
