@@ -13,7 +13,7 @@ for each row; an empty table gives an empty result. Only two columns are read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import job_folder, save
@@ -25,36 +25,46 @@ CUT = 4
 LEAST = 2
 
 
-def _chunked(texts: DataFrame, *more: str) -> DataFrame:
-    """doc_id, key, ``more``, lines and ``ends`` (lines up to the end of each chunk)."""
-    lines = F.split("text", "\n")
-    hashed = texts.select(
-        "doc_id", "key", *more, lines.alias("lines"),
-        F.transform(lines, lambda line: F.md5(line)).alias("hashes"),
-    )
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def chunks(text: Column) -> Column:
+    """The chunks of a text in order: array of (c, n lines, chunk)."""
     cuts = list("0123456789abcdef"[:CUT])
-    n = F.size("hashes")
 
-    def ends_chunk(i):
+    def ends_chunk(hashes, i):
         first = F.greatest(i - ROLL + 1, F.lit(1))
-        rolled = F.md5(F.concat_ws("", F.slice("hashes", first, i - first + 1)))
-        return (i == n) | F.substring(rolled, 32, 1).isin(cuts)
+        rolled = F.md5(F.concat_ws("", F.slice(hashes, first, i - first + 1)))
+        return (i == F.size(hashes)) | F.substring(rolled, 32, 1).isin(cuts)
+
+    def cut(lines, ends):
+        def one(end, c):
+            start = F.when(c == 0, 0).otherwise(F.get(ends, c - 1))
+            chunk = F.array_join(F.slice(lines, start + 1, end - start), "\n")
+            return F.struct(c.alias("c"), (end - start).alias("n"), chunk.alias("chunk"))
+
+        return F.transform(ends, one)
+
+    def of_lines(lines):
+        hashes = F.transform(lines, lambda line: F.md5(line))
+        ends = _bound(
+            hashes,
+            lambda h: F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: ends_chunk(h, i)),
+        )
+        return _bound(ends, lambda e: cut(lines, e))
 
-    found = F.filter(F.sequence(F.lit(1), n), ends_chunk)
-    ends = F.when(F.col("hashes").isNull(), F.array().cast("array<int>")).otherwise(found)
-    return hashed.select("doc_id", "key", *more, "lines", ends.alias("ends"))
+    found = _bound(F.split(text, "\n"), of_lines)
+    none = F.array().cast("array<struct<c:int,n:int,chunk:string>>")
+    return F.when(text.isNull(), none).otherwise(found)
 
 
-def _chunks(chunked: DataFrame, *more: str) -> DataFrame:
+def _removable(texts: DataFrame, *more: str) -> DataFrame:
     """One row per chunk that could be removed: place, hash and text."""
-    start = F.when(F.col("c") == 0, 0).otherwise(F.get("ends", F.col("c") - 1))
-    lines = F.slice("lines", F.col("start") + 1, F.col("end") - F.col("start"))
-    return (
-        chunked.select("*", F.posexplode("ends").alias("c", "end"))
-        .withColumn("start", start)
-        .where(F.col("end") - F.col("start") >= LEAST)
-        .select("doc_id", "key", *more, "c", F.array_join(lines, "\n").alias("chunk"))
-        .withColumn("chunk_hash", F.md5("chunk"))
+    large = F.filter(chunks(F.col("text")), lambda x: x["n"] >= LEAST)
+    return texts.select("doc_id", "key", *more, F.inline(large)).withColumn(
+        "chunk_hash", F.md5("chunk")
     )
 
 
@@ -69,12 +79,13 @@ def line_dedup(documents: DataFrame) -> DataFrame:
 
     Chunk hashes are grouped with their first and last place, combined before the
     shuffle. Only documents with a repeated hash hand out chunk texts, which meet again
-    by hash and bytes. The texts shuffle once; the second join reuses that exchange.
+    by hash and bytes. The texts shuffle for each of both joins, whatever the size of the
+    other side, which grows with the corpus.
     """
     folder = job_folder(documents.sparkSession, "lines")
     place = F.struct("doc_id", "key", "c")
     texts = documents.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    thin = _chunks(_chunked(texts)).select("doc_id", "key", "c", "chunk_hash")
+    thin = _removable(texts).select("doc_id", "key", "c", "chunk_hash")
     repeated = (
         thin.groupBy("chunk_hash")
         .agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -88,15 +99,13 @@ def line_dedup(documents: DataFrame) -> DataFrame:
     )
     suspected = (
         texts.alias("t")
-        .join(suspects.alias("s"), _same("t", "s"))
+        .join(suspects.hint("merge").alias("s"), _same("t", "s"))
         .select("t.doc_id", "t.key", "t.text", "s.suspects")
     )
-    chunks = _chunks(_chunked(suspected, "suspects"), "suspects").where(
-        F.array_contains("suspects", F.col("c"))
-    )
-    first = chunks.groupBy("chunk_hash", "chunk").agg(F.min(place).alias("first"))
+    found = _removable(suspected, "suspects").where(F.array_contains("suspects", F.col("c")))
+    first = found.groupBy("chunk_hash", "chunk").agg(F.min(place).alias("first"))
     losers = save(
-        chunks.join(first, ["chunk_hash", "chunk"])
+        found.join(first, ["chunk_hash", "chunk"])
         .where(place != F.col("first"))
         .groupBy("doc_id", "key")
         .agg(F.collect_set("c").alias("removed")),
@@ -104,35 +113,27 @@ def line_dedup(documents: DataFrame) -> DataFrame:
     )
     marked = (
         texts.alias("t")
-        .join(losers.alias("l"), _same("t", "l"), "left")
+        .join(losers.hint("merge").alias("l"), _same("t", "l"), "left")
         .select(
             "t.doc_id", "t.key", "t.text",
             F.coalesce("l.removed", F.array().cast("array<int>")).alias("removed"),
         )
     )
-    return _without(_chunked(marked, "removed"))
+    return _without(marked)
 
 
-def _without(chunked: DataFrame) -> DataFrame:
-    """The lines that the removed chunks leave."""
-    begin = lambda c: F.when(c == 0, 0).otherwise(F.get("ends", c - 1))
-    spans = F.transform(
-        F.col("removed"), lambda c: F.struct(begin(c).alias("a"), F.get("ends", c).alias("b"))
-    )
-    kept = F.filter(
-        "lines", lambda _, i: ~F.exists("spans", lambda s: (s["a"] <= i) & (i < s["b"]))
-    )
-    n_lines = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines"))
-    return chunked.withColumn("spans", spans).select(
+def _without(marked: DataFrame) -> DataFrame:
+    """What the removed chunks leave of the texts."""
+    gone = lambda x: F.array_contains("removed", x["c"])
+    lines = lambda total, x: total + x["n"]
+    none = F.lit(0).cast("long")
+    left = F.transform(F.filter("chunks", lambda x: ~gone(x)), lambda x: x["chunk"])
+    return marked.select("doc_id", "removed", chunks(F.col("text")).alias("chunks")).select(
         "doc_id",
-        n_lines.cast("long").alias("n_lines"),
-        F.size("ends").cast("long").alias("n_chunks"),
-        F.aggregate(
-            "spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"]
-        ).alias("n_removed"),
-        F.when(F.size("spans") == 0, F.array_join("lines", "\n"))
-        .otherwise(F.array_join(kept, "\n"))
-        .alias("kept_text"),
+        F.aggregate("chunks", none, lines).alias("n_lines"),
+        F.size("chunks").cast("long").alias("n_chunks"),
+        F.aggregate(F.filter("chunks", gone), none, lines).alias("n_removed"),
+        F.array_join(left, "\n").alias("kept_text"),
     )
 
 
