@@ -38,8 +38,9 @@ BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
 #: Leading bits of a name that decide whether it may occur again.
 NAME_BITS = 44
-#: Windows whose names are computed at once, and bits that hold a place among them.
-PIECE = 1 << 18
+#: Windows whose names are computed at once (arrays that stay in a core's cache), and bits
+#: that hold a place among them.
+PIECE = 1 << 15
 PLACE_BITS = 20
 
 _BLOCK = "block bigint, ids array<bigint>, lengths array<bigint>, payload binary"
@@ -405,7 +406,8 @@ def repeated_windows(
         .agg(F.collect_list(F.struct("bucket", "bits")).alias("again"))
     )
     again = save(again, folder, "again")
-    sent = blocks.join(again, "block").mapInArrow(
+    # The answers grow with the corpus: both joins shuffle, whatever their size today.
+    sent = blocks.join(again.hint("merge"), "block").mapInArrow(
         _send_segments(units, buckets), "bucket int, block bigint, payload binary"
     )
     marks = (
@@ -421,4 +423,4 @@ def repeated_windows(
             for i, block in enumerate(_blocks(part)):
                 yield finish(block, window_marks(part.column("marks")[i].as_py() or []))
 
-    return blocks.join(marks, "block", "left").mapInArrow(last, schema)
+    return blocks.join(marks.hint("merge"), "block", "left").mapInArrow(last, schema)
