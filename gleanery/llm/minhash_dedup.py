@@ -1,18 +1,19 @@
 """MinHash near-dedup: bottom-k sketches from one hash function.
 
 A document is the set of hashes of its five-word shingles; its sketch keeps the k
-smallest. Two documents with similarity of at least ``SIMILAR`` differ in few sketch
-values, so the inverted lists of the retained values bring every linked pair together.
+smallest. Two documents with similarity of at least the limit (``SIMILAR`` percent for
+the query, any other by the parameter ``similar``) differ in few sketch values, so the inverted lists of the retained values bring every linked pair together.
 Sketches of a pair give the bottom-k of its union, whose share of common values is an
 estimate that filters; full sets decide.
 
 Lists that many documents share need care, because their pairs are not emitted:
 
 * A document most of whose retained values have short lists meets each of its partners
-  in a short list: a linked pair would have to differ in ``NEED`` of ``K`` values.
+  in a short list: a linked pair would have to differ in so many of ``K`` values that
+  the chance is below ``MISS``.
 * The other documents (*crowded*) are indexed by their full sets instead: of a linked
-  pair's 15 % rarest shingles at least one is common, and a rare shingle has a short
-  list again.
+  pair's rarest shingles (15 % at 85) at least one is common, and a rare shingle has a
+  short list again.
 * Where even the rarest shingles are common, documents are near copies in large groups.
   They meet hubs of their list (those of the most common shingles), at first one, then
   more and more, and only while they are in different components, until each pair of a
@@ -28,11 +29,12 @@ are read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import job_folder, save
@@ -48,16 +50,34 @@ from gleanery.llm.wordhash import (
 
 SHINGLE = 5
 SIMILAR = 85
-#: Retained values; how many of them must have short lists for a document that is not
-#: crowded; members of the longest short list.
+#: Retained values; members of the longest short list.
 K = 32
-NEED = 20
 SHORT = 24
 #: How many times more hubs of a list each further round takes.
 HUB_GROWTH = 64
-#: Least estimate that goes on to the exact comparison: more than five standard
-#: deviations of a K-sample below the limit.
-LEAST_ESTIMATE = 0.5
+#: Chance that a linked pair differs in as many retained values as a document that is not
+#: crowded has in short lists, and that its estimate lies below the least one that goes on
+#: to the exact comparison.
+MISS = 2e-9
+LOW = 1e-6
+
+
+def unlike(similar: int, chance: float) -> int:
+    """The least number of ``K`` values of which a pair at ``similar`` percent differs in
+    so many or more with less than ``chance``."""
+    p = 1 - similar / 100
+    tail, m = 0.0, K + 1
+    while m > 0:
+        tail += math.comb(K, m - 1) * p ** (m - 1) * (1 - p) ** (K - m + 1)
+        if tail >= chance:
+            break
+        m -= 1
+    return m
+
+
+def _differ(similar: int) -> Column:
+    """Of so many of a set's values a set that is similar enough has at least one."""
+    return F.floor(F.col("n") * (100 - similar) / 100) + 1
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -104,17 +124,21 @@ def _full_sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(similar: int):
     """Keep the pairs whose full sets are similar enough."""
-    for part in parts:
-        keep = []
-        left, right = part.column("members_a"), part.column("members_b")
-        for i in range(len(part)):
-            a = np.frombuffer(left[i].as_buffer(), np.uint64)
-            b = np.frombuffer(right[i].as_buffer(), np.uint64)
-            common = len(a) + len(b) - len(np.union1d(a, b))
-            keep.append(100 * common >= SIMILAR * (len(a) + len(b) - common))
-        yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            keep = []
+            left, right = part.column("members_a"), part.column("members_b")
+            for i in range(len(part)):
+                a = np.frombuffer(left[i].as_buffer(), np.uint64)
+                b = np.frombuffer(right[i].as_buffer(), np.uint64)
+                common = len(a) + len(b) - len(np.union1d(a, b))
+                keep.append(100 * common >= similar * (len(a) + len(b) - common))
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _exploded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,13 +152,15 @@ def _exploded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _compared(pairs: DataFrame, roots: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+def _compared(
+    pairs: DataFrame, roots: DataFrame, sets: DataFrame, folder: str, similar: int
+) -> DataFrame:
     """``roots`` after the exact comparison of ``pairs``."""
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("members_a"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("members_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     found = both.select("a", "b", "members_a", "members_b").mapInArrow(
-        _compare, "a binary, b binary"
+        _compare(similar), "a binary, b binary"
     )
     links = save(found, folder, "links")
     return roots if links.isEmpty() else merged(roots, links, folder)
@@ -154,33 +180,34 @@ def _listed(postings: DataFrame) -> DataFrame:
     return postings.join(lengths, "v")
 
 
-def _pairs(listed: DataFrame) -> DataFrame:
+def _pairs(listed: DataFrame, similar: int) -> DataFrame:
     """Pairs of short lists whose sizes allow a link."""
     columns = ["v", "node", "n"]
     a, b = listed.select(columns).alias("a"), listed.select(columns).alias("b")
-    sizes = 100 * F.least("a.n", "b.n") >= SIMILAR * F.greatest("a.n", "b.n")
+    sizes = 100 * F.least("a.n", "b.n") >= similar * F.greatest("a.n", "b.n")
     same = (F.col("a.v") == F.col("b.v")) & (F.col("a.node") < F.col("b.node")) & sizes
     return a.join(b, same).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _estimated(pairs: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
     """Pairs with the similarity that the bottom-k of their union suggests."""
     sketch = lambda c: classes.select(
         F.col("node").alias(c), F.col("sketch").alias(f"s_{c}")
     )
     union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, K)
     shared = F.size(F.array_intersect("union", F.array_intersect("s_a", "s_b")))
+    least = (K - unlike(similar, LOW) + 1) / K
     return (
         pairs.join(sketch("a"), "a")
         .join(sketch("b"), "b")
         .withColumn("union", union)
         .select("a", "b", (shared / F.size("union")).alias("estimate"))
-        .where(F.col("estimate") >= LEAST_ESTIMATE)
+        .where(F.col("estimate") >= least)
     )
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, key (hash of the text), n_shingles, root (names the
+def near_duplicates(documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """Links are pairs of at least ``similar`` percent. One row per input row: doc_id, key (hash of the text), n_shingles, root (names the
     component; null for an empty set), component_id."""
     folder = job_folder(documents.sparkSession, "minhash")
     texts = documents.select("doc_id", F.xxhash64("text").alias("key"), "text")
@@ -208,14 +235,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         F.count("*").alias("long_lists"), F.first("n").alias("n")
     )
     retained = F.least(F.col("n"), F.lit(K))
-    differ = F.floor(F.col("n") * (100 - SIMILAR) / 100) + 1
+    need = F.least(F.lit(unlike(similar, MISS)), _differ(similar))
     crowded = save(
-        long_values.where(retained - F.col("long_lists") < F.least(F.lit(NEED), differ)).select(
-            "node", "n"
-        ),
+        long_values.where(retained - F.col("long_lists") < need).select("node", "n"),
         folder, "crowded",
     )
-    pairs = save(_estimated(_pairs(short), classes), folder, "pairs")
+    pairs = save(_estimated(_pairs(short, similar), classes, similar), folder, "pairs")
     involved = (
         pairs.select(F.col("a").alias("node"))
         .union(pairs.select(F.col("b").alias("node")))
@@ -234,9 +259,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         folder, "sets",
     )
     none = "node binary, root binary"
-    roots = _linked(pairs, documents.sparkSession.createDataFrame([], none), sets, folder)
+    roots = documents.sparkSession.createDataFrame([], none)
+    roots = _linked(pairs, roots, sets, folder, similar)
     if not crowded.isEmpty():
-        roots = _crowded_links(crowded, sets, classes, roots, folder)
+        roots = _crowded_links(crowded, sets, classes, roots, folder, similar)
     named = (
         classes.select("node", "least_id")
         .join(roots, "node", "left")
@@ -256,16 +282,18 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
 
 
-def _linked(pairs: DataFrame, roots: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+def _linked(
+    pairs: DataFrame, roots: DataFrame, sets: DataFrame, folder: str, similar: int
+) -> DataFrame:
     """``roots`` after comparing candidate pairs: of each document the best estimate
     first, then all pairs that are not connected yet."""
     best = Window.partitionBy("b").orderBy(F.col("estimate").desc(), "a")
     turns = save(pairs.withColumn("turn", F.row_number().over(best)), folder, "turns")
-    roots = _compared(turns.where("turn = 1"), roots, sets, folder)
-    return _compared(_with_roots(turns.where("turn > 1"), roots), roots, sets, folder)
+    roots = _compared(turns.where("turn = 1"), roots, sets, folder, similar)
+    return _compared(_with_roots(turns.where("turn > 1"), roots), roots, sets, folder, similar)
 
 
-def _crowded_links(crowded, sets, classes, roots, folder) -> DataFrame:
+def _crowded_links(crowded, sets, classes, roots, folder, similar) -> DataFrame:
     """``roots`` after links between crowded documents, by their rarest shingles and by
     hubs."""
     members = sets.join(crowded, "node").select("node", "members")
@@ -278,24 +306,23 @@ def _crowded_links(crowded, sets, classes, roots, folder) -> DataFrame:
         .withColumn("common", F.avg("length").over(Window.partitionBy("node")))
         .join(crowded, "node")
     )
-    differ = F.floor(F.col("n") * (100 - SIMILAR) / 100) + 1
     # Of all values that two documents share, the rarest one brings them together.
     order = F.array_sort(F.collect_list(F.struct("length", "v")).over(Window.partitionBy("node")))
     prefix = save(
-        ranked.where((F.col("rank") <= differ) & (F.col("length") > 1)).withColumn(
+        ranked.where((F.col("rank") <= _differ(similar)) & (F.col("length") > 1)).withColumn(
             "values", F.transform(order, lambda x: x["v"])
         ),
         folder, "prefix",
     )
-    short = _with_roots(_pairs(prefix.where(F.col("length") <= SHORT)), roots)
-    pairs = save(_estimated(short, classes), folder, "pairs")
+    short = _with_roots(_pairs(prefix.where(F.col("length") <= SHORT), similar), roots)
+    pairs = save(_estimated(short, classes, similar), folder, "pairs")
     if not pairs.isEmpty():
-        roots = _linked(pairs, roots, sets, folder)
+        roots = _linked(pairs, roots, sets, folder, similar)
     long = save(prefix.where(F.col("length") > SHORT), folder, "long")
-    return _hub_links(long, sets, classes, roots, folder)
+    return _hub_links(long, sets, classes, roots, folder, similar)
 
 
-def _hub_links(long, sets, classes, roots, folder) -> DataFrame:
+def _hub_links(long, sets, classes, roots, folder, similar) -> DataFrame:
     """Compare members of long lists with hubs until each list is one component or all
     its pairs are compared. A round takes one hub from each hash bucket of a list."""
     used, buckets = None, 1
@@ -312,7 +339,7 @@ def _hub_links(long, sets, classes, roots, folder) -> DataFrame:
         if hubs.isEmpty():
             return roots
         m, h = at.alias("m"), hubs.alias("h")
-        sizes = 100 * F.least("m.n", "h.n") >= SIMILAR * F.greatest("m.n", "h.n")
+        sizes = 100 * F.least("m.n", "h.n") >= similar * F.greatest("m.n", "h.n")
         first = F.array_intersect("m.values", "h.values")[0] == F.col("m.v")
         met = (F.col("m.v") == F.col("h.v")) & (F.col("m.root") != F.col("h.root")) & sizes & first
         pairs = (
@@ -320,16 +347,17 @@ def _hub_links(long, sets, classes, roots, folder) -> DataFrame:
             .select(F.least("m.node", "h.node").alias("a"), F.greatest("m.node", "h.node").alias("b"))
             .distinct()
         )
-        roots = _compared(_estimated(pairs, classes), roots, sets, folder)
+        roots = _compared(_estimated(pairs, classes, similar), roots, sets, folder, similar)
         used = hubs.select("v", "node") if used is None else used.union(hubs.select("v", "node"))
         buckets *= HUB_GROWTH
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
-    """One row of each component, that of the smallest doc_id, with all its columns. Texts
+def keep_one(documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """One row of each component of ``near_duplicates``, that of the smallest doc_id, with all its columns. Texts
     without words are linked with nothing and stay."""
     folder = job_folder(documents.sparkSession, "near-copies")
-    found = near_duplicates(documents).groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
+    found = near_duplicates(documents, similar).groupBy("root", "doc_id", "key")
+    found = found.agg(F.count("*").alias("n"))
     stays = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "n")).alias("s")
     best = save(
         found.where("root is not null").groupBy("root").agg(stays).select("s.doc_id", "s.key", "s.n"),
@@ -351,7 +379,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
 
 def op10_minhash_dedup(documents: DataFrame) -> DataFrame:
     """Size, component and verdict of every document."""
-    return near_duplicates(documents).select(
+    return near_duplicates(documents, SIMILAR).select(
         "doc_id", "n_shingles", "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
     )

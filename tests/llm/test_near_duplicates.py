@@ -106,3 +106,24 @@ def test_keep_one(odd):
     found = sorted((r.doc_id is not None, r.doc_id or 0) for r in kept.collect())
     ids = [1, 2, 3, 5, 7, 7, 8, 9]
     assert found == [(False, 0), *[(True, i) for i in ids]]
+
+
+@pytest.mark.parametrize(("similar", "need", "least"), [(85, 20, 16), (80, 23, 13)])
+def test_limits_follow_the_similarity(similar, need, least):
+    assert minhash_dedup.unlike(similar, minhash_dedup.MISS) == need
+    assert minhash_dedup.K - minhash_dedup.unlike(similar, minhash_dedup.LOW) + 1 == least
+
+
+@pytest.mark.parametrize("short", [24, 3])
+def test_links_at_eighty(documents, monkeypatch, short):
+    """With a limit of 80, copies at 0.8 and more go, in short and in long lists; the query
+    keeps its 0.85."""
+    monkeypatch.setattr(minhash_dedup, "SHORT", short)
+    base = [f"b{i}" for i in range(104)]
+    rows = [(1, " ".join(base))]
+    rows += [(i, " ".join(base + [f"p{i}.{j}" for j in range(25)])) for i in range(2, 8)]
+    rows.append((8, " ".join(base + [f"q{j}" for j in range(26)])))
+    frame = documents(*rows)
+    kept = minhash_dedup.keep_one(frame, 80).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 8]  # 100 of 125 shingles, and of 126
+    assert sum(r.kept for r in minhash_dedup.op10_minhash_dedup(frame).collect()) == len(rows)
