@@ -1,6 +1,7 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Each source is cut into blocks of documents. Whole passes over a source and a part of
+Each source is cut into blocks of documents; a long document is a block of its own.
+Whole passes over a source and a part of
 one more give its quota of block draws. A binary tree over the output shards splits the
 quotas exactly: each node hands its left half a multivariate hypergeometric draw. The
 shards then take disjoint runs of the source's permuted blocks and order their
@@ -23,6 +24,12 @@ from gleanery.llm.common import job_folder, n_words, save, uniform
 #: larger blocks, so that the table of blocks stays small).
 BLOCK_WORDS = 65_536
 MOST_BLOCKS = 4_096
+#: Share of a block from which a document is long.
+LONG = 0.25
+#: Blocks' words behind the last whole block from which the last pass is filled up, and
+#: how often the documents that still fit are gone through.
+SPARE_BLOCKS = 3
+FILLS = 8
 #: Largest number of times that a document is taken.
 MOST_COPIES = 3
 SEED = 911
@@ -166,36 +173,57 @@ def mix_plan(
     items = save(counted.agg(F.count("*").alias("n")), folder, "items")
     sizes = items.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
     passes = F.when(F.col("words") > 0, F.floor(F.col("target") / F.col("words"))).otherwise(0)
-    blocks_of = F.ceil(
-        F.col("words") / F.greatest(F.lit(block_words), F.col("words") / MOST_BLOCKS)
-    )
+    block_size = F.greatest(F.lit(block_words), F.col("words") / MOST_BLOCKS)
+    blocks_of = F.ceil(F.col("words") / F.col("block_size"))
     sources = save(
         source_targets(sizes)
         .withColumn("passes", passes.cast("int"))
         .withColumn("part", F.col("target") - F.col("passes") * F.col("words"))
+        .withColumn("block_size", block_size)
         .withColumn("n_blocks", F.greatest(blocks_of, F.lit(1)).cast("int")),
         folder, "sources",
     )
     s, i = sources.alias("s"), items.alias("i")
+    # Long documents have negative block numbers.
+    long = F.col("size") * F.col("n") > LONG * F.col("block_size")
+    own = F.least(F.col("row_hash"), -1 - F.col("row_hash"))
     placed = save(
         i.join(s, F.col("i.source").eqNullSafe(F.col("s.source"))).select(
             "doc_id", "row_hash", "n", "size", "sid",
-            F.pmod("row_hash", "n_blocks").cast("int").alias("block"),
+            F.when(long, own).otherwise(F.pmod("row_hash", "n_blocks")).alias("block"),
         ),
         folder, "placed",
     )
     facts = sources.drop("source").withColumnRenamed("words", "source_size")
     order = Window.partitionBy("sid").orderBy(F.xxhash64(F.lit(seed), "sid", "block"), "block")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    blocks = (
+    small = F.when(F.col("block") >= 0, F.col("words")).otherwise(0)
+    spare = SPARE_BLOCKS * F.col("block_size")
+    placed_blocks = save(
         placed.groupBy("sid", "block")
         .agg(F.sum(F.col("size") * F.col("n")).alias("words"))
         .join(facts, "sid")
         .withColumn("at", F.row_number().over(order) - 1)
-        .withColumn("end", F.sum("words").over(so_far))
-        .withColumn("open", F.col("part") - (F.col("end") - F.col("words")))
-        .withColumn("whole", F.col("end") <= F.col("part"))
-        .withColumn("split", ~F.col("whole") & (F.col("open") > 0))
+        .withColumn("end", F.sum(small).over(so_far)),
+        folder, "placed-blocks",
+    )
+    blocks = (
+        placed_blocks.join(_long_blocks(placed_blocks), "sid", "left")
+        .withColumn("rest", F.coalesce("rest", "part"))
+        .withColumn("is_long", F.col("block") < 0)
+        .withColumn(
+            "whole",
+            F.when(F.col("is_long"), F.coalesce(F.array_contains("long_taken", F.col("block")), F.lit(False)))
+            .otherwise(F.col("end") <= F.col("rest")),
+        )
+        .withColumn("filled", F.sum(F.when(~F.col("is_long") & F.col("whole"), F.col("words")))
+                    .over(Window.partitionBy("sid")))
+        .withColumn("open", F.col("rest") - F.coalesce("filled", F.lit(0)))
+        .withColumn(
+            "split",
+            ~F.col("whole") & ~F.col("is_long") & (F.col("open") > 0)
+            & (F.col("end") - F.col("words") < F.col("rest") + spare),
+        )
         .withColumn("there", F.count("*").over(Window.partitionBy("sid")))
         .withColumn(
             "block_copies",
@@ -220,7 +248,7 @@ def mix_plan(
         )["shard"],
     )
     drawn = blocks.join(starts, "sid", "left").select(
-        "sid", "block", "passes", "split", "open", "source_size", "target",
+        "sid", "block", "at", "passes", "split", "open", "source_size", "target",
         F.when(F.col("block_copies") > 0, draws)
         .otherwise(F.array().cast("array<int>"))
         .alias("shards"),
@@ -241,24 +269,76 @@ def mix_plan(
     )
 
 
+def _long_blocks(blocks: DataFrame) -> DataFrame:
+    """``sid``, ``long_taken`` (blocks of long documents that the last pass takes) and
+    ``rest`` (what it takes of the others).
+
+    In the order of the blocks a long document is taken if it fits and if the shorter ones
+    before it do not fill the pass. If all the shorter ones leave a larger gap than one
+    more long document would go beyond the part, that one is taken in their stead.
+    """
+    nothing = F.array().cast("array<bigint>")
+    start = F.struct(F.lit(0).cast("long").alias("words"), nothing.alias("blocks"))
+
+    def step(state, x):
+        all_words = state["words"] + x["words"]
+        takes = (x["end"] + state["words"] < F.col("part")) & (all_words <= F.col("part"))
+        return F.struct(
+            F.when(takes, all_words).otherwise(state["words"]).alias("words"),
+            F.when(takes, F.concat(state["blocks"], F.array(x["block"])))
+            .otherwise(state["blocks"])
+            .alias("blocks"),
+        )
+
+    left = F.filter("longs", lambda x: ~F.array_contains("taken.blocks", x["block"]))
+    least = F.array_min(F.transform(left, lambda x: F.struct(x["words"], x["block"])))
+    over = F.col("taken.words") + F.col("least.words") - F.col("part")
+    under = F.col("part") - F.col("taken.words") - F.col("short_words")
+    return (
+        blocks.groupBy("sid", "part")
+        .agg(
+            F.sum(F.when(F.col("block") >= 0, F.col("words")).otherwise(0)).alias("short_words"),
+            F.array_sort(
+                F.collect_list(
+                    F.when(F.col("block") < 0, F.struct("at", "block", "words", "end"))
+                )
+            ).alias("longs"),
+        )
+        .withColumn("taken", F.aggregate("longs", start, step))
+        .withColumn("least", least)
+        .withColumn("more", F.coalesce((under > 0) & (F.abs(over) < under), F.lit(False)))
+        .select(
+            "sid",
+            F.when(F.col("more"), F.concat("taken.blocks", F.array("least.block")))
+            .otherwise(F.col("taken.blocks"))
+            .alias("long_taken"),
+            (F.col("part") - F.col("taken.words")
+             - F.when(F.col("more"), F.col("least.words")).otherwise(0)).alias("rest"),
+        )
+    )
+
+
 def _split_blocks(items: DataFrame) -> DataFrame:
-    """The one block per source that the last pass takes in part: documents in hash
-    order as far as they fit, then the one that comes nearest to what is left."""
-    block = Window.partitionBy("sid", "block")
-    order = block.orderBy("row_hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    """The blocks of a source that fill up the last pass: documents in the order of blocks
+    and hashes as far as they fit, again among those that still fit, then the one that
+    comes nearest to what is left."""
+    source = Window.partitionBy("sid")
+    order = source.orderBy("at", "row_hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     words = F.col("size") * F.col("n")
-    fits = items.withColumn("end", F.sum(words).over(order)).withColumn(
-        "fits", F.col("end") <= F.col("open")
-    )
-    missing = F.col("open") - F.coalesce(
-        F.max(F.when(F.col("fits"), F.col("end"))).over(block), F.lit(0)
-    )
+    found = items.withColumn("fits", F.lit(False)).withColumn("missing", F.col("open").cast("double"))
+    for _ in range(FILLS):
+        could = ~F.col("fits") & (words <= F.col("missing"))
+        end = F.sum(F.when(could, words).otherwise(0)).over(order)
+        found = found.withColumn("end", end).withColumn(
+            "fits", F.col("fits") | (could & (F.col("end") <= F.col("missing")))
+        )
+        taken = F.coalesce(F.sum(F.when(F.col("fits"), words)).over(source), F.lit(0))
+        found = found.withColumn("missing", F.col("open") - taken)
     gap = F.when(~F.col("fits"), F.abs(words - F.col("missing")))
-    nearest = block.orderBy(gap.asc_nulls_last(), "row_hash", "doc_id")
+    nearest = source.orderBy(gap.asc_nulls_last(), "row_hash", "doc_id")
     chosen = (F.row_number().over(nearest) == 1) & (gap < F.col("missing"))
     return (
-        fits.withColumn("missing", missing)
-        .withColumn("chosen", F.coalesce(chosen, F.lit(False)))
+        found.withColumn("chosen", F.coalesce(chosen, F.lit(False)))
         .withColumn("copies", F.col("passes") + (F.col("fits") | F.col("chosen")).cast("int"))
         .drop("end", "fits", "missing", "chosen")
     )

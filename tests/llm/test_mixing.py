@@ -126,3 +126,19 @@ def test_mix_documents(odd):
     found = mixing.mix_documents(odd)
     assert found.columns == odd.columns
     assert found.count() == sum(r.copies * r.n for r in plan)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_long_document_is_no_miss(documents, seed):
+    """Almost half of a source is one document longer than a block, and its short ones do
+    not reach the target of 1,600: they fill what the long one leaves, wherever it stands."""
+    rows = [(0, "w " * 1300, "a")] + [(i, "w " * 10, "a") for i in range(1, 151)]
+    rows += [(i, "w " * 10, "b") for i in range(1000, 1020)]
+    rows += [(2000, "w " * 1500, "c"), *[(i, "w " * 10, "c") for i in range(2001, 2251)]]
+    taken = defaultdict(int)
+    targets = {}
+    for r in mixing.mix_plan(documents(*rows), block_words=500, seed=seed).collect():
+        taken[r.source] += r.size * r.n * r.copies
+        targets[r.source] = r.target
+    assert set(targets) == {"a", "b", "c"}
+    assert all(abs(taken[s] - t) <= 5 for s, t in targets.items()), (taken, targets)
