@@ -9,7 +9,10 @@ the order of doc_id, into blocks of a few megabytes, which are stored once. Then
    which answer with the names that occur again anywhere;
 2. blocks send only segments of such names, with equal ones of a block merged, to buckets
    by name. All windows that could be equal meet in one bucket, which decides them with
-   the operator's own method and answers with a bit per window;
+   the operator's own method and answers with a bit per window. A name with more than
+   ``HEAVY`` segments in the corpus is split: blocks send its windows one by one, each
+   content once, to buckets by a hash of the content. Equal windows have the same name,
+   so they still meet, and the rest spreads;
 3. blocks mark what the windows cover.
 
 Names only choose where to compare; the decision compares contents. No step gathers a
@@ -21,6 +24,7 @@ shared folder.
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -36,6 +40,8 @@ from gleanery.llm.wordhash import mix, text_buffers
 #: Text of a block, and corpus text per bucket.
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
+#: Segments of a name in the corpus that still go to one bucket (a few megabytes).
+HEAVY = 1 << 14
 #: Leading bits of a name that decide whether it may occur again.
 NAME_BITS = 44
 #: Windows whose names are computed at once (arrays that stay in a core's cache), and bits
@@ -212,7 +218,10 @@ def _send_names(units: Units, buckets: int):
                 inner = np.bincount(where, weights=named.inner, minlength=len(values))
                 twice = (n > 1) | (inner > 0)
                 rows = [
-                    (bucket, _planes(values[a:b]), np.packbits(twice[a:b]).tobytes())
+                    (
+                        bucket, _planes(values[a:b]), np.packbits(twice[a:b]).tobytes(),
+                        zstandard.compress(np.minimum(n[a:b], 65_535).astype("<u2").tobytes(), 1),
+                    )
                     for bucket, a, b in _by_bucket(values, buckets)
                 ]
                 yield pa.RecordBatch.from_arrays(
@@ -221,33 +230,46 @@ def _send_names(units: Units, buckets: int):
                         pa.array([block.number] * len(rows), pa.int64()),
                         pa.array([r[1] for r in rows], pa.binary()),
                         pa.array([r[2] for r in rows], pa.binary()),
+                        pa.array([r[3] for r in rows], pa.binary()),
                     ],
-                    ["bucket", "block", "names", "twice"],
+                    ["bucket", "block", "names", "twice", "counts"],
                 )
 
     return run
 
 
-def _find_again(table: pa.Table) -> pa.Table:
-    """For each block's names in a bucket: which of them occur again."""
-    names = [_unplanes(v.as_py()) for v in table.column("names")]
-    twice = [
-        np.unpackbits(np.frombuffer(v.as_py(), np.uint8), count=len(n)).astype(bool)
-        for v, n in zip(table.column("twice"), names, strict=True)
-    ]
-    values, counts = np.unique(np.concatenate(names), return_counts=True)
-    again = counts > 1
-    bits = [
-        np.packbits(again[np.searchsorted(values, n)] | t).tobytes()
-        for n, t in zip(names, twice, strict=True)
-    ]
-    return pa.table(
-        {
-            "block": table.column("block"),
-            "bucket": table.column("bucket").cast(pa.int32()),
-            "bits": pa.array(bits, pa.binary()),
-        }
-    )
+def _find_again(heavy: int):
+    """For each block's names in a bucket: which of them occur again, and which have more
+    than ``heavy`` segments."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names = [_unplanes(v.as_py()) for v in table.column("names")]
+        twice = [
+            np.unpackbits(np.frombuffer(v.as_py(), np.uint8), count=len(n)).astype(bool)
+            for v, n in zip(table.column("twice"), names, strict=True)
+        ]
+        values, counts = np.unique(np.concatenate(names), return_counts=True)
+        again = counts > 1
+        segments = np.zeros(len(values), np.int64)
+        for n, raw in zip(names, table.column("counts"), strict=True):
+            found = np.frombuffer(zstandard.decompress(raw.as_py()), "<u2")
+            segments[np.searchsorted(values, n)] += found
+        split = segments > heavy
+        bits, splits = [], []
+        for n, t in zip(names, twice, strict=True):
+            at = np.searchsorted(values, n)
+            bits.append(np.packbits(again[at] | t).tobytes())
+            splits.append(np.packbits(split[at]).tobytes() if split[at].any() else b"")
+        return pa.table(
+            {
+                "block": table.column("block"),
+                "bucket": table.column("bucket").cast(pa.int32()),
+                "bits": pa.array(bits, pa.binary()),
+                "split": pa.array(splits, pa.binary()),
+            }
+        )
+
+    return run
 
 
 def _pack(arrays: list[np.ndarray], contents: bytes) -> bytes:
@@ -267,7 +289,8 @@ def _unpack(raw: bytes, n: int) -> tuple[list[np.ndarray], bytes]:
 
 
 def _send_segments(units: Units, buckets: int):
-    """Rows of (bucket, block, payload): distinct segments and where they stand."""
+    """Rows of (bucket, block, payload): distinct segments and where they stand. Windows of
+    split names go to a second set of buckets."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -275,17 +298,27 @@ def _send_segments(units: Units, buckets: int):
                 named = units.names(block)
                 starts, counts, names = named.starts, named.counts, named.names
                 short = _short(names)
-                again = np.zeros(len(short), bool)
-                bits = {r["bucket"]: r["bits"] for r in part.column("again")[i].as_py()}
+                again, split = np.zeros(len(short), bool), np.zeros(len(short), bool)
+                answers = {r["bucket"]: r for r in part.column("again")[i].as_py()}
                 for bucket, a, b in _by_bucket(short, buckets):
-                    row = np.frombuffer(bits[bucket], np.uint8)
+                    row = np.frombuffer(answers[bucket]["bits"], np.uint8)
                     again[a:b] = np.unpackbits(row, count=b - a)
-                shorts = names >> np.uint64(64 - NAME_BITS)
-                hit = np.flatnonzero(again[np.searchsorted(short, shorts)]) if len(short) else []
+                    if answers[bucket]["split"]:
+                        row = np.frombuffer(answers[bucket]["split"], np.uint8)
+                        split[a:b] = np.unpackbits(row, count=b - a)
+                at = np.searchsorted(short, names >> np.uint64(64 - NAME_BITS))
+                hit = np.flatnonzero(again[at]) if len(short) else []
                 content = units.content(block)
                 held: dict[int, dict[bytes, tuple[int, list[int]]]] = {}
                 of = _bucket_of(names, buckets)
                 for s in hit:
+                    if split[at[s]]:
+                        for w in range(int(starts[s]), int(starts[s] + counts[s])):
+                            text = content(w, 1)
+                            bucket = buckets + (zlib.crc32(text) * buckets >> 32)
+                            seen = held.setdefault(bucket, {})
+                            seen.setdefault(text, (1, []))[1].append(w)
+                        continue
                     text = content(int(starts[s]), int(counts[s]))
                     seen = held.setdefault(int(of[s]), {})
                     seen.setdefault(text, (int(counts[s]), []))[1].append(int(starts[s]))
@@ -318,11 +351,54 @@ class Segments:
     places: list[list[tuple[int, int]]]
 
 
-def _decide(method: Callable[[Segments], tuple[np.ndarray, np.ndarray]]):
+def _marks(rows: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table(
+        {
+            "block": pa.array([r[0] for r in rows], pa.int64()),
+            "marks": pa.array([r[1] for r in rows], pa.binary()),
+        }
+    )
+
+
+def _decide_windows(table: pa.Table, method) -> pa.Table:
+    """The windows of split names: only those that stand twice go to ``method``, with two
+    of their places; places stay arrays, one per block and content."""
+    held: dict[bytes, list[tuple[int, np.ndarray]]] = {}
+    for block, payload in zip(table.column("block"), table.column("payload"), strict=True):
+        (_, copies, where, sizes), contents = _unpack(payload.as_py(), 4)
+        ends, to, number = np.cumsum(sizes), np.cumsum(copies), block.as_py()
+        for k in range(len(sizes)):
+            text = contents[ends[k] - sizes[k] : ends[k]]
+            held.setdefault(text, []).append((number, where[to[k] - copies[k] : to[k]]))
+    again = {t: p for t, p in held.items() if len(p) > 1 or len(p[0][1]) > 1}
+    two = []
+    for parts in again.values():
+        parts.sort(key=lambda x: x[0])
+        (a, at), (b, then) = parts[0], parts[-1]
+        two.append([(a, int(at[0])), (b, int(then[-1]))])
+    first, later = method(Segments(list(again), np.ones(len(again), np.int64), two))
+    answers: dict[int, list[np.ndarray]] = {}
+    for k, parts in enumerate(again.values()):
+        for turn, (number, starts) in enumerate(parts):
+            on = np.full(len(starts), later[k])
+            if turn == 0:
+                on[0] = first[k]
+            answers.setdefault(number, []).append(starts[on])
+    rows = []
+    for number, found in answers.items():
+        starts = np.concatenate(found)
+        ones = np.ones(len(starts), np.int64)
+        rows.append((number, _pack([starts, ones], np.packbits(ones.astype(bool)).tobytes())))
+    return _marks(rows)
+
+
+def _decide(method: Callable[[Segments], tuple[np.ndarray, np.ndarray]], buckets: int):
     """``method`` gives a bit per window of the segments, for their first place and for
     all later places."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() >= buckets:
+            return _decide_windows(table, method)
         merged: dict[bytes, tuple[int, list[tuple[int, int]]]] = {}
         for block, payload in zip(table.column("block"), table.column("payload"), strict=True):
             (windows, copies, where, sizes), contents = _unpack(payload.as_py(), 4)
@@ -353,12 +429,7 @@ def _decide(method: Callable[[Segments], tuple[np.ndarray, np.ndarray]]):
             arrays = [np.array([m[0] for m in marks]), np.array([m[1] for m in marks])]
             bits = np.packbits(np.concatenate([m[2] for m in marks])).tobytes()
             rows.append((number, _pack(arrays, bits)))
-        return pa.table(
-            {
-                "block": pa.array([r[0] for r in rows], pa.int64()),
-                "marks": pa.array([r[1] for r in rows], pa.binary()),
-            }
-        )
+        return _marks(rows)
 
     return run
 
@@ -397,13 +468,14 @@ def repeated_windows(
     total = blocks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, b: a + b)))
     buckets = max(1, -(-(total.first()[0] or 0) // BUCKET_BYTES))
     names = blocks.mapInArrow(
-        _send_names(units, buckets), "bucket int, block bigint, names binary, twice binary"
+        _send_names(units, buckets),
+        "bucket int, block bigint, names binary, twice binary, counts binary",
     )
     again = (
         names.groupBy("bucket")
-        .applyInArrow(_find_again, "block bigint, bucket int, bits binary")
+        .applyInArrow(_find_again(HEAVY), "block bigint, bucket int, bits binary, split binary")
         .groupBy("block")
-        .agg(F.collect_list(F.struct("bucket", "bits")).alias("again"))
+        .agg(F.collect_list(F.struct("bucket", "bits", "split")).alias("again"))
     )
     again = save(again, folder, "again")
     # The answers grow with the corpus: both joins shuffle, whatever their size today.
@@ -412,7 +484,7 @@ def repeated_windows(
     )
     marks = (
         sent.groupBy("bucket")
-        .applyInArrow(_decide(method), "block bigint, marks binary")
+        .applyInArrow(_decide(method, buckets), "block bigint, marks binary")
         .groupBy("block")
         .agg(F.collect_list("marks").alias("marks"))
     )

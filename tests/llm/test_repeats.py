@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gleanery.llm import repeats, substring_dedup, suffix_dedup
@@ -128,3 +129,55 @@ def test_factors_reach_across_segments():
     first = [10 <= i and i + substring_dedup.WIDTH <= 50 for i in range(found.windows[0])]
     second = [i + substring_dedup.WIDTH <= 40 for i in range(found.windows[1])]
     assert marks.tolist() == first + second
+
+
+def _routed(rows, units, method, heavy, buckets=8):
+    """The steps of ``repeats`` over one block, without Spark: bytes of text that each
+    bucket takes, and the marked windows."""
+    batch = pa.RecordBatch.from_pylist(
+        [{"part": 0, "doc_id": i, "text": t} for i, t in rows],
+        pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string())]),
+    )
+    (block,) = repeats._build(iter([batch]))
+    (names,) = repeats._send_names(units, buckets)(iter([block]))
+    by_bucket = [pa.Table.from_batches([names.slice(i, 1)]) for i in range(len(names))]
+    again = [r for t in by_bucket for r in repeats._find_again(heavy)(t).to_pylist()]
+    joined = block.append_column("again", pa.array([again]))
+    (sent,) = repeats._send_segments(units, buckets)(iter([joined]))
+    sizes, marks = [], []
+    for i in range(len(sent)):
+        sizes.append(len(repeats._unpack(sent.column("payload")[i].as_py(), 4)[1]))
+        table = pa.Table.from_batches([sent.slice(i, 1)])
+        marks += repeats._decide(method, buckets)(table).column("marks").to_pylist()
+    return sizes, sorted(repeats.window_marks(marks).tolist())
+
+
+@pytest.mark.parametrize(
+    ("units", "method"),
+    [
+        (suffix_dedup.UNITS, suffix_dedup.earliest_stay),
+        (substring_dedup.UNITS, substring_dedup.found_elsewhere),
+    ],
+)
+def test_heavy_names_are_split(units, method):
+    """A phrase in unlike surroundings, in every document, fills no bucket by itself."""
+    rng = random.Random(7)
+    phrase = " ".join(f"phrase{i}" for i in range(12))
+    noise = lambda: " ".join(str(rng.randrange(10**6)) for _ in range(40))
+    rows = [(i, f"{noise()} {phrase} {noise()}") for i in range(300)]
+    rows += [(1000 + i, text) for i, (_, text) in enumerate(rows[:20])]
+    whole, expected = _routed(rows, units, method, 10**9)
+    split, found = _routed(rows, units, method, 50)
+    assert found == expected and found
+    assert max(whole) / sum(whole) > 0.35
+    assert max(split) / sum(split) < 0.25
+
+
+def test_queries_with_split_names(documents, monkeypatch):
+    monkeypatch.setattr(repeats, "HEAVY", 2)
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 2000)
+    rng = random.Random(3)
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(i, f"{rng.random()} " * (i % 4) + shared[i % 9 :] + f" {rng.random()}" * 30)
+            for i in range(20)]
+    _check(documents(*rows), rows)
