@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from gleanery.llm import (
+    bpe_transducer,
+    centroid_clusters,
     decontaminate,
     exact_dedup,
     line_dedup,
     minhash_dedup,
     mixing,
+    phrases,
     quality,
     sharding,
     substring_dedup,
@@ -40,6 +43,9 @@ def queries() -> dict[str, Query]:
         "op8_mixing": _over(mixing.op8_mixing, "documents"),
         "op9_line_dedup": _over(line_dedup.op9_line_dedup, "documents"),
         "op10_minhash_dedup": _over(minhash_dedup.op10_minhash_dedup, "documents"),
+        "op11_centroid_clusters": _over(centroid_clusters.op11_centroid_clusters, "embeddings"),
+        "op12_bpe_transducer": _over(bpe_transducer.op12_bpe_transducer, "documents"),
+        "op13_phrases": _over(phrases.op13_phrases, "documents"),
         "pipeline": corpus_pipeline.run,
     }
 
@@ -49,4 +55,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_exact_dedup": exact_dedup.OP4_SQL,
         "op9_line_dedup": line_dedup.OP9_SQL,
+        "op11_centroid_clusters": centroid_clusters.OP11_SQL,
+        "op13_phrases": phrases.OP13_SQL,
     }
