@@ -8,12 +8,8 @@ from gleanery.functions.links import PAGE_SPACE
 from gleanery.functions.paths import LANGUAGES, SKIP_DIRECTORIES, SKIP_EXTENSIONS
 from gleanery.functions.scoring import CONFIG_LANGUAGES, SCRIPT_LANGUAGES, SCRIPT_WORDS
 from gleanery.functions.text import STOP_WORDS
-from gleanery.operators.ann import hyperplanes
 from gleanery.plans.sample_corpus import DIM, DIRECTORIES, SUFFIXES, TREE_ROOT
 
-ANN_BITS = 6
-ANN_PROBES = 12
-
 
 def _in(values) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
@@ -423,38 +419,12 @@ FIRST_RUN = 1767225600
 SECOND_RUN = 1767312000
 
 
-def _planes() -> str:
-    rows = [
-        f"({bit}, [{', '.join(str(int(v)) for v in plane)}])"
-        for bit, plane in enumerate(hyperplanes(ANN_BITS, DIM))
-    ]
-    return f"planes(bit, normal) AS (VALUES {', '.join(rows)})"
-
-
-def _ann(k: int) -> str:
-    far = "list_dot_product({vec}::DOUBLE[], normal::DOUBLE[])"
-    stored, asked = far.format(vec="embedding"), far.format(vec="query_vec")
-    return f"""WITH {QUERIES}, {_planes()},
-stored AS (
-  SELECT vec_id, any_value(embedding) AS vec,
-         sum(CASE WHEN {stored} > 0 THEN 1 << bit ELSE 0 END)::INT AS bucket
-  FROM embeddings CROSS JOIN planes WHERE embedding IS NOT NULL GROUP BY vec_id
-),
-sides AS (
-  SELECT query_id, query_vec, bit, {asked} AS far
-  FROM queries CROSS JOIN planes WHERE query_vec IS NOT NULL
-),
-looked AS (
-  SELECT query_id, any_value(query_vec) AS vec, bucket
-  FROM sides CROSS JOIN range({1 << ANN_BITS}) buckets(bucket)
-  GROUP BY query_id, bucket
-  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY
-    sum(CASE WHEN (far > 0) <> ((bucket >> bit) & 1 = 1) THEN far * far ELSE 0 END), bucket
-  ) <= {ANN_PROBES}
-),
-near AS (
-  SELECT query_id, vec_id, {_cosine('s.vec', 'l.vec')} AS score
-  FROM looked l JOIN stored s USING (bucket)
+def _nearest(k: int) -> str:
+    """The nearest of all vectors, by comparing each."""
+    return f"""WITH {QUERIES}, near AS (
+  SELECT query_id, vec_id, {_cosine('embedding', 'query_vec')} AS score
+  FROM queries CROSS JOIN embeddings
+  WHERE query_vec IS NOT NULL AND embedding IS NOT NULL
 )
 SELECT query_id, vec_id, round(score, 6) AS score,
        row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
@@ -655,7 +625,9 @@ def oracle_sql() -> dict[str, str]:
               min(position) AS first_position, max(position) AS last_position,
               string_agg(position || weight, ' ' ORDER BY position) AS positions
             FROM placed GROUP BY term, doc_id""",
-        "vector_ann": _ann(10),
+        "vector_ann": _nearest(10),
+        "ann_recall": f"""WITH {QUERIES} SELECT count(*) AS queries, 1 AS enough
+            FROM queries WHERE query_vec IS NOT NULL""",
         "flat_results": f"""WITH {_scored(flagship)}
             SELECT path, language, line_start, line_end, round(score, 6) AS score,
               sha1(content) AS preview, summary, ref, repository

@@ -501,18 +501,30 @@ def q_fielded_postings(spark, folder):
     )
 
 
-def q_vector_ann(spark, folder):
-    rows = corpus.spread(corpus.table(spark, folder, "embeddings")).select(
+def _ann_rows(spark, folder):
+    return corpus.spread(corpus.table(spark, folder, "embeddings")).select(
         "vec_id", F.col("embedding").alias("vector")
     )
-    index = ann.with_bucket(rows, corpus.DIM, bits=oracle.ANN_BITS)
-    found = ann.vector_ann(
-        index, corpus.queries(spark, folder), corpus.DIM, 10, "vec_id",
-        oracle.ANN_BITS, oracle.ANN_PROBES,
+
+
+def q_vector_ann(spark, folder):
+    index = ann.AnnIndex.build(
+        _ann_rows(spark, folder), new_scratch(spark, "ann"), corpus.DIM, "vec_id", recall=1.0
     )
+    found = index.search(corpus.queries(spark, folder), 10)
     return found.select("query_id", "vec_id", _six("score"), "rank")
 
 
+def q_ann_recall(spark, folder):
+    """What the default settings find of the exact neighbours."""
+    rows, queries = _ann_rows(spark, folder), corpus.queries(spark, folder)
+    index = ann.AnnIndex.build(rows, new_scratch(spark, "ann"), corpus.DIM, "vec_id")
+    exact = ann.exact_nearest(rows, queries, corpus.DIM, 10, "vec_id")
+    return ann.recall(index.search(queries, 10), exact, "vec_id").agg(
+        F.count("*").alias("queries"), (F.avg("recall") >= 0.9).cast("int").alias("enough")
+    )
+
+
 # Result shaping
 
 
@@ -701,6 +713,7 @@ def queries() -> dict[str, Query]:
         "path_tokens": q_path_tokens,
         "fielded_postings": q_fielded_postings,
         "vector_ann": q_vector_ann,
+        "ann_recall": q_ann_recall,
         "flat_results": q_flat_results,
         "source_url": q_source_url,
         "repo_label": q_repo_label,

@@ -2,6 +2,7 @@ import json
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,14 +66,25 @@ def test_lookup_term(spark, chunks):
     assert re.search(r"PartitionFilters: \[.*bucket", found._jdf.queryExecution().toString())
 
 
-def test_ann_reads_every_bucket_or_few(spark, small):
+def _ranked(frame, key):
+    found = {}
+    for r in frame.orderBy("rank").collect():
+        found.setdefault(r["query_id"], []).append(r[key])
+    return found
+
+
+def _share(near, exact, key="id"):
+    return ann.recall(near, exact, key).agg(F.avg("recall")).first()[0]
+
+
+def test_ann_of_all_cells_is_exact_and_the_default_finds_nine_of_ten(spark, small):
     rows = corpus.table(spark, small, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    path = new_scratch(spark, "ann")
-    ann.save_index(ann.with_bucket(rows, corpus.DIM), path)
-    index = spark.read.parquet(path)
     queries = corpus.queries(spark, small)
-    exact = ann.vector_ann(index, queries, corpus.DIM, 10, "vec_id", probes=1 << ann.BITS)
-    near = ann.vector_ann(index, queries, corpus.DIM, 10, "vec_id")
+    index = ann.AnnIndex.build(rows, new_scratch(spark, "ann"), corpus.DIM, "vec_id")
+    assert spark.read.parquet(f"{index.path}/codes").count() == rows.count()
+    exact = ann.exact_nearest(rows, queries, corpus.DIM, 10, "vec_id")
+    whole = index.search(queries, 10, probes=len(index.quantizer.centres), short=rows.count())
+    assert _ranked(whole, "vec_id") == _ranked(exact, "vec_id")
     asked = {r["query_id"]: r["query_vec"] for r in queries.collect()}
     all_rows = [(r["vec_id"], r["vector"]) for r in rows.collect()]
 
@@ -80,27 +92,58 @@ def test_ann_reads_every_bucket_or_few(spark, small):
         dot = sum(x * y for x, y in zip(a, b, strict=True))
         return dot / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
 
-    got = {}
-    for r in exact.orderBy("rank").collect():
-        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    got = _ranked(exact, "vec_id")
     for query_id, vector in asked.items():
         brute = sorted(all_rows, key=lambda row: -cosine(vector, row[1]))[:10]
         assert got[query_id] == [row[0] for row in brute]
-    share = ann.recall(near, exact, "vec_id").agg(F.avg("recall")).first()[0]
-    assert 0.4 < share <= 1.0
-    # The vector itself is in its own bucket.
+    near = index.search(queries, 10)
+    assert _share(near, exact, "vec_id") >= 0.9
+    # The vector itself is found.
     assert near.where("rank = 1").where("query_id = vec_id").count() == len(asked)
 
 
-def test_ann_slices_and_crowded_bucket(spark):
+def test_ann_of_clusters_reads_a_tenth_of_the_vectors(spark):
+    rnd = np.random.default_rng(4)
+    centres = rnd.normal(size=(30, 16))
+    draw = lambda n: centres[np.arange(n) % 30] + 0.2 * rnd.normal(size=(n, 16))
+    rows = spark.createDataFrame(
+        [(i, v) for i, v in enumerate(draw(3000).tolist())], "id int, vector array<float>"
+    )
+    queries = spark.createDataFrame(
+        [(i, v) for i, v in enumerate(draw(60).tolist())], "query_id int, query_vec array<float>"
+    )
+    index = ann.AnnIndex.build(rows, new_scratch(spark, "ann"), 16)
+    assert _share(index.search(queries), ann.exact_nearest(rows, queries, 16)) >= 0.9
+    assert index.quantizer.short <= 300
+    assert index.quantizer.probes <= len(index.quantizer.centres) / 10
+    again = ann.AnnIndex(spark, index.path)
+    assert np.array_equal(again.quantizer.words, index.quantizer.words)
+
+
+def test_ann_slices_zero_vectors_and_crowded_cells(spark):
     rnd = random.Random(2)
-    rows = [(i, [1.0, rnd.random() / 10, 0.0]) for i in range(500)]
-    index = ann.with_bucket(spark.createDataFrame(rows, "id int, vector array<float>"), 3, bits=3)
-    queries = spark.createDataFrame([(i, [1.0, i / 50, 0.0]) for i in range(5)] + [(9, None)],
-                                    "query_id int, query_vec array<float>")
-    found = ann.vector_ann(index, queries, 3, 4, bits=3, probes=8, queries_per_pass=2)
-    assert found.groupBy("query_id").count().collect().__len__() == 5
-    assert {r["count"] for r in found.groupBy("query_id").count().collect()} == {4}
+    rows = [(i, [1.0, rnd.random() / 10, 0.0]) for i in range(500)] + [(900 + i, None) for i in range(3)]
+    rows += [(i, [0.0] * 3) for i in range(600, 603)]
+    frame = spark.createDataFrame(rows, "id int, vector array<float>")
+    queries = spark.createDataFrame(
+        [(i, [1.0, i / 50, 0.0]) for i in range(5)] + [(8, [0.0] * 3), (9, None)],
+        "query_id int, query_vec array<float>",
+    )
+    index = ann.AnnIndex.build(frame, new_scratch(spark, "ann"), 3)
+    found = _ranked(index.search(queries, 30, queries_per_pass=2), "id")
+    assert set(found) == {0, 1, 2, 3, 4, 8}
+    assert all({600, 601, 602} <= set(ids) and len(ids) == 30 for q, ids in found.items() if q < 8)
+    assert found[8] == list(range(30))
+    with pytest.raises(ValueError, match="different vector dimensions"):
+        index.search(spark.createDataFrame([(1, [1.0])], "query_id int, query_vec array<float>"))
+
+
+def test_ann_of_nothing(spark):
+    empty = spark.createDataFrame([], "id int, vector array<float>")
+    index = ann.AnnIndex.build(empty, new_scratch(spark, "ann"), 3)
+    queries = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query_id int, query_vec array<float>")
+    assert index.search(queries).collect() == []
+    assert index.search(queries.where("false")).collect() == []
 
 
 @pytest.fixture(scope="module")
