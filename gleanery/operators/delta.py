@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import content as content_rules
@@ -41,8 +41,8 @@ def unstorable_files(files: DataFrame) -> DataFrame:
 def meta_lookup(new: DataFrame, stored: DataFrame) -> DataFrame:
     """New chunks with what is stored about them.
 
-    Adds ``found``, ``old_hash``, ``old_summary``, ``old_has_vec`` and
-    ``source_ref``, the ref whose row answered. A row of the same ref comes first;
+    Adds ``found``, ``old_hash``, ``old_summary``, ``old_has_vec``, ``old_language`` (of a
+    row of the same ref) and ``source_ref``, the ref whose row answered. A row of the same ref comes first;
     else the lowest other ref of the repository holding the same content.
     """
     facts = stored.select(
@@ -50,6 +50,7 @@ def meta_lookup(new: DataFrame, stored: DataFrame) -> DataFrame:
         F.col("content_hash").alias("old_hash"),
         F.coalesce("summary", F.lit("")).alias("old_summary"),
         F.col("summary_vec").isNotNull().alias("old_has_vec"),
+        F.col("language").alias("old_language"),
     )
     same = facts.withColumn("in_ref", F.lit(True))
     # Copies of one file over many refs shrink to one row before they move.
@@ -69,6 +70,7 @@ def meta_lookup(new: DataFrame, stored: DataFrame) -> DataFrame:
         .alias("old_summary"),
         F.when(own, F.col("old_has_vec")).when(donated, F.col("donor.old_has_vec"))
         .alias("old_has_vec"),
+        F.when(own, F.col("old_language")).alias("old_language"),
         F.when(own, F.col("ref")).when(donated, F.col("donor.ref")).alias("source_ref"),
     )
 
@@ -82,3 +84,13 @@ def index_delta(looked_up: DataFrame) -> DataFrame:
             "need_embed": changed | ~F.col("old_has_vec"),
         }
     )
+
+
+def unchanged(delta: DataFrame) -> Column:
+    """Rows of ``index_delta`` that an upsert would give a new time stamp and nothing else."""
+    return (
+        F.col("source_ref").eqNullSafe(F.col("ref"))
+        & ~F.col("need_summary")
+        & ~F.col("need_embed")
+        & F.col("old_language").eqNullSafe(F.col("language"))
+    )

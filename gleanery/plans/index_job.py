@@ -7,12 +7,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.operators.delta import chunk_files, index_delta, meta_lookup
+from gleanery.operators.delta import chunk_files, index_delta, meta_lookup, unchanged
 from gleanery.operators.enrich import enrich
 from gleanery.operators.merge import upserted, with_enrichment
 from gleanery.schema import CHUNK_COLUMNS, NATURAL_KEY
 from gleanery.session import delete_folder, materialize, new_scratch
-from gleanery.sources.chunk_table import ChunkTable
+from gleanery.sources.chunk_table import ChunkTable, CommitConflict
 from gleanery.sources.providers import ProviderSpec
 
 #: Rows, and characters in them, that are safe to broadcast.
@@ -20,6 +20,8 @@ BROADCAST_ROWS = 200_000
 BROADCAST_CHARACTERS = 64_000_000
 #: Repositories up to which a list of names prunes the lookup.
 MAX_LISTED = 1_000
+#: Times a run starts again when others change its partitions meanwhile.
+ATTEMPTS = 5
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -81,10 +83,11 @@ def index_chunks(
 ) -> int:
     """Index prepared chunks.
 
-    Lookup, flags and merge run on keys, hashes and summaries; content joins at
-    the end, so it is shuffled once for the merge and once for the table layout.
-    What is costly to repeat (the scan, the flags, the provider's answers) is
-    written down on the way.
+    Lookup, flags and merge run on keys, hashes and summaries. Only what changed is
+    written: new and changed chunks, whose content joins at the end, as rows, and chunks
+    that stayed as they were as time stamps. What is costly to repeat (the scan, the
+    flags, the provider's answers) is written down on the way. If another writer changes
+    the same partitions meanwhile, the run starts again on the new state.
     """
     if provider is not None and provider.dim != table.dim:
         raise ValueError(f"different vector dimensions: {provider.dim} and {table.dim}")
@@ -112,23 +115,44 @@ def _index(
     if not pairs:
         return table.current_run()
     staged = _one_per_key(staged, scratch)
+    for attempt in range(ATTEMPTS):
+        try:
+            return _attempt(staged, pairs, table, provider, run_ts, max_calls, f"{scratch}/{attempt}")
+        except CommitConflict:
+            if attempt == ATTEMPTS - 1:
+                raise
+    raise AssertionError
+
+
+def _attempt(
+    staged: DataFrame,
+    pairs: list[tuple[str, str]],
+    table: ChunkTable,
+    provider: ProviderSpec | None,
+    run_ts: datetime,
+    max_calls: int | None,
+    scratch: str,
+) -> int:
+    """One run over the state of the newest commit."""
+    base = table.head()
     # Summaries and vectors may come from other refs of the same repositories.
     repositories = sorted({repository for repository, _ in pairs})
     names = repositories if len(repositories) <= MAX_LISTED else None
-    stored = table.load(names)
+    stored = table.load(names, head=base)
     all_new = not table.holds(names)
 
     thin = staged.drop("content")
     delta = materialize(index_delta(meta_lookup(thin, stored)), "delta", scratch)
-    enriched = enrich(_flagged_content(staged, delta, all_new), provider, max_calls)
+    stay, total = delta.agg(F.count_if(unchanged(delta)), F.count("*")).first()
+    now = F.lit(run_ts).cast("timestamp").alias("summarized_at")
+    touched = delta.where(unchanged(delta)).select(*NATURAL_KEY, now) if stay else None
+    if stay == total:
+        return table.append(None, touched, base)
+    changed = delta.where(~unchanged(delta)) if stay else delta
+    enriched = enrich(_flagged_content(staged, changed, all_new), provider, max_calls)
     enriched = materialize(enriched, "enriched", scratch)
-    merged = upserted(with_enrichment(delta, enriched), stored, run_ts)
+    merged = upserted(with_enrichment(changed, enriched), stored, run_ts)
+    if stay:
+        merged = _small(materialize(merged, "merged", scratch))
     fresh = staged.select(*NATURAL_KEY, "content").join(merged, NATURAL_KEY)
-
-    # Gone files of the touched partitions stay. Their keys are found without
-    # reading content; few of them are then fetched without moving the rest.
-    touched = table.load(within=pairs)
-    gone = touched.select(NATURAL_KEY).join(thin.select(NATURAL_KEY), NATURAL_KEY, "left_anti")
-    gone = materialize(gone, "gone", scratch)
-    kept = touched.join(_small(gone), NATURAL_KEY, "left_semi")
-    return table.save(fresh.select(CHUNK_COLUMNS).unionByName(kept.select(CHUNK_COLUMNS)))
+    return table.append(fresh.select(CHUNK_COLUMNS), touched, base)

@@ -12,7 +12,7 @@ from gleanery.plans import search_service
 from gleanery.plans.index_job import run_index
 from gleanery.schema import CHUNK_COLUMNS, FILES, NATURAL_KEY
 from gleanery.session import new_scratch, shared_folder
-from gleanery.sources.chunk_table import ChunkTable
+from gleanery.sources.chunk_table import ChunkTable, CommitConflict
 from gleanery.sources.providers import StubProvider, default_dim, make_provider, register_provider
 from gleanery.streaming.index_stream import CHANGES, index_stream
 
@@ -306,3 +306,93 @@ def test_stream_keeps_the_newest_change(spark, table, order):
         stream.awaitTermination()
     assert {k[1]: r["content"] for k, r in stored(table).items()} == {
         "a.py": "newest", "b.py": "only"}
+
+
+def _data_files(table):
+    return sorted(table._glob("data/*/*/*/*.parquet"))
+
+
+def test_a_changed_file_leaves_all_other_data_files(spark, table):
+    run_index(files(spark, FIRST), table, COUNTING, DAY[0])
+    before = _data_files(table)
+    run_index(files(spark, FIRST | {"note.md": b"more"}), table, COUNTING, DAY[1])
+    after = _data_files(table)
+    assert set(before) < set(after)
+    added = spark.read.parquet(*sorted(set(after) - set(before)))
+    assert [r["path"] for r in added.select("path").collect()] == ["note.md"]
+    run_index(files(spark, FIRST | {"note.md": b"more"}), table, COUNTING, DAY[2])
+    assert _data_files(table) == after
+    rows = stored(table)
+    assert rows["main", "note.md", 1]["content"] == "more"
+    assert {r["summarized_at"] for r in rows.values()} == {r["summarized_at"] for r in rows.values()
+                                                           if r["path"] == "a/x.py"}
+
+
+def test_compaction_changes_no_row(spark, table):
+    run_index(files(spark, FIRST), table, COUNTING, DAY[0])
+    run_index(files(spark, FIRST | {"note.md": b"more"}), table, COUNTING, DAY[1])
+    run_index(files(spark, {"a": b"1"}, "other"), table, COUNTING, DAY[2])
+    before, run = stored(table), table.current_run()
+    assert table.compact()
+    assert stored(table) == before and table.current_run() == run
+    assert table.live_partitions().count() == 2
+    assert not table.compact()
+    table.drop_old_runs(keep=1)
+    assert stored(table) == before
+    run_index(files(spark, {"a": b"2"}, "other"), table, COUNTING, DAY[3])
+    assert stored(table, repository="r") == {k: r for k, r in before.items() if r["repository"] == "r"}
+    assert stored(table, repository="other")["main", "a", 1]["content"] == "2"
+
+
+def test_two_writers_lose_nothing(spark, table, monkeypatch):
+    """The second writer commits while the first one is about to."""
+    run_index(files(spark, {"a": b"1", "b": b"1"}), table, COUNTING, DAY[0])
+    other = ChunkTable(spark, table.path)
+    commit, waiting = ChunkTable._commit, []
+
+    def interleaved(self, *args, **kwargs):
+        if self is table and not waiting:
+            waiting.append(True)
+            run_index(files(spark, {"b": b"22", "c": b"3"}), other, COUNTING, DAY[1])
+            run_index(files(spark, {"x": b"1"}, "elsewhere"), other, COUNTING, DAY[1])
+        return commit(self, *args, **kwargs)
+
+    monkeypatch.setattr(ChunkTable, "_commit", interleaved)
+    run_index(files(spark, {"a": b"333", "d": b"4"}), table, COUNTING, DAY[2])
+    contents = {(r["repository"], r["path"]): r["content"] for r in table.load().collect()}
+    assert contents == {("r", "a"): "333", ("r", "b"): "22", ("r", "c"): "3", ("r", "d"): "4",
+                        ("elsewhere", "x"): "1"}
+
+
+def test_writers_of_other_partitions_do_not_conflict(spark, table):
+    base = table.head()
+    row = lambda name: chunk_files(files(spark, {"a": b"1"}, name)).withColumns(
+        {c: F.lit(None) for c in ("summary", "summary_vec", "summarized_at", "created_at")})
+    table.append(row("r1"), None, base)
+    table.append(row("r2"), None, base)
+    assert table.head() == 2
+    with pytest.raises(CommitConflict):
+        table.append(row("r1"), None, base)
+    assert table.load().count() == 2
+    table.save(row("r1"))
+    assert table.load().count() == 2
+
+
+def test_the_log_never_replaces_a_file(table):
+    assert table._create("log/0000000001.json", "a")
+    assert not table._create("log/0000000001.json", "b")
+    assert table._read_text("log/0000000001.json") == "a"
+    assert table._glob("drafts/*") == []
+
+
+def test_the_dimension_is_stored_and_checked(spark, table):
+    run_index(files(spark, {"a": b"1"}), table, STUB, DAY[0])
+    assert ChunkTable(spark, table.path).dim == DIM
+    with pytest.raises(ValueError, match="different vector dimensions: 5 and 4"):
+        ChunkTable(spark, table.path, 5)
+    with pytest.raises(ValueError, match="dimension must be set"):
+        ChunkTable(spark, new_scratch(spark, "none"))
+    wrong = table.load().withColumn("summary_vec", F.array(F.lit(1.0).cast("float")))
+    with pytest.raises(Exception, match="different vector dimensions: 4 and 1"):
+        table.save(wrong)
+    assert stored(table)["main", "a", 1]["summary_vec"] == [0.0] * DIM
