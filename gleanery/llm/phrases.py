@@ -6,11 +6,13 @@ that grows too large bursts into one per next word. Past ``MOST_ENTRIES`` the la
 subtrees are spilled whole as sorted runs. Runs meet by prefix (the first three words), so
 a common first word is spread, and a task hands on a phrase at most once per spill.
 
-Counting goes by length: words, pairs, then three and four words together. A phrase of
-30 occurrences has only parts of 30 occurrences, so the next lengths are counted only
-where all their parts passed; tasks know these from a filter of at most ``FILTER_BITS``
-bits without false negatives. A phrase let through by mistake is counted like any other
-and falls out by its count, so a full filter costs time and nothing else.
+A phrase of 30 occurrences has only parts of 30 occurrences, so most phrases need no
+counting. Two passes find what may be frequent, first words, then pairs of such words: they
+add up hashes of phrases, and the sums of 30 and more become a filter of at most
+``FILTER_BITS`` bits without false negatives, which is all that the tasks of the next pass
+are sent. The last pass counts the phrases whose words and pairs passed by their text. What
+was let through by mistake is counted like the rest and falls out by its count, so a full
+filter costs time and nothing else.
 
 All phrases that a score needs are parts of candidates, hence counted exactly.
 
@@ -46,9 +48,13 @@ REPLACES = 80
 FIRST = 2000
 #: Score of a phrase that never stands without its parts.
 SCALE = 2_000_000
-#: Entries of a task's trie, and of a container before it bursts.
+#: Entries of a task's tries, and of a container before it bursts.
 MOST_ENTRIES = 600_000
 BURST = 8192
+#: Hashes that a task holds before it hands them on.
+MOST_HASHES = 4_000_000
+#: Places that prefixes are dealt to.
+PREFIXES = 1 << 20
 #: Bits of a filter at most (16 MB), and for each phrase in it.
 FILTER_BITS = 1 << 27
 BITS_EACH = 16
@@ -65,7 +71,7 @@ _IS_END[_PIECE_ENDS] = True
 _SHAPE = np.full(256, ord("a"), np.uint8)
 _SHAPE[[*_PIECE_ENDS, *_BLANKS]] = 0x20
 
-_COUNTED = "lang string, phrase string, words int, n bigint"
+_COUNTED = "lang string, phrase string, n bigint"
 
 
 class _Branch(dict):
@@ -73,10 +79,10 @@ class _Branch(dict):
 
 
 class HatTrie:
-    """Counts of phrases (tuples of word ids), each at least ``shortest`` words long."""
+    """Counts of phrases (tuples of word ids) of ``length`` words."""
 
-    def __init__(self, shortest: int, burst: int = BURST):
-        self.shortest = shortest
+    def __init__(self, length: int, burst: int = BURST):
+        self.length = length
         self.burst = burst
         self.entries = 0
         self.root: dict = {}
@@ -95,7 +101,7 @@ class HatTrie:
             return
         place[rest] = n
         self.entries += 1
-        if len(place) > self.burst and depth + 1 < self.shortest:
+        if len(place) > self.burst and depth + 1 < self.length:
             parts = _Branch()
             for rest, count in place.items():
                 parts.setdefault(rest[0], {})[rest[1:]] = count
@@ -137,42 +143,45 @@ class _Words:
 
     def __init__(self, batch: pa.RecordBatch):
         values, offsets = text_buffers(batch.column("text"))
-        values = _LOWER[values]
-        starts, ends, before = word_spans(_SHAPE[values], offsets)
-        lengths = ends - starts
-        bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        shift = np.repeat(starts - bounds[:-1], lengths)
-        data = values[np.arange(bounds[-1]) + shift]
-        column = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(lengths), [None, pa.py_buffer(bounds), pa.py_buffer(data)]
-        ).dictionary_encode()
-        word = column.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.names = column.dictionary.to_pylist()
-        langs = batch.column("lang").fill_null("und").dictionary_encode()
-        self.langs = langs.dictionary.to_pylist()
+        self.values = _LOWER[values]
+        self.starts, self.ends, before = word_spans(_SHAPE[self.values], offsets)
         per_text = np.diff(before)
-        lang = np.repeat(langs.indices.to_numpy(zero_copy_only=False).astype(np.int64), per_text)
-        #: Number of the (lang, word) of an occurrence.
-        self.pairs, self.number = _numbered(lang * max(1, len(self.names)) + word)
-        marks = np.concatenate([[0], np.cumsum(_IS_END[values])])
+        marks = np.concatenate([[0], np.cumsum(_IS_END[self.values])])
         #: Piece of an occurrence; pieces never cross texts.
-        self.piece = marks[starts] + np.repeat(np.arange(len(per_text)), per_text)
-        dictionary, at = text_buffers(column.dictionary)
-        names = word_hashes(dictionary, at[:-1], at[1:])
-        langs, at = text_buffers(pa.array(self.langs, pa.string()))
-        self.hashes = _salted(names, self.pairs % max(1, len(names)),
-                              word_hashes(langs, at[:-1], at[1:]),
-                              self.pairs // max(1, len(names)))
-
-    def pair(self, number: int) -> tuple[str, bytes]:
-        lang, word = divmod(int(self.pairs[number]), len(self.names))
-        return self.langs[lang], self.names[word]
+        self.piece = marks[self.starts] + np.repeat(np.arange(len(per_text)), per_text)
+        langs = batch.column("lang").fill_null("und").dictionary_encode()
+        self.langs = langs.dictionary.to_pylist()
+        lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.lang = np.repeat(lang, per_text)
+        self.hashes = _salted(
+            word_hashes(self.values, self.starts, self.ends), _lang_hashes(langs.dictionary), self.lang
+        )
 
     def together(self, length: int) -> np.ndarray:
         """Whether ``length`` words from each place on lie in one piece."""
         n = max(0, len(self.piece) - length + 1)
         return self.piece[:n] == self.piece[length - 1 :][:n]
 
+    def passing(self, known: Filter) -> np.ndarray:
+        """Whether the phrase from each place on is in a filter of its length."""
+        alive = self.together(known.length)
+        alive[alive] = known.holds(sequence_hashes(self.hashes, known.length)[alive])
+        return alive
+
+    def numbered(self) -> tuple[np.ndarray, list[tuple[str, bytes]]]:
+        """Number of each occurrence's word, and per number its lang and word."""
+        lengths = self.ends - self.starts
+        bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        data = self.values[np.arange(bounds[-1]) + np.repeat(self.starts - bounds[:-1], lengths)]
+        column = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(lengths), [None, pa.py_buffer(bounds), pa.py_buffer(data)]
+        ).dictionary_encode()
+        word = column.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        texts = column.dictionary.to_pylist()
+        pairs, number = _numbered(self.lang * max(1, len(texts)) + word)
+        places = (divmod(pair, len(texts)) for pair in pairs.tolist())
+        return number, [(self.langs[lang], texts[word]) for lang, word in places]
+
 
 def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, and the number of each key among them."""
@@ -180,8 +189,22 @@ def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct, number.reshape(-1)
 
 
-def _salted(words: np.ndarray, word: np.ndarray, langs: np.ndarray, lang: np.ndarray):
-    return mix(words[word] + langs[lang] * np.uint64(0x9E3779B97F4A7C15))
+def _lang_hashes(langs: pa.Array) -> np.ndarray:
+    values, at = text_buffers(langs)
+    return word_hashes(values, at[:-1], at[1:])
+
+
+def _salted(words: np.ndarray, langs: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    return mix(words + langs[lang] * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _places(words: _Words, length: int, parts: list[np.ndarray]) -> np.ndarray:
+    """Where a phrase of this length starts whose parts have all passed."""
+    here = words.together(length)
+    for part, alive in enumerate(parts, start=1):
+        for at in range(length - part + 1 if part <= length else 0):
+            here &= alive[at : at + len(here)]
+    return np.flatnonzero(here)
 
 
 class Filter:
@@ -204,71 +227,94 @@ class Filter:
         return (found[: len(hashes)] & found[len(hashes) :]).astype(bool)
 
 
-def _occurrences(words: _Words, lengths: tuple[int, ...], passed: Filter | None):
-    """(length, places) of the phrases to count."""
-    if passed is not None:
-        part = passed.length
-        hashes = words.hashes[words.number]
-        alive = words.together(part)
-        alive[alive] = passed.holds(sequence_hashes(hashes, part)[alive])
-    for length in lengths:
-        here = words.together(length)
-        if passed is not None:
-            for at in range(length - part + 1):
-                here &= alive[at : at + len(here)]
-        yield length, np.flatnonzero(here)
+def _hash_counts(length: int, known, most: int):
+    """Hashes of the phrases of one length, with their counts in the task."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        filters = known.value
+        for part in parts:
+            for batch in batches(part, "text"):
+                words = _Words(batch)
+                places = _places(words, length, [words.passing(f) for f in filters])
+                hashes = sequence_hashes(words.hashes, length)[places]
+                held.append(np.unique(hashes, return_counts=True))
+                size += len(held[-1][0])
+                if size > most:
+                    held = [_summed(held)]
+                    size = len(held[0][0])
+                    if size > most // 2:
+                        yield _hash_batch(held[0])
+                        held, size = [], 0
+        if held:
+            yield _hash_batch(_summed(held))
+
+    return run
+
+
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _hash_batch(summed: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    keys, counts = summed
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["hash", "n"]
+    )
 
 
 def _distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows of equally long columns below 2**31, sorted, and their counts."""
     key = columns[0]
-    for column in columns[1:]:
-        key = (_numbered(key)[1] if column is not columns[1] else key) << 32 | column
+    for at, column in enumerate(columns[1:]):
+        key = (_numbered(key)[1] if at else key) << 32 | column
     _, first, counts = np.unique(key, return_index=True, return_counts=True)
     return [column[first] for column in columns], counts
 
 
-def _runs(lengths: tuple[int, ...], passed, most: int):
+def _runs(longest: int, known, most: int):
     """Sorted runs of counted phrases; a row without phrase has the words of a lang."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, ids, names = HatTrie(min(lengths)), {}, []
+        tries = [HatTrie(n) for n in range(1, longest + 1)]
+        ids: dict[tuple[str, bytes], int] = {}
+        names: list[tuple[str, bytes]] = []
         totals: Counter = Counter()
-        known = passed.value if passed is not None else None
         for part in parts:
             for batch in batches(part, "text"):
                 words = _Words(batch)
-                if 1 in lengths:
-                    counts = np.bincount(words.number, minlength=len(words.pairs))
-                    sums = np.bincount(words.pairs // max(1, len(words.names)), counts)
-                    totals.update(dict(zip(words.langs, map(int, sums), strict=False)))
-                for length, places in _occurrences(words, lengths, known):
-                    if not len(places):
-                        continue
-                    columns = [words.number[places + i] for i in range(length)]
-                    columns, counts = _distinct(columns)
-                    used, columns = _numbered(np.stack(columns))
-                    own = []
-                    for number in used.tolist():
-                        pair = words.pair(number)
-                        if pair not in ids:
-                            ids[pair] = len(names)
-                            names.append(pair)
-                        own.append(ids[pair])
-                    rows = np.array(own)[columns.reshape(length, -1)].tolist()
-                    for phrase, n in zip(zip(*rows, strict=True), counts.tolist(), strict=True):
-                        trie.add(phrase, n)
-                    if trie.entries > most:
-                        yield from _sorted(trie.spill(most // 2), names)
+                totals.update(dict(zip(words.langs, np.bincount(words.lang).tolist(), strict=False)))
+                passed = [words.passing(f) for f in known.value]
+                number, own_names = words.numbered()
+                for trie in tries:
+                    places = _places(words, trie.length, passed)
+                    if len(places):
+                        columns = [number[places + i] for i in range(trie.length)]
+                        columns, counts = _distinct(columns)
+                        used, columns = _numbered(np.stack(columns))
+                        own = np.array([_id(own_names[i], ids, names) for i in used.tolist()])
+                        rows = own[columns.reshape(trie.length, -1)].tolist()
+                        for phrase, n in zip(
+                            zip(*rows, strict=True), counts.tolist(), strict=True
+                        ):
+                            trie.add(phrase, n)
+                while sum(trie.entries for trie in tries) > most:
+                    fullest = max(tries, key=lambda trie: trie.entries)
+                    yield from _sorted(fullest.spill(fullest.entries // 2), names)
                 if len(names) > most:  # forget the ids with all that uses them
-                    yield from _sorted(trie.spill(), names)
-                    trie, ids, names = HatTrie(min(lengths)), {}, []
-        yield from _sorted(trie.spill(), names)
+                    for trie in tries:
+                        yield from _sorted(trie.spill(), names)
+                    ids, names = {}, []
+        for trie in tries:
+            yield from _sorted(trie.spill(), names)
         yield pa.RecordBatch.from_pydict(
             {
                 "lang": pa.array(list(totals), pa.string()),
                 "phrase": pa.nulls(len(totals), pa.string()),
-                "words": pa.nulls(len(totals), pa.int32()),
                 "n": pa.array(list(totals.values()), pa.int64()),
             }
         )
@@ -276,6 +322,14 @@ def _runs(lengths: tuple[int, ...], passed, most: int):
     return run
 
 
+def _id(name: tuple[str, bytes], ids: dict, names: list) -> int:
+    number = ids.get(name)
+    if number is None:
+        number = ids[name] = len(names)
+        names.append(name)
+    return number
+
+
 def _sorted(found: list[tuple[tuple[int, ...], int]], names: list) -> list[pa.RecordBatch]:
     if not found:
         return []
@@ -284,7 +338,6 @@ def _sorted(found: list[tuple[tuple[int, ...], int]], names: list) -> list[pa.Re
             "lang": pa.array([names[p[0]][0] for p, _ in found], pa.string()),
             "phrase": pa.array([b" ".join([names[i][1] for i in p]) for p, _ in found], pa.binary())
             .cast(pa.string()),
-            "words": pa.array([len(p) for p, _ in found], pa.int32()),
             "n": pa.array([n for _, n in found], pa.int64()),
         }
     )
@@ -293,21 +346,12 @@ def _sorted(found: list[tuple[tuple[int, ...], int]], names: list) -> list[pa.Re
     )
 
 
-def _filter_slots(length: int, size: int):
-    """Bits of a filter of ``size`` 64-bit words, from counted phrases."""
+def _filter_slots(size: int):
+    """Bits of a filter of ``size`` 64-bit words, from hashes."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            values, offsets = text_buffers(part.column("phrase"))
-            spaces = np.flatnonzero(values == 0x20)
-            # Words of a phrase are parted by one space each; phrases by their offsets.
-            edges = np.union1d(offsets, spaces)
-            starts = edges[:-1] + (np.isin(edges[:-1], spaces))
-            words = word_hashes(values, starts, edges[1:])
-            langs, at = text_buffers(part.column("lang"))
-            langs = np.repeat(word_hashes(langs, at[:-1], at[1:]), length)
-            every = np.arange(len(words))
-            hashes = sequence_hashes(_salted(words, every, langs, every), length)[::length]
+            hashes = part.column("hash").to_numpy(zero_copy_only=False).view(np.uint64)
             slots = Filter.slots(hashes, size)
             place, number = _numbered((slots >> np.uint64(6)).astype(np.int64))
             masks = np.zeros(len(place), np.uint64)
@@ -320,14 +364,11 @@ def _filter_slots(length: int, size: int):
     return run
 
 
-def _filter(counted: DataFrame, length: int) -> Filter:
-    """The filter of all phrases of a table; its size is bounded, whatever their number."""
-    phrases = counted.where("phrase is not null")
-    wanted = max(1024, phrases.count() * BITS_EACH)
+def _filter(hashes: DataFrame, length: int) -> Filter:
+    """The filter of all hashes of a table; its size is bounded, whatever their number."""
+    wanted = max(1024, hashes.count() * BITS_EACH)
     size = min(FILTER_BITS, 1 << (wanted - 1).bit_length()) // 64
-    slots = phrases.select("lang", "phrase").mapInArrow(
-        _filter_slots(length, size), "place bigint, mask bigint"
-    )
+    slots = hashes.mapInArrow(_filter_slots(size), "place bigint, mask bigint")
     words = slots.groupBy("place").agg(F.bit_or("mask").alias("mask")).toArrow()
     bits = np.zeros(size, np.int64)
     bits[words.column("place").to_numpy()] = words.column("mask").to_numpy()
@@ -339,29 +380,31 @@ def count_phrases(
 ) -> tuple[DataFrame, DataFrame]:
     """Phrases of at least ``least`` occurrences (lang, phrase, words, n), of one to
     ``longest`` words, and the words of each lang (lang, n); both stored."""
-    spark = documents.sparkSession
-    folder = job_folder(spark, "phrases")
+    context = documents.sparkSession.sparkContext
+    folder = job_folder(documents.sparkSession, "phrases")
     texts = documents.select("text", F.col("lang").cast("string").alias("lang"))
-    levels: list[DataFrame] = []
-    rounds = [(1,), (2,), tuple(range(3, longest + 1))]
-    for at, lengths in enumerate(rounds[:longest]):
-        known = _filter(levels[-1], rounds[at - 1][0]) if at else None
-        sent = spark.sparkContext.broadcast(known) if known else None
-        runs = texts.mapInArrow(_runs(lengths, sent, most), _COUNTED)
-        prefix = F.xxhash64("lang", F.substring_index("phrase", " ", 3))
-        merged = (
-            runs.withColumn("prefix", prefix)
-            .repartition("prefix")
-            .groupBy("prefix", "lang", "phrase")
-            .agg(F.first("words").alias("words"), F.sum("n").alias("n"))
-            .where(F.col("phrase").isNull() | (F.col("n") >= least))
-        )
-        levels.append(save(merged.drop("prefix"), folder, f"words-{lengths[0]}"))
-    totals = levels[0].where("phrase is null").select("lang", "n")
-    counted = levels[0]
-    for level in levels[1:]:
-        counted = counted.unionByName(level)
-    return counted.where("phrase is not null"), totals
+    filters: list[Filter] = []
+    for length in (1, 2):
+        known = context.broadcast(list(filters))
+        hashed = texts.mapInArrow(_hash_counts(length, known, MOST_HASHES), "hash bigint, n bigint")
+        sums = hashed.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        filters.append(_filter(save(sums.select("hash"), folder, f"hashes-{length}"), length))
+    runs = texts.mapInArrow(_runs(longest, context.broadcast(filters), most), _COUNTED)
+    first_words = F.substring_index("phrase", " ", 3)
+    prefix = F.pmod(F.xxhash64("lang", first_words), F.lit(PREFIXES)).cast("int")
+    merged = (
+        runs.withColumn("prefix", prefix)
+        .repartition("prefix")
+        .groupBy("prefix", "lang", "phrase")
+        .agg(F.sum("n").alias("n"))
+        .where(F.col("phrase").isNull() | (F.col("n") >= least))
+        .select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "n")
+    )
+    counted = save(merged, folder, "counted")
+    return (
+        counted.where("phrase is not null"),
+        counted.where("phrase is null").select("lang", "n"),
+    )
 
 
 def _whole(column: str) -> Column:
