@@ -1,7 +1,10 @@
 """Sharding: a two-pass external shuffle.
 
 Pass one scatters the records by seeded hashes over buckets that fit in memory; pass
-two permutes each bucket (Fisher-Yates, the built-in ``shuffle``) and numbers it.
+two permutes each bucket (Fisher-Yates, the built-in ``shuffle``) and numbers it. The
+generator of ``shuffle`` goes on from row to row in a task, so buckets are dealt to a fixed
+number of tasks and stand in a fixed order there: slots depend on the rows alone, not on
+shuffle partitions, adaptive plans or tasks that run again.
 
 The law is ``key``: doc_id and the number of shards decide alone. Each shard draws a
 hash for the doc_id and the largest one wins, so a further shard takes rows only into
@@ -17,7 +20,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.session import materialize, new_scratch
@@ -25,6 +28,9 @@ from gleanery.session import materialize, new_scratch
 #: Bytes of text that one bucket should hold.
 BUCKET_BYTES = 4 * 2**20
 SEED = 20_240_607
+#: Buckets that one task permutes, and buckets whose counts are added up at once.
+BUCKETS_A_TASK = 8
+COUNTED_AT_ONCE = 1024
 
 
 def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -70,32 +76,15 @@ def shuffle_shards(
         F.xxhash64(*scatter).alias("_hash"),
         F.struct(*carried).alias("_record"),
     ).withColumn("_bucket", F.pmod("_hash", F.lit(per_shard)).cast("int"))
-    buckets = placed.groupBy("_shard", "_bucket").agg(
-        F.sort_array(F.collect_list(F.struct("_hash", "_record"))).alias("_rows")
-    )
-    counts = placed.groupBy("_shard", "_bucket").agg(F.count("*").alias("_n"))
-    below = counts.groupBy("_shard").agg(
-        F.sort_array(F.collect_list(F.struct("_bucket", "_n"))).alias("_counts")
-    )
-    # Slots before a bucket: one short array per shard, a number for each bucket.
-    offsets = below.select(
-        "_shard",
-        F.explode(
-            F.transform(
-                "_counts",
-                lambda c: F.struct(
-                    c["_bucket"].alias("_bucket"),
-                    F.aggregate(
-                        F.filter("_counts", lambda b: b["_bucket"] < c["_bucket"]),
-                        F.lit(0).cast("long"),
-                        lambda total, b: total + b["_n"],
-                    ).alias("_before"),
-                ),
-            )
-        ).alias("_o"),
-    ).select("_shard", "_o.*")
-    permuted = buckets.join(offsets, ["_shard", "_bucket"]).select(
-        "_shard", "_before", F.posexplode(F.shuffle("_rows", seed)).alias("_at", "_row")
+    tasks = math.ceil(shards * per_shard / BUCKETS_A_TASK)
+    permuted = (
+        placed.repartition(tasks, "_shard", "_bucket")
+        .groupBy("_shard", "_bucket")
+        .agg(F.sort_array(F.collect_list(F.struct("_hash", "_record"))).alias("_rows"))
+        .sortWithinPartitions("_shard", "_bucket")
+        .withColumn("_rows", F.shuffle("_rows", seed))
+        .join(_slots_before(placed), ["_shard", "_bucket"])
+        .select("_shard", "_before", F.posexplode("_rows").alias("_at", "_row"))
     )
     return permuted.select(
         *[F.col("_row._record")[c].alias(c) for c in carried],
@@ -104,8 +93,27 @@ def shuffle_shards(
     )
 
 
+def _slots_before(placed: DataFrame) -> DataFrame:
+    """Rows of a shard in the buckets before each: sums within stretches of buckets, and
+    sums of whole stretches before."""
+    stretch = F.floor(F.col("_bucket") / COUNTED_AT_ONCE)
+    counts = placed.groupBy("_shard", "_bucket").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_stretch", stretch)
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    inside = earlier(Window.partitionBy("_shard", "_stretch").orderBy("_bucket"))
+    whole = counts.groupBy("_shard", "_stretch").agg(F.sum("_n").alias("_n"))
+    ahead = F.sum("_n").over(earlier(Window.partitionBy("_shard").orderBy("_stretch")))
+    whole = whole.select("_shard", "_stretch", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    near = counts.withColumn("_near", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    return near.join(whole, ["_shard", "_stretch"]).select(
+        "_shard", "_bucket", (F.col("_near") + F.col("_ahead")).alias("_before")
+    )
+
+
 def write_shards(placed: DataFrame, path: str) -> None:
-    """One folder per shard, rows in the order of their slots."""
+    """One folder per shard, rows in the order of their slots. The slots are written down
+    before they are ranged, so that a task that runs again finds the same ones."""
+    placed = materialize(placed, "placed", new_scratch(placed.sparkSession, "shards"))
     ordered = placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
     ordered.write.partitionBy("shard").parquet(path)
 

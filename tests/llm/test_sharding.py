@@ -72,3 +72,23 @@ def test_write_shards(spark, documents, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     columns = ["doc_id", "text", "shard", "slot"]
     assert sorted(back.select(columns).collect()) == sorted(placed.select(columns).collect())
+
+
+def test_slots_do_not_depend_on_the_plan(spark, small):
+    frame = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled"]
+    before = {n: spark.conf.get(n) for n in names}
+    found = []
+    try:
+        for partitions, adaptive, parts in [(2, "true", 1), (7, "true", 5), (3, "false", 4)]:
+            spark.conf.set(names[0], partitions)
+            spark.conf.set(names[1], adaptive)
+            placed = sharding.shuffle_shards(frame.repartition(parts), 4, bucket_bytes=30_000)
+            found.append(sorted((r.doc_id, r.shard, r.slot) for r in placed.collect()))
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert found[0] == found[1] == found[2]
+    for shard in range(4):
+        slots = sorted(s for _, own, s in found[0] if own == shard)
+        assert slots == list(range(len(slots)))
