@@ -7,12 +7,12 @@ subtrees are spilled whole as sorted runs. Runs meet by prefix (the first three
 a common first word is spread, and a task hands on a phrase at most once per spill.
 
 A phrase of 30 occurrences has only parts of 30 occurrences, so most phrases need no
-counting. Two passes find what may be frequent, first words, then pairs of such words: they
-add up hashes of phrases, and the sums of 30 and more become a filter of at most
-``FILTER_BITS`` bits without false negatives, which is all that the tasks of the next pass
-are sent. The last pass counts the phrases whose words and pairs passed by their text. What
-was let through by mistake is counted like the rest and falls out by its count, so a full
-filter costs time and nothing else.
+counting. One pass for each length but the longest finds what may be frequent: first words,
+then pairs of such words, then triples of such pairs. It adds up hashes of phrases, and the
+sums of 30 and more become a filter of at most ``FILTER_BITS`` bits without false negatives,
+which is all that the tasks of the next pass are sent. The last pass counts by their text
+the phrases whose parts all passed. What was let through by mistake is counted like the
+rest and falls out by its count, so a full filter costs time and nothing else.
 
 All phrases that a score needs are parts of candidates, hence counted exactly.
 
@@ -384,7 +384,7 @@ def count_phrases(
     folder = job_folder(documents.sparkSession, "phrases")
     texts = documents.select("text", F.col("lang").cast("string").alias("lang"))
     filters: list[Filter] = []
-    for length in (1, 2):
+    for length in range(1, longest):
         known = context.broadcast(list(filters))
         hashed = texts.mapInArrow(_hash_counts(length, known, MOST_HASHES), "hash bigint, n bigint")
         sums = hashed.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
