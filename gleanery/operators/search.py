@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -67,11 +68,12 @@ class SearchQuery:
 
 
 def parse_k(value: str | None) -> int:
-    """The requested number of results; what is no number gives the default."""
-    try:
-        return int(value)
-    except (TypeError, ValueError):
+    """The requested number of results; anything but digits with a sign at most, in the
+    range of 64 bits, gives the default."""
+    if value is None or not re.fullmatch(r"[+-]?[0-9]+", value):
         return DEFAULT_K
+    number = int(value)
+    return number if -(2**63) <= number < 2**63 else DEFAULT_K
 
 
 def with_embedding(query: SearchQuery, provider) -> SearchQuery:

@@ -111,6 +111,7 @@ def test_empty_queries(chunks):
 
 def test_parse_k():
     assert [search.parse_k(v) for v in ("7", "x", None, "", "-5")] == [7, 5, 5, 5, -5]
+    assert [search.parse_k(v) for v in (" 5 9", " 8", "1_0", "+3", "٣", "9" * 30)] == [5, 5, 5, 3, 5, 5]
 
 
 def test_failing_embedding_leaves_the_lexical_search(chunks):
