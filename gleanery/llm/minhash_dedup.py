@@ -15,9 +15,12 @@ Lists that many documents share need care, because their pairs are not emitted:
   pair's rarest shingles (15 % at 85) at least one is common, and a rare shingle has a
   short list again.
 * Where even the rarest shingles are common, documents are near copies in large groups.
-  They meet hubs of their list (those of the most common shingles), at first one, then
-  more and more, and only while they are in different components, until each pair of a
-  list is either compared or connected.
+  They meet hubs of their list: at first the one of the most common shingles, then more
+  and more of those that are outside the list's largest component, each time only where
+  the components differ. A hub that has met its list leaves it, so a list is done when
+  the rest of it is one component: each of its pairs is then compared or connected.
+* Places rule pairs out before they meet: if the first value that two sets share is the
+  i-th rarest of one, all its values before that are not shared, which bounds the overlap.
 
 Defined cases: a null text is empty; a text without words has size 0 and is linked with
 nothing, not even its like; fewer than five words are one shingle; rows that repeat a
@@ -54,7 +57,7 @@ SIMILAR = 85
 K = 32
 SHORT = 24
 #: How many times more hubs of a list each further round takes.
-HUB_GROWTH = 64
+HUB_GROWTH = 8
 #: Chance that a linked pair differs in as many retained values as a document that is not
 #: crowded has in short lists, and that its estimate lies below the least one that goes on
 #: to the exact comparison.
@@ -180,12 +183,17 @@ def _listed(postings: DataFrame) -> DataFrame:
     return postings.join(lengths, "v")
 
 
+def _possible(similar: int) -> Column:
+    """Whether two sets can be similar enough if ``most`` values of each can be shared."""
+    shared = F.least("a.most", "b.most")
+    return 100 * shared >= similar * (F.col("a.n") + F.col("b.n") - shared)
+
+
 def _pairs(listed: DataFrame, similar: int) -> DataFrame:
-    """Pairs of short lists whose sizes allow a link."""
-    columns = ["v", "node", "n"]
+    """Pairs of short lists whose sizes (and places, by ``most``) allow a link."""
+    columns = ["v", "node", "n", "most"]
     a, b = listed.select(columns).alias("a"), listed.select(columns).alias("b")
-    sizes = 100 * F.least("a.n", "b.n") >= similar * F.greatest("a.n", "b.n")
-    same = (F.col("a.v") == F.col("b.v")) & (F.col("a.node") < F.col("b.node")) & sizes
+    same = (F.col("a.v") == F.col("b.v")) & (F.col("a.node") < F.col("b.node")) & _possible(similar)
     return a.join(b, same).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
 
@@ -240,7 +248,10 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
         long_values.where(retained - F.col("long_lists") < need).select("node", "n"),
         folder, "crowded",
     )
-    pairs = save(_estimated(_pairs(short, similar), classes, similar), folder, "pairs")
+    pairs = save(
+        _estimated(_pairs(short.withColumn("most", F.col("n")), similar), classes, similar),
+        folder, "pairs",
+    )
     involved = (
         pairs.select(F.col("a").alias("node"))
         .union(pairs.select(F.col("b").alias("node")))
@@ -307,10 +318,9 @@ def _crowded_links(crowded, sets, classes, roots, folder, similar) -> DataFrame:
         .join(crowded, "node")
     )
     # Of all values that two documents share, the rarest one brings them together.
-    order = F.array_sort(F.collect_list(F.struct("length", "v")).over(Window.partitionBy("node")))
     prefix = save(
         ranked.where((F.col("rank") <= _differ(similar)) & (F.col("length") > 1)).withColumn(
-            "values", F.transform(order, lambda x: x["v"])
+            "most", F.col("n") - F.col("rank") + 1
         ),
         folder, "prefix",
     )
@@ -318,37 +328,48 @@ def _crowded_links(crowded, sets, classes, roots, folder, similar) -> DataFrame:
     pairs = save(_estimated(short, classes, similar), folder, "pairs")
     if not pairs.isEmpty():
         roots = _linked(pairs, roots, sets, folder, similar)
-    long = save(prefix.where(F.col("length") > SHORT), folder, "long")
-    return _hub_links(long, sets, classes, roots, folder, similar)
+    ordered = F.collect_list("v").over(
+        Window.partitionBy("node").orderBy("rank").rowsBetween(
+            Window.unboundedPreceding, Window.unboundedFollowing
+        )
+    )
+    long = prefix.where(F.col("length") > SHORT).withColumn("values", ordered)
+    return _hub_links(save(long, folder, "long"), sets, classes, roots, folder, similar)
 
 
 def _hub_links(long, sets, classes, roots, folder, similar) -> DataFrame:
-    """Compare members of long lists with hubs until each list is one component or all
-    its pairs are compared. A round takes one hub from each hash bucket of a list."""
-    used, buckets = None, 1
+    """Compare members of long lists with hubs until the members of each list that were
+    no hubs are one component. A round takes one hub from each hash bucket of a list; a
+    pair meets in the first of the long lists it shares."""
+    left, buckets = long.drop("length", "rank"), 1
     while True:
-        at = long.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = at.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-        at = save(at.join(mixed.where("lo != hi"), "v", "left_semi"), folder, "open")
-        fresh = at if used is None else at.join(used, ["v", "node"], "left_anti")
+        at = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        parts = at.groupBy("v", "root").agg(F.count("*").alias("members"))
+        largest = parts.groupBy("v").agg(
+            F.max(F.struct("members", "root")).alias("largest"), F.count("*").alias("parts")
+        )
+        open_lists = largest.where("parts > 1").select("v", F.col("largest.root").alias("most_root"))
+        at = save(at.join(open_lists, "v"), folder, "open")
+        # The first hub may be of the largest component: it is the likeliest to link much.
+        strays = at if buckets == 1 else at.where("root != most_root")
         bucket = F.pmod(F.xxhash64("node"), F.lit(buckets))
-        top = fresh.groupBy("v", bucket.alias("bucket")).agg(
-            F.max(F.struct("common", "node", "n", "root", "values")).alias("h")
+        top = strays.groupBy("v", bucket.alias("bucket")).agg(
+            F.max(F.struct("common", "node", "n", "most", "root", "values")).alias("h")
         )
         hubs = save(top.select("v", "h.*"), folder, "hubs")
         if hubs.isEmpty():
             return roots
-        m, h = at.alias("m"), hubs.alias("h")
-        sizes = 100 * F.least("m.n", "h.n") >= similar * F.greatest("m.n", "h.n")
-        first = F.array_intersect("m.values", "h.values")[0] == F.col("m.v")
-        met = (F.col("m.v") == F.col("h.v")) & (F.col("m.root") != F.col("h.root")) & sizes & first
+        a, b = at.alias("a"), hubs.alias("b")
+        first = F.array_intersect("a.values", "b.values")[0] == F.col("a.v")
+        apart = F.col("a.root") != F.col("b.root")
+        met = (F.col("a.v") == F.col("b.v")) & apart & _possible(similar) & first
         pairs = (
-            m.join(h, met)
-            .select(F.least("m.node", "h.node").alias("a"), F.greatest("m.node", "h.node").alias("b"))
+            a.join(b, met)
+            .select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
             .distinct()
         )
         roots = _compared(_estimated(pairs, classes, similar), roots, sets, folder, similar)
-        used = hubs.select("v", "node") if used is None else used.union(hubs.select("v", "node"))
+        left = at.drop("root", "most_root").join(hubs, ["v", "node"], "left_anti")
         buckets *= HUB_GROWTH
 
 
@@ -364,17 +385,19 @@ def keep_one(documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
         folder, "stay",
     )
     empty = found.where("root is null").select("doc_id", "key", "n")
-    d = documents.withColumn("_key", F.xxhash64("text")).alias("d")
+    d = documents.select(
+        F.xxhash64("text").alias("key"), "doc_id", F.struct("*").alias("row")
+    ).alias("d")
 
     def rows_of(keys: DataFrame) -> DataFrame:
-        same = (F.col("d._key") == F.col("k.key")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
+        same = (F.col("d.key") == F.col("k.key")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
         return d.join(keys.alias("k"), same, "left_semi")
 
     kept = rows_of(best.where("n = 1").unionByName(empty))
     again = best.where("n > 1")
     if not again.isEmpty():
-        kept = kept.unionByName(rows_of(again).dropDuplicates(["doc_id", "_key"]))
-    return kept.select(documents.columns)
+        kept = kept.unionByName(rows_of(again).dropDuplicates(["doc_id", "key"]))
+    return kept.select("row.*")
 
 
 def op10_minhash_dedup(documents: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ def _shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def _brute(rows):
+def _brute(rows, similar=85):
     """(doc_id, text) -> component ids, over all pairs."""
     sets = [_shingles(text) for _, text in rows]
     parent = list(range(len(rows)))
@@ -27,7 +27,7 @@ def _brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 85 * len(sets[i] | sets[j]):
+            if both and 100 * both >= similar * len(sets[i] | sets[j]):
                 parent[find(i)] = find(j)
     ids = {}
     for i, (doc_id, _) in enumerate(rows):
@@ -127,3 +127,31 @@ def test_links_at_eighty(documents, monkeypatch, short):
     kept = minhash_dedup.keep_one(frame, 80).collect()
     assert sorted(r.doc_id for r in kept) == [1, 8]  # 100 of 125 shingles, and of 126
     assert sum(r.kept for r in minhash_dedup.op10_minhash_dedup(frame).collect()) == len(rows)
+
+
+@pytest.mark.parametrize(("most", "linked"), [(10, False), (85, False), (86, True), (100, True)])
+def test_places_bound_the_overlap(spark, most, linked):
+    """Sets of 100 and 85 values: 85 shared ones are 85 of 100, 84 are less."""
+    frame = spark.createDataFrame(
+        [(100, most - 1, 85, most - 1)], "n long, most long, n2 long, most2 long"
+    )
+    a = frame.select("n", "most").alias("a")
+    b = frame.select(frame.n2.alias("n"), frame.most2.alias("most")).alias("b")
+    assert a.join(b, minhash_dedup._possible(85)).isEmpty() != linked
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_several_groups_in_the_same_lists(documents, monkeypatch, seed):
+    """Groups that share most of their text without being linked, so that lists stay open
+    for many hubs, with stragglers between them."""
+    monkeypatch.setattr(minhash_dedup, "SHORT", 2)
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(90)]
+    heads = [[f"h{g}.{i}" for i in range(13)] for g in range(4)]
+    rows = []
+    for i in range(60):
+        head = list(heads[i % 4])
+        if i % 7 == 0:
+            head[: rng.randrange(13)] = heads[(i + 1) % 4][: rng.randrange(13)]
+        rows.append((i, _edited(rng, head + base, rng.randrange(3))))
+    _check(documents(*rows), rows)
