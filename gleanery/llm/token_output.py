@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from gleanery.llm.common import job_folder
 from gleanery.llm.wordhash import batches
 from gleanery.session import materialize
 
-#: Documents that train the dictionary, its size, and the longest text among them.
+#: Documents that train the dictionary, the longest text among them, and its size.
 SAMPLES = 400
 SAMPLE_CHARACTERS = 20_000
 DICTIONARY_BYTES = 64 * 1024
@@ -51,73 +52,89 @@ LEVEL = 3
 
 #: Where a word cannot be cut off in front of its space, because white space follows.
 _UNSAFE = re.compile(r" (?:\s|$)")
-#: Letters and then ASCII punctuation: two pieces for any byte-level pre-tokenizer.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-
-
-def _byte_characters() -> dict[int, str]:
-    """The printable stand-in of every byte in byte-level vocabularies: printable Latin-1
-    characters stand for themselves, the others for the code points from 256 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+#: The stand-in of the space in byte-level vocabularies.
+_SPACE = "\u0120"
 
 
 class WordEncoder:
-    """Byte-level BPE of whole texts with the library's model, one word at a time.
+    """Byte-level BPE of whole texts with the library, each distinct word once.
 
     Byte-level pre-tokenizers never join a word with the space in front of the next one,
-    so words are encoded once and remembered. Texts where that does not hold (runs of
-    white space, special tokens) are encoded whole.
+    so the distinct words of a batch that are not remembered yet go through the library
+    as one text, and the ids of all texts are gathered from theirs by array operations.
+    Texts where that does not hold (runs of white space, special tokens) are encoded whole.
     """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.model = self.tokenizer.model
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.table = _byte_characters()
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith(_SPACE)]] = True
         self.words: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _piece(self, text: str) -> list[int]:
-        key = text.encode().decode("latin-1").translate(self.table)
-        return [token.id for token in self.model.tokenize(key)]
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a word after a space."""
-        plain = _PLAIN.fullmatch(word)
-        if not plain:
-            return self.whole(" " + word)
-        ids = self._piece(" " + plain[1])
-        if plain[2]:
-            ids += self._piece(plain[2])
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _ids(self, text: str) -> np.ndarray:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found[0].ids, "<u4")
 
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of every text."""
-        split: list[list[str] | None] = []
-        for text in texts:
-            safe = not _UNSAFE.search(text) and not any(s in text for s in self.special)
-            split.append(text.split(" ") if safe else None)
+    def whole(self, text: str) -> bytes:
+        return self._ids(text).tobytes() if text else b""
+
+    def _after_space(self, words: list[str]) -> list[bytes]:
+        """Ids of words after a space: a token that begins with a space begins a word."""
+        if not words:
+            return []
+        ids = self._ids(" " + " ".join(words))
+        starts = np.flatnonzero(self.opens[ids])
+        if len(starts) != len(words):  # not a byte-level pre-tokenizer that cuts at spaces
+            return [self.whole(" " + word) for word in words]
+        raw, cuts = ids.tobytes(), (4 * np.append(starts, len(ids))).tolist()
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _look_up(self, words: list[str]) -> list[bytes]:
         known = self.words
         if len(known) > CACHED_WORDS:
             known.clear()
-        new = {w for words in split if words for w in words[1:]}.difference(known)
+        new = [word for word in words if word not in known]
         once = {}
-        for word in new:
-            (known if len(word) <= CACHED_LENGTH else once)[word] = self._word(word)
-        look_up = known if not once else once | known
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                yield self.whole(text)
-            else:
-                first = self.whole(words[0]) if words[0] else b""
-                yield first + b"".join(map(look_up.__getitem__, words[1:]))
+        for word, ids in zip(new, self._after_space(new), strict=True):
+            (known if len(word) <= CACHED_LENGTH else once)[word] = ids
+        return [known[word] if word in known else once[word] for word in words]
+
+    def texts(self, texts: list[str]) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of every text."""
+        if not texts:
+            return
+        safe = [not _UNSAFE.search(t) and not any(s in t for s in self.special) for t in texts]
+        by_word = [text if ok else "" for text, ok in zip(texts, safe, strict=True)]
+        split = pc.split_pattern(pa.array(by_word, pa.large_string()), " ")
+        at = split.offsets.to_numpy()
+        coded = split.values.dictionary_encode()
+        codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        first = at[:-1]
+        heads = [
+            self.whole(words[code] if ok else text)
+            for code, text, ok in zip(codes[first].tolist(), texts, safe, strict=True)
+        ]
+        after_space = np.ones(len(codes), bool)
+        after_space[first] = False
+        used = np.unique(codes[after_space])
+        parts = self._look_up([words[code] for code in used.tolist()]) + heads
+        slots = np.zeros(len(words), np.int64)
+        slots[used] = np.arange(len(used))
+        pieces = slots[codes]
+        pieces[first] = len(used) + np.arange(len(texts))
+        lengths = np.array([len(part) // 4 for part in parts], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        table = np.frombuffer(b"".join(parts), "<u4")
+        counts = lengths[pieces]
+        ends = np.cumsum(counts)
+        flat = table[np.repeat(starts[pieces] - ends + counts, counts) + np.arange(ends[-1])]
+        cuts = [0, *ends[at[1:] - 1].tolist()]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield flat[a:b].tobytes()
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
@@ -138,10 +155,12 @@ def _width(definition: str) -> int:
 
 
 def train_dictionary(documents: DataFrame, definition: str, end_id: int) -> tuple[bytes, int]:
-    """A dictionary from the ids of at most ``SAMPLES`` documents, and the id width."""
+    """A dictionary from the ids of at most ``SAMPLES`` documents, those of the smallest
+    hashes among all of 1 to ``SAMPLE_CHARACTERS`` characters, and the id width."""
     width = _width(definition)
     short = documents.where(F.length("text").between(1, SAMPLE_CHARACTERS))
-    texts = [row.text for row in short.select("text").limit(SAMPLES).collect()]
+    chosen = short.select("text", F.xxhash64("doc_id", "text").alias("hash")).orderBy("hash", "text")
+    texts = [row.text for row in chosen.limit(SAMPLES).collect()]
     end = struct.pack("<I", end_id)
     arrays = [_narrow(ids + end, width) for ids in WordEncoder(definition).texts(texts)]
     try:

@@ -70,3 +70,27 @@ def test_access_to_single_documents(spark, documents, tmp_path, tokenizer, monke
     packs = spark.read.parquet(f"{path}/packs")
     name = spark.read.parquet(f"{path}/dictionary").first().hash
     assert {r.dictionary for r in packs.collect()} == {name}
+
+
+def test_dictionary_does_not_depend_on_the_order_of_rows(documents, monkeypatch):
+    monkeypatch.setattr(token_output, "SAMPLES", 40)
+    with open(token_output.default_tokenizer(), encoding="utf-8") as file:
+        definition = file.read()
+    rows = [(i, " ".join(f"word{(i * k) % 97}" for k in range(120))) for i in range(90)]
+    raws = {
+        token_output.train_dictionary(documents(*order), definition, 0)[0]
+        for order in (rows, rows[::-1], rows[45:] + rows[:45])
+    }
+    assert len(raws) == 1 and raws != {b""}
+
+
+def test_many_batches(tokenizer, monkeypatch):
+    """The memory of words is emptied in between, long words are not kept."""
+    monkeypatch.setattr(token_output, "CACHED_WORDS", 30)
+    with open(token_output.default_tokenizer(), encoding="utf-8") as file:
+        encoder = token_output.WordEncoder(file.read())
+    for turn in range(6):
+        texts = [f"t{turn} " + " ".join(f"w{turn * k}x{k}," for k in range(20)), "y" * 60 + " " + "z" * 60]
+        for text, ids in zip(texts, encoder.texts(texts), strict=True):
+            whole = tokenizer.encode(text, add_special_tokens=False).ids
+            assert ids == struct.pack(f"<{len(whole)}I", *whole)
