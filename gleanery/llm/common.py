@@ -37,6 +37,14 @@ def uniform(*columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(2**52)).cast("double") / float(2**52)
 
 
+def unused_name(name: str, columns: list[str]) -> str:
+    """``name``, with underscores behind it if a column is called so already."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -30,6 +30,8 @@ LONG = 0.25
 #: how often the documents that still fit are gone through.
 SPARE_BLOCKS = 3
 FILLS = 8
+#: Rounds of filling in one plan.
+SAVED_FILLS = 4
 #: Largest number of times that a document is taken.
 MOST_COPIES = 3
 SEED = 911
@@ -255,7 +257,7 @@ def mix_plan(
     )
     joined = placed.join(drawn, ["sid", "block"])
     settled = joined.where(~F.col("split")).withColumn("copies", F.size("shards"))
-    taken = settled.unionByName(_split_blocks(joined.where("split")))
+    taken = settled.unionByName(_split_blocks(joined.where("split"), folder))
     found = taken.join(sources.select("sid", "source"), "sid")
     return found.select(
         "doc_id", "row_hash", "n", "size", "source", "source_size", "target", "copies",
@@ -318,7 +320,7 @@ def _long_blocks(blocks: DataFrame) -> DataFrame:
     )
 
 
-def _split_blocks(items: DataFrame) -> DataFrame:
+def _split_blocks(items: DataFrame, folder: str) -> DataFrame:
     """The blocks of a source that fill up the last pass: documents in the order of blocks
     and hashes as far as they fit, again among those that still fit, then the one that
     comes nearest to what is left."""
@@ -326,7 +328,9 @@ def _split_blocks(items: DataFrame) -> DataFrame:
     order = source.orderBy("at", "row_hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     words = F.col("size") * F.col("n")
     found = items.withColumn("fits", F.lit(False)).withColumn("missing", F.col("open").cast("double"))
-    for _ in range(FILLS):
+    for turn in range(FILLS):
+        if turn % SAVED_FILLS == 0:
+            found = save(found, folder, "fills")
         could = ~F.col("fits") & (words <= F.col("missing"))
         end = F.sum(F.when(could, words).otherwise(0)).over(order)
         found = found.withColumn("end", end).withColumn(
@@ -347,13 +351,15 @@ def _split_blocks(items: DataFrame) -> DataFrame:
 def mix_documents(documents: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """The documents of the mix, repeated as often as they are taken; same columns."""
     plan = mix_plan(documents, seed=seed, **options).where("copies > 0")
-    d = documents.withColumn("_row_hash", _row_hash(seed)).alias("d")
+    d = documents.select(
+        _row_hash(seed).alias("row_hash"), "doc_id", F.struct("*").alias("row")
+    ).alias("d")
     p = plan.select("doc_id", "row_hash", "copies").alias("p")
-    same = (F.col("d._row_hash") == F.col("p.row_hash")) & F.col("d.doc_id").eqNullSafe(
+    same = (F.col("d.row_hash") == F.col("p.row_hash")) & F.col("d.doc_id").eqNullSafe(
         F.col("p.doc_id")
     )
-    copies = F.explode(F.sequence(F.lit(1), F.col("p.copies"))).alias("_copy")
-    return d.join(p, same).select("d.*", copies).select(documents.columns)
+    copies = F.explode(F.sequence(F.lit(1), F.col("p.copies"))).alias("copy")
+    return d.join(p, same).select("d.row", copies).select("row.*")
 
 
 def op8_mixing(documents: DataFrame) -> DataFrame:

@@ -167,6 +167,16 @@ def marginals(
     return chances, pairs
 
 
+def _document_means(
+    scores: np.ndarray, links: np.ndarray, lengths: np.ndarray, at: np.ndarray
+) -> np.ndarray:
+    """Mean of P(good) over the lines of every document, weighted by length."""
+    chances, _ = marginals(scores, links, at)
+    weights = lengths + 1.0
+    sums = np.add.reduceat(chances[:, 1] * weights, at[:-1])
+    return sums / np.add.reduceat(weights, at[:-1])
+
+
 @dataclass
 class QualityModel:
     """Weights per feature and label, per pair of labels, and the final curve."""
@@ -181,10 +191,7 @@ class QualityModel:
     def document_means(self, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         features, lengths, at = line_features(values, offsets)
         scores = ((features - self.mean) / self.scale) @ self.weights
-        chances, _ = marginals(scores, self.links, at)
-        weights = lengths + 1.0
-        sums = np.add.reduceat(chances[:, 1] * weights, at[:-1])
-        return sums / np.add.reduceat(weights, at[:-1])
+        return _document_means(scores, self.links, lengths, at)
 
     def scores(self, column: pa.Array) -> np.ndarray:
         if not len(column):
@@ -207,10 +214,15 @@ def fit(texts: list[str], labels: list[int]) -> QualityModel:
     goal = np.asarray(labels)
     lines_of = np.diff(at)
     label = np.repeat(goal, lines_of)
-    mean, scale = features.mean(axis=0), features.std(axis=0)
+    # In place: the matrix of all lines is the largest thing the driver holds.
+    mean = features.mean(axis=0)
+    features -= mean
+    scale = np.sqrt(np.einsum("ij,ij->j", features, features) / len(features))
     constant = scale < 1e-9
+    features[:, constant] += mean[constant]
     mean[constant], scale[constant] = 0, 1
-    x = (features - mean) / scale
+    features /= scale
+    x = features
     # Each document counts alike, however many lines it has, and so does each label.
     share = np.where(goal == 1, 0.5 / max(goal.mean(), 1e-9), 0.5 / max(1 - goal.mean(), 1e-9))
     weight = np.repeat(share / lines_of, lines_of) / len(goal)
@@ -233,7 +245,7 @@ def fit(texts: list[str], labels: list[int]) -> QualityModel:
             down = (1 - 0.9**step, 1 - 0.999**step)
             parameter += RATE * (m / down[0]) / (np.sqrt(v / down[1]) + 1e-8)
     model = QualityModel(mean, scale, weights, links, 1.0, 0.0)
-    _fit_curve(model, model.document_means(values, offsets), goal)
+    _fit_curve(model, _document_means(x @ weights, links, lengths, at), goal)
     return model
 
 

@@ -48,4 +48,5 @@ def odd(spark, documents):
     from pyspark.sql import functions as F
 
     names = ["shard", "slot", "kept", "score", "size", "key", "part", "n", "node", "copies"]
+    names += ["_key", "_row_hash", "_copy", "_score", "_bucket", "removed", "text_", "row", "copy"]
     return documents(*ODD).withColumns({n: F.lit("extra") for n in names})
