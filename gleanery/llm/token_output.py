@@ -46,7 +46,7 @@ DICTIONARY_BYTES = 64 * 1024
 PACK_BYTES = 1 << 20
 PACK_DOCUMENTS = 4096
 #: Words whose ids a Python worker remembers, and the longest one.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 CACHED_LENGTH = 40
 LEVEL = 3
 
