@@ -129,17 +129,6 @@ def test_links_at_eighty(documents, monkeypatch, short):
     assert sum(r.kept for r in minhash_dedup.op10_minhash_dedup(frame).collect()) == len(rows)
 
 
-@pytest.mark.parametrize(("most", "linked"), [(10, False), (85, False), (86, True), (100, True)])
-def test_places_bound_the_overlap(spark, most, linked):
-    """Sets of 100 and 85 values: 85 shared ones are 85 of 100, 84 are less."""
-    frame = spark.createDataFrame(
-        [(100, most - 1, 85, most - 1)], "n long, most long, n2 long, most2 long"
-    )
-    a = frame.select("n", "most").alias("a")
-    b = frame.select(frame.n2.alias("n"), frame.most2.alias("most")).alias("b")
-    assert a.join(b, minhash_dedup._possible(85)).isEmpty() != linked
-
-
 @pytest.mark.parametrize("seed", [3, 4])
 def test_several_groups_in_the_same_lists(documents, monkeypatch, seed):
     """Groups that share most of their text without being linked, so that lists stay open
