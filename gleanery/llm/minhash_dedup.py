@@ -15,9 +15,11 @@ Lists that many documents share need care, because their pairs are not emitted:
   pair's rarest shingles (15 % at 85) at least one is common, and a rare shingle has a
   short list again.
 * Where even the rarest shingles are common, documents are near copies in large groups.
-  They meet hubs of their list (those of the most common shingles), at first one, then
-  more and more, and only while they are in different components, until each pair of a
-  list is either compared or connected.
+  The members of such a list are compared with one hub, that of the most common shingles.
+  Those similar to it are connected. Any other member differs from the hub in something in
+  which its partner differs too (``_hub_links`` gives the reason), so members are listed
+  again, by the rarest of their differences from the hub. Short lists give pairs again,
+  long ones take a hub of their own.
 
 Defined cases: a null text is empty; a text without words has size 0 and is linked with
 nothing, not even its like; fewer than five words are one shingle; rows that repeat a
@@ -50,11 +52,11 @@ from gleanery.llm.wordhash import (
 
 SHINGLE = 5
 SIMILAR = 85
-#: Retained values; members of the longest short list.
+#: Retained values; members of the longest short list of shingles.
 K = 32
 SHORT = 24
-#: How many times more hubs of a list each further round takes.
-HUB_GROWTH = 64
+#: A list of differences gives its pairs if their number is at most the square of this.
+FEW = 64
 #: Chance that a linked pair differs in as many retained values as a document that is not
 #: crowded has in short lists, and that its estimate lies below the least one that goes on
 #: to the exact comparison.
@@ -141,6 +143,34 @@ def _compare(similar: int):
     return run
 
 
+def _differences(similar: int):
+    """What a set and its hub do not share, and whether they are similar enough."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            linked, deltas = [], []
+            left, right = part.column("members"), part.column("members_h")
+            for i in range(len(part)):
+                a = np.frombuffer(left[i].as_buffer(), np.uint64)
+                h = np.frombuffer(right[i].as_buffer(), np.uint64)
+                delta = np.setxor1d(a, h, assume_unique=True)
+                union = (len(a) + len(h) + len(delta)) // 2
+                linked.append(100 * (union - len(delta)) >= similar * union)
+                deltas.append(delta.view(np.int64))
+            at = np.cumsum([0, *map(len, deltas)], dtype=np.int32)
+            values = np.concatenate(deltas) if deltas else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(part.column(c) for c in ("hub", "node", "n", "common", "same")),
+                    pa.array(linked, pa.bool_()),
+                    pa.ListArray.from_arrays(pa.array(at), pa.array(values)),
+                ],
+                ["hub", "node", "n", "common", "same", "linked", "delta"],
+            )
+
+    return run
+
+
 def _exploded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per member of each full set."""
     for part in parts:
@@ -152,18 +182,14 @@ def _exploded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _compared(
-    pairs: DataFrame, roots: DataFrame, sets: DataFrame, folder: str, similar: int
-) -> DataFrame:
-    """``roots`` after the exact comparison of ``pairs``."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("members_a"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("members_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
-    found = both.select("a", "b", "members_a", "members_b").mapInArrow(
+    return both.select("a", "b", "members_a", "members_b").mapInArrow(
         _compare(similar), "a binary, b binary"
     )
-    links = save(found, folder, "links")
-    return roots if links.isEmpty() else merged(roots, links, folder)
 
 
 def _with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -240,29 +266,24 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
         long_values.where(retained - F.col("long_lists") < need).select("node", "n"),
         folder, "crowded",
     )
-    pairs = save(_estimated(_pairs(short, similar), classes, similar), folder, "pairs")
-    involved = (
-        pairs.select(F.col("a").alias("node"))
-        .union(pairs.select(F.col("b").alias("node")))
-        .union(crowded.select("node"))
-        .distinct()
-    )
-    wanted = classes.join(involved, "node", "left_semi").select("row.doc_id", "row.key", "node")
-    t, w = texts.alias("t"), wanted.alias("w")
-    same = (F.col("t.key") == F.col("w.key")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
-    sets = save(
-        t.join(w, same)
-        .select("w.node", "t.text")
-        .mapInArrow(_full_sets, "node binary, members binary")
-        .groupBy("node")
-        .agg(F.first("members").alias("members")),
-        folder, "sets",
-    )
-    none = "node binary, root binary"
-    roots = documents.sparkSession.createDataFrame([], none)
-    roots = _linked(pairs, roots, sets, folder, similar)
+    met = _pairs(short, similar)
+    long = None
     if not crowded.isEmpty():
-        roots = _crowded_links(crowded, sets, classes, roots, folder, similar)
+        prefix = save(_rarest(_sets(texts, classes, crowded), crowded, similar), folder, "prefix")
+        met = met.union(_pairs(prefix.where(F.col("length") <= SHORT), similar)).distinct()
+        long = prefix.where(F.col("length") > SHORT)
+    pairs = save(_estimated(met, classes, similar), folder, "pairs")
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    if long is not None:
+        involved = involved.union(long.select("node"))
+    sets = save(_sets(texts, classes, involved.distinct()), folder, "sets")
+    roots = documents.sparkSession.createDataFrame([], "node binary, root binary")
+    links = save(_confirmed(pairs, sets, similar), folder, "links")
+    if not links.isEmpty():
+        roots = merged(roots, links, folder)
+    if long is not None:
+        lists = long.select(F.col("v").alias("list"), "node", "n", "common")
+        roots = _hub_links(lists, sets, classes, roots, folder, similar)
     named = (
         classes.select("node", "least_id")
         .join(roots, "node", "left")
@@ -282,74 +303,134 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
     )
 
 
-def _linked(
-    pairs: DataFrame, roots: DataFrame, sets: DataFrame, folder: str, similar: int
-) -> DataFrame:
-    """``roots`` after comparing candidate pairs: of each document the best estimate
-    first, then all pairs that are not connected yet."""
-    best = Window.partitionBy("b").orderBy(F.col("estimate").desc(), "a")
-    turns = save(pairs.withColumn("turn", F.row_number().over(best)), folder, "turns")
-    roots = _compared(turns.where("turn = 1"), roots, sets, folder, similar)
-    return _compared(_with_roots(turns.where("turn > 1"), roots), roots, sets, folder, similar)
+def _sets(texts: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The full sets of ``nodes``, made from one text of each."""
+    wanted = classes.join(nodes.select("node"), "node", "left_semi")
+    t, w = texts.alias("t"), wanted.select("row.doc_id", "row.key", "node").alias("w")
+    same = (F.col("t.key") == F.col("w.key")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
+    return (
+        t.join(w, same)
+        .select("w.node", "t.text")
+        .mapInArrow(_full_sets, "node binary, members binary")
+        .groupBy("node")
+        .agg(F.first("members").alias("members"))
+    )
 
 
-def _crowded_links(crowded, sets, classes, roots, folder, similar) -> DataFrame:
-    """``roots`` after links between crowded documents, by their rarest shingles and by
-    hubs."""
-    members = sets.join(crowded, "node").select("node", "members")
-    exploded = members.mapInArrow(_exploded, "node binary, v bigint")
+def _rarest(sets: DataFrame, crowded: DataFrame, similar: int) -> DataFrame:
+    """Postings (v, node, n, common, length) of crowded documents by their rarest shingles;
+    of all values that two documents share, the rarest one brings them together."""
+    exploded = sets.mapInArrow(_exploded, "node binary, v bigint")
     lengths = exploded.groupBy("v").agg(F.count("*").alias("length"))
-    rare = Window.partitionBy("node").orderBy("length", "v")
-    ranked = (
+    of_node = Window.partitionBy("node")
+    return (
         exploded.join(lengths, "v")
-        .withColumn("rank", F.row_number().over(rare))
-        .withColumn("common", F.avg("length").over(Window.partitionBy("node")))
+        .withColumn("rank", F.row_number().over(of_node.orderBy("length", "v")))
+        .withColumn("common", F.avg("length").over(of_node))
         .join(crowded, "node")
+        .where((F.col("rank") <= _differ(similar)) & (F.col("length") > 1))
+        .drop("rank")
     )
-    # Of all values that two documents share, the rarest one brings them together.
-    order = F.array_sort(F.collect_list(F.struct("length", "v")).over(Window.partitionBy("node")))
-    prefix = save(
-        ranked.where((F.col("rank") <= _differ(similar)) & (F.col("length") > 1)).withColumn(
-            "values", F.transform(order, lambda x: x["v"])
-        ),
-        folder, "prefix",
-    )
-    short = _with_roots(_pairs(prefix.where(F.col("length") <= SHORT), similar), roots)
-    pairs = save(_estimated(short, classes, similar), folder, "pairs")
-    if not pairs.isEmpty():
-        roots = _linked(pairs, roots, sets, folder, similar)
-    long = save(prefix.where(F.col("length") > SHORT), folder, "long")
-    return _hub_links(long, sets, classes, roots, folder, similar)
-
-
-def _hub_links(long, sets, classes, roots, folder, similar) -> DataFrame:
-    """Compare members of long lists with hubs until each list is one component or all
-    its pairs are compared. A round takes one hub from each hash bucket of a list."""
-    used, buckets = None, 1
+
+
+def _hub_links(lists, sets, classes, roots, folder, similar) -> DataFrame:
+    """``roots`` after all links inside ``lists`` (list, node, n, common).
+
+    Let D(X) be the values that only one of X and the hub H holds. If A is not similar to
+    H, every B similar to A has a value in both D(A) and D(B): were these disjoint, A and B
+    would differ in |D(A)| + |D(B)| values of a union of at most |A + H| + |D(B)|, which is
+    no smaller a share than |D(A)| of |A + H|, and that one is too large already. The same sum
+    with c values in both gives c > |D(B)| * s / (1 + s), s being the least similarity; and c
+    is at least |D(A)| - d, where d is the most in which a set similar to A may differ from
+    it. So the rarest values of each are enough to meet by.
+
+    So a hub is compared with each member once, whatever number of lists the two share.
+    Hubs are the largest members by (common, node) and leave their lists, so those of a
+    later round are smaller and the rounds end.
+    """
     while True:
-        at = long.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = at.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-        at = save(at.join(mixed.where("lo != hi"), "v", "left_semi"), folder, "open")
-        fresh = at if used is None else at.join(used, ["v", "node"], "left_anti")
-        bucket = F.pmod(F.xxhash64("node"), F.lit(buckets))
-        top = fresh.groupBy("v", bucket.alias("bucket")).agg(
-            F.max(F.struct("common", "node", "n", "root", "values")).alias("h")
+        at = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        hubs = at.groupBy("list").agg(
+            F.min("root").alias("lo"), F.max("root").alias("hi"),
+            F.max(F.struct("common", "node", "root")).alias("h"),
+        )
+        hubs = hubs.where("lo != hi").select(
+            "list", F.col("h.node").alias("hub"), F.col("h.root").alias("hub_root")
+        )
+        met = save(
+            at.join(hubs, "list")
+            .where("node != hub")
+            .select("hub", "node", "n", "common", (F.col("root") == F.col("hub_root")).alias("same"))
+            .distinct(),
+            folder, "met",
         )
-        hubs = save(top.select("v", "h.*"), folder, "hubs")
-        if hubs.isEmpty():
+        if met.isEmpty():
             return roots
-        m, h = at.alias("m"), hubs.alias("h")
-        sizes = 100 * F.least("m.n", "h.n") >= similar * F.greatest("m.n", "h.n")
-        first = F.array_intersect("m.values", "h.values")[0] == F.col("m.v")
-        met = (F.col("m.v") == F.col("h.v")) & (F.col("m.root") != F.col("h.root")) & sizes & first
-        pairs = (
-            m.join(h, met)
-            .select(F.least("m.node", "h.node").alias("a"), F.greatest("m.node", "h.node").alias("b"))
-            .distinct()
+        of_hub = sets.select(F.col("node").alias("hub"), F.col("members").alias("members_h"))
+        found = save(
+            met.join(sets, "node").join(of_hub, "hub").mapInArrow(
+                _differences(similar),
+                "hub binary, node binary, n bigint, common double, same boolean, linked boolean,"
+                " delta array<bigint>",
+            ),
+            folder, "differences",
         )
-        roots = _compared(_estimated(pairs, classes, similar), roots, sets, folder, similar)
-        used = hubs.select("v", "node") if used is None else used.union(hubs.select("v", "node"))
-        buckets *= HUB_GROWTH
+        postings = save(_by_differences(found, similar), folder, "postings")
+        a, b = postings.where("short").alias("a"), postings.where("short and stray").alias("b")
+        # Places bound what two members share; each pair has a stray, two strays meet once.
+        shared = F.least("a.behind", "b.behind")
+        differ = F.floor((F.col("a.n") + F.col("b.n")) * (100 - similar) / (100 + similar))
+        enough = 2 * shared >= F.col("a.all") + F.col("b.all") - differ
+        once = ~F.col("a.stray") | (F.col("a.own") & F.col("b.own") & (F.col("a.node") < F.col("b.node")))
+        pairs = a.join(b, (F.col("a.list") == F.col("b.list")) & enough & once).where(
+            "a.node != b.node"
+        ).select(
+            F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")
+        )
+        apart = _estimated(_with_roots(pairs.distinct(), roots), classes, similar)
+        close = found.where("linked and not same").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        links = save(close.unionByName(_confirmed(apart, sets, similar)), folder, "links")
+        if not links.isEmpty():
+            roots = merged(roots, links, folder)
+        lists = postings.where("not short").select("list", "node", "n", "common")
+
+
+def _by_differences(found: DataFrame, similar: int) -> DataFrame:
+    """Lists of the members of a hub by the rarest of their differences from it: list, node,
+    n, common, stray (neither similar to the hub nor connected with it), all (number of
+    differences), behind (how many of them do not come before this one), own (whether a
+    stray meets other strays here), short (whether the pairs are few). Lists without
+    strays, or of one member, have no open pairs."""
+    members = found.select(
+        "hub", "node", "n", "common", (~F.col("linked") & ~F.col("same")).alias("stray"),
+        F.size("delta").alias("all"), F.explode("delta").alias("v"),
+    )
+    often = members.groupBy("hub", "v").agg(
+        F.count("*").alias("times"), F.count_if("stray").alias("strays")
+    )
+    of_member = Window.partitionBy("hub", "node")
+    # Values that bring nobody together come first in the order; they are counted, not sorted.
+    idle = F.col("all") - F.count("*").over(of_member)
+    rank = idle + F.row_number().over(of_member.orderBy("times", "v"))
+    most = F.floor(F.col("n") * (100 - similar) / similar) + 1
+    half = F.col("all") - F.floor(F.col("all") * similar / (100 + similar))
+    kept = (
+        members.join(often.where("times > 1 and strays > 0").drop("strays"), ["hub", "v"])
+        .withColumn("rank", rank)
+        .withColumn("own", F.col("rank") <= half)
+        .where((F.col("rank") <= most) & (F.col("stray") | F.col("own")))
+        .select(
+            F.xxhash64("hub", "v").alias("list"), "node", "n", "common", "stray", "own", "all",
+            (F.col("all") - F.col("rank") + 1).alias("behind"),
+        )
+    )
+    lists = kept.groupBy("list").agg(
+        F.count("*").alias("length"), F.count_if("stray").alias("strays")
+    )
+    few = F.col("length") * F.col("strays") <= FEW * FEW
+    return kept.join(
+        lists.where("length > 1 and strays > 0").select("list", few.alias("short")), "list"
+    )
 
 
 def keep_one(documents: DataFrame, similar: int = SIMILAR) -> DataFrame:

@@ -70,6 +70,7 @@ def test_crowded_lists(documents, monkeypatch, seed):
     """Large groups of near copies, and a passage that unlike documents share, with lists
     of at most three members counted as short."""
     monkeypatch.setattr(minhash_dedup, "SHORT", 3)
+    monkeypatch.setattr(minhash_dedup, "FEW", 1)
     rng = random.Random(seed)
     base = [f"b{i}" for i in range(120)]
     other = [f"o{i}" for i in range(60)] + base[:30]
@@ -134,6 +135,7 @@ def test_several_groups_in_the_same_lists(documents, monkeypatch, seed):
     """Groups that share most of their text without being linked, so that lists stay open
     for many hubs, with stragglers between them."""
     monkeypatch.setattr(minhash_dedup, "SHORT", 2)
+    monkeypatch.setattr(minhash_dedup, "FEW", 1)
     rng = random.Random(seed)
     base = [f"b{i}" for i in range(90)]
     heads = [[f"h{g}.{i}" for i in range(13)] for g in range(4)]
