@@ -645,6 +645,9 @@ def oracle_sql() -> dict[str, str]:
               count(*) FILTER (WHERE score >= 0.25) AS passing, count(*) AS total,
               (count(*) FILTER (WHERE score >= 0.25) > 20)::INT AS limited
             FROM flat GROUP BY query_id""",
+        "changed_files": f"""WITH {FILES} SELECT path, 1 + (doc_id % 3 = 0)::BIGINT AS times,
+              sha1(CASE WHEN doc_id % 3 = 0 THEN text || ' v2' ELSE text END) AS content_hash
+            FROM files WHERE NOT {_skip(f"'{TREE_ROOT}/' || path")}""",
         "index_stream": f"""WITH {FILES}, final AS (
               SELECT repository, ref, path,
                 CASE WHEN doc_id % 3 = 0 THEN text || ' v2' ELSE text END AS text FROM files)

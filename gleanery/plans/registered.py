@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,7 @@ from gleanery.session import new_scratch
 from gleanery.sources.chunk_table import ChunkTable
 from gleanery.sources.providers import make_provider, register_provider
 from gleanery.sources.tree import scan_jobs, scan_tree
+from gleanery.sources.tree_source import TreeSource
 from gleanery.streaming.index_stream import CHANGES, index_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -583,6 +585,31 @@ def q_result_counts(spark, folder):
 # Stream and provider
 
 
+def q_changed_files(spark, folder):
+    """A tree read as a stream: all of it, and after some files were written again, these.
+    Per file the number of times it came and the content it came with last."""
+    root, base = new_scratch(spark, "tree"), new_scratch(spark, "changed")
+    spark.dataSource.register(TreeSource)
+    files = corpus.documents(spark, folder).withColumn("root", F.lit(root))
+    again = files.where(F.col("doc_id") % 3 == 0)
+    for written in (files, again.withColumn("text", F.concat("text", F.lit(" v2")))):
+        corpus.write_tree(written)
+        time.sleep(corpus.SETTLE)
+        changes = (
+            spark.readStream.format("source_tree")
+            .option("root", root).option("settle", corpus.SETTLE / 2).load()
+        )
+        stream = changes.writeStream.trigger(availableNow=True).format("parquet").start(
+            f"{base}/files", checkpointLocation=f"{base}/checkpoint"
+        )
+        stream.awaitTermination()
+    found = spark.read.schema(CHANGES).parquet(f"{base}/files")
+    return found.groupBy(paths.rel_path(F.col("root"), F.col("path")).alias("path")).agg(
+        F.count("*").alias("times"),
+        F.sha1(F.max_by("content", "changed_at")).alias("content_hash"),
+    )
+
+
 def q_index_stream(spark, folder):
     """Change records in several micro-batches, the newer records first, folded into an
     empty table."""
@@ -720,6 +747,7 @@ def queries() -> dict[str, Query]:
         "is_local": q_is_local,
         "display_text": q_display_text,
         "result_counts": q_result_counts,
+        "changed_files": q_changed_files,
         "index_stream": q_index_stream,
         "provider": q_provider,
     }

@@ -27,6 +27,8 @@ SUFFIXES = [".py", ".go", ".sh", ".md", ".yaml", ".json", ".tf", ".ts"]
 FIRST_RUN = datetime(2026, 1, 1, tzinfo=UTC)
 SECOND_RUN = datetime(2026, 1, 2, tzinfo=UTC)
 DIM = 64
+#: Seconds that let the time stamps of written files become past.
+SETTLE = 0.4
 QUERY_TEXT = "bash script attion eriner tion thnt doc_12.py"
 QUERY_VECTOR = 7
 TREE_ROOT = "/root/x"

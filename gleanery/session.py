@@ -31,6 +31,10 @@ def build_session(app_name: str = "gleanery", master: str | None = None, **conf)
         "spark.sql.session.timeZone": "UTC",
         # Rows with long content: smaller batches keep Python workers small.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+        # Marks of a stream's files lie on disk, not in the executors' heaps.
+        "spark.sql.streaming.stateStore.providerClass": (
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        ),
     }
     settings.update({key.replace("_", "."): str(value) for key, value in conf.items()})
     for key, value in settings.items():

@@ -59,31 +59,32 @@ def _remote_path(path: str) -> tuple[fs.FileSystem, str, str]:
     return system, f"{base}/{inside}", address.removesuffix(base) if base else address
 
 
-def _entries(folder: str) -> Iterator[tuple[str, bool, int]]:
-    """(path, is folder, size) of what lies in a folder; links are not followed into."""
+def _entries(folder: str) -> Iterator[tuple[str, bool, int, int]]:
+    """(path, is folder, size, microseconds of the last change) of what lies in a folder;
+    links are not followed into."""
     local = local_path(folder)
     if local is None:
         system, inside, before = _remote_path(folder)
         for info in system.get_file_info(fs.FileSelector(inside)):
             is_dir = info.type == fs.FileType.Directory
             if is_dir or info.type == fs.FileType.File:
-                yield before + info.path, is_dir, info.size or 0
+                yield before + info.path, is_dir, info.size or 0, (info.mtime_ns or 0) // 1000
         return
     with os.scandir(local) as found:
         for entry in found:
             path = f"{folder.rstrip('/')}/{entry.name}"
             if entry.is_dir(follow_symlinks=False):
-                yield path, True, 0
+                yield path, True, 0, 0
                 continue
             try:
                 info = entry.stat()
             except OSError:  # a dangling link cannot be read
                 continue
             if stat.S_ISREG(info.st_mode):
-                yield path, False, info.st_size
+                yield path, False, info.st_size, info.st_ctime_ns // 1000
 
 
-def _listed(folder: str) -> list[tuple[str, bool, int]]:
+def listed(folder: str) -> list[tuple[str, bool, int, int]]:
     """The entries of a folder; what fails after a few tries fails the run, as a tree
     with unseen parts would look like a smaller tree."""
     for wait in (0.1, 1.0, None):
@@ -108,7 +109,7 @@ def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 folder = waiting.pop()
                 if any(m in f"{folder.lower()}/" for m in _MARKERS):
                     continue  # nothing below is indexed
-                for path, is_dir, size in _listed(folder):
+                for path, is_dir, size, _ in listed(folder):
                     budget -= 1
                     if is_dir:
                         waiting.append(path)

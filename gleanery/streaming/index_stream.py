@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from gleanery.operators.delta import chunk_files
 from gleanery.plans.index_job import index_chunks
-from gleanery.session import empty, materialize
 from gleanery.sources.chunk_table import ChunkTable
 from gleanery.sources.providers import ProviderSpec
 
@@ -23,33 +23,45 @@ CHANGES = (
 
 FILE = ["repository", "ref", "root", "path"]
 
-
-def last_changes(changes: DataFrame) -> DataFrame:
-    """The last change of each file; of equal times, the greater content hash."""
-    order = F.struct("changed_at", F.sha1("content").alias("content_hash"))
-    latest = changes.groupBy(*FILE).agg(
-        F.max_by("content", order).alias("content"), F.max(order).alias("mark")
-    )
-    return latest.select(*FILE, "content", "mark")
+#: What is known of a file: time (microseconds) and content hash of its newest change.
+_MARK = "at long, content_hash string"
+_NEWEST = ", ".join(f"{c} string" for c in FILE) + ", content binary"
+#: Time of a change without one: earlier than any other.
+_NEVER = -(2**63)
 
 
-def _marks(spark: SparkSession, folder: str) -> DataFrame:
-    """The mark of the newest change that was indexed, per file."""
-    schema = ", ".join(f"{c} string" for c in FILE)
-    schema += ", mark struct<changed_at: timestamp, content_hash: string>"
-    try:
-        stored = spark.read.schema(schema).parquet(folder)
-    except AnalysisException:  # nothing was indexed yet
-        return empty(spark, T.StructType.fromDDL(schema))
-    return stored.groupBy(*FILE).agg(F.max("mark").alias("done"))
+def _newest(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The newest change of one file, unless a newer one came in an earlier batch.
 
-
-def newer_changes(changes: DataFrame, marks: DataFrame) -> DataFrame:
-    """The last changes that are not older than what was indexed already."""
-    if "done" not in marks.columns:
-        return last_changes(changes)
-    known = last_changes(changes).join(marks, FILE, "left")
-    return known.where(F.col("done").isNull() | (F.col("mark") >= F.col("done"))).drop("done")
+    Only the mark is kept as state, and one content in memory.
+    """
+    mark, found = (state.get if state.exists else None), None
+    for part in parts:
+        for at, digest, content in zip(
+            part["at"], part["content_hash"], part["content"], strict=True
+        ):
+            if mark is None or (at, digest) >= tuple(mark):
+                mark, found = (int(at), digest), [content]
+    if found:
+        state.update(mark)
+        yield pd.DataFrame({**{c: [v] for c, v in zip(FILE, key, strict=True)}, "content": found})
+
+
+def newest_changes(changes: DataFrame) -> DataFrame:
+    """Of a stream of changes, the last one of each file in a batch; of equal times, the one
+    with the greater content hash. Changes older than one of an earlier batch are left out.
+
+    Keyed state holds one mark per file, so a batch reads and writes the marks of its own
+    files, whatever came before.
+    """
+    marked = changes.select(
+        *FILE, "content",
+        F.coalesce(F.unix_micros("changed_at"), F.lit(_NEVER)).alias("at"),
+        F.coalesce(F.sha1("content"), F.lit("")).alias("content_hash"),
+    )
+    return marked.groupBy(*FILE).applyInPandasWithState(
+        _newest, _NEWEST, _MARK, "update", "NoTimeout"
+    )
 
 
 def index_stream(
@@ -62,24 +74,22 @@ def index_stream(
 ) -> StreamingQuery:
     """Fold a stream of change records into the table, then stop.
 
-    Each micro-batch is one indexing run over the last change per file. Beside the table,
-    ``changes`` keeps the time and hash of the newest change of each file, so a record
-    that arrives after a newer one changes nothing, however the records are split into
-    batches. A batch that is replayed after a failure finds its content already indexed
-    and changes nothing but time stamps.
+    Each micro-batch is one indexing run over the newest change per file. The time and hash
+    of the newest change of each file are state of the stream, kept in its checkpoint, so a
+    record that arrives after a newer one changes nothing, however the records are split
+    into batches; a stream with a new checkpoint knows no earlier records. A batch that is
+    replayed after a failure starts from the state before it, finds its content already
+    indexed and changes nothing but time stamps.
     """
 
-    def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        target = ChunkTable(spark, table.path, table.dim)
-        seen = f"{table.path}/changes"
-        fresh = materialize(newer_changes(batch, _marks(spark, f"{seen}/*")), "fresh")
-        index_chunks(chunk_files(fresh.drop("mark")), target, provider, run_ts, max_calls)
-        marks = fresh.select(*FILE, "mark")
-        marks.write.mode("overwrite").parquet(f"{seen}/batch-{number}")
+    def fold(batch: DataFrame, _: int) -> None:
+        target = ChunkTable(batch.sparkSession, table.path, table.dim)
+        # Its first step writes the chunks down, so the state is passed once a batch.
+        index_chunks(chunk_files(batch), target, provider, run_ts, max_calls)
 
     return (
-        changes.writeStream.foreachBatch(fold)
+        newest_changes(changes).writeStream.foreachBatch(fold)
+        .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

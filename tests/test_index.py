@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import json
 from datetime import UTC, datetime
@@ -308,6 +309,41 @@ def test_stream_keeps_the_newest_change(spark, table, order):
         "a.py": "newest", "b.py": "only"}
 
 
+def test_a_batch_of_the_stream_touches_its_own_marks(spark, table):
+    feed = new_scratch(spark, "feed")
+    turns = [({f"{i}.py": b"x" for i in range(30)}, 0), ({"7.py": b"new"}, 2), ({"7.py": b"old"}, 1),
+             ({"7.py": None, "new.py": b"1"}, 3)]
+    touched = []
+    for contents, day in turns:
+        rows = [("r", "main", "/root/t", f"/root/t/{p}", c and bytearray(c)) for p, c in contents.items()]
+        part = spark.createDataFrame(rows, FILES).withColumn("changed_at", F.lit(DAY[day]))
+        part.coalesce(1).write.mode("append").parquet(feed)
+        stream = index_stream(spark.readStream.schema(CHANGES).parquet(feed), table, STUB,
+                              f"{feed}-checkpoint", DAY[4])
+        stream.awaitTermination()
+        states = [p["stateOperators"][0] for p in stream.recentProgress if p["stateOperators"]]
+        touched.append((sum(s["numRowsUpdated"] for s in states), states[-1]["numRowsTotal"]))
+    assert touched == [(30, 30), (1, 30), (0, 30), (2, 31)]
+    rows = {k[1]: r["content"] for k, r in stored(table).items()}
+    assert rows["7.py"] == "new" and rows["new.py"] == "1" and len(rows) == 31
+
+
+def test_stream_of_records_without_time_or_content(spark, table):
+    """A record without a time is older than any other; of equal times, the greater hash."""
+    feed = new_scratch(spark, "feed")
+    schema = CHANGES
+    rows = [("r", "main", "/t", "/t/a.py", bytearray(b"timed"), DAY[0]),
+            ("r", "main", "/t", "/t/a.py", bytearray(b"never"), None),
+            ("r", "main", "/t", "/t/b.py", bytearray(b"1"), DAY[0]),
+            ("r", "main", "/t", "/t/b.py", bytearray(b"2"), DAY[0]),
+            ("r", "main", "/t", "/t/c.py", None, None)]
+    spark.createDataFrame(rows, schema).write.parquet(feed)
+    index_stream(spark.readStream.schema(CHANGES).parquet(feed), table, STUB,
+                 f"{feed}-checkpoint", DAY[4]).awaitTermination()
+    assert {k[1]: r["content"] for k, r in stored(table).items()} == {
+        "a.py": "timed", "b.py": max(["1", "2"], key=lambda c: hashlib.sha1(c.encode()).hexdigest())}
+
+
 def _data_files(table):
     return sorted(table._glob("data/*/*/*/*.parquet"))
 

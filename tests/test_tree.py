@@ -60,9 +60,9 @@ def test_forbidden_folder_raises(root, monkeypatch):
     monkeypatch.setattr(tree, "_entries", entries)
     monkeypatch.setattr(tree.time, "sleep", lambda _: None)
     with pytest.raises(PermissionError):
-        tree._listed("/secret")
+        tree.listed("/secret")
     with pytest.raises(OSError, match="busy"):
-        tree._listed("/shared")
+        tree.listed("/shared")
     assert tries == ["/secret", "/shared", "/shared", "/shared"]
 
 
