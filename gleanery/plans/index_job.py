@@ -12,6 +12,7 @@ from gleanery.operators.enrich import enrich
 from gleanery.operators.merge import upserted, with_enrichment
 from gleanery.schema import CHUNK_COLUMNS, NATURAL_KEY
 from gleanery.session import delete_folder, materialize, new_scratch
+from gleanery.sources.answer_store import AnswerStore
 from gleanery.sources.chunk_table import ChunkTable, CommitConflict
 from gleanery.sources.providers import ProviderSpec
 
@@ -86,8 +87,9 @@ def index_chunks(
     Lookup, flags and merge run on keys, hashes and summaries. Only what changed is
     written: new and changed chunks, whose content joins at the end, as rows, and chunks
     that stayed as they were as time stamps. What is costly to repeat (the scan, the
-    flags, the provider's answers) is written down on the way. If another writer changes
-    the same partitions meanwhile, the run starts again on the new state.
+    flags) is written down on the way. The provider's answers are kept beside the table as
+    they come, so a run that died, or starts again because another writer changed the same
+    partitions meanwhile, repeats no call that was answered.
     """
     if provider is not None and provider.dim != table.dim:
         raise ValueError(f"different vector dimensions: {provider.dim} and {table.dim}")
@@ -115,9 +117,15 @@ def _index(
     if not pairs:
         return table.current_run()
     staged = _one_per_key(staged, scratch)
+    store = AnswerStore.of_run(table.path, provider, pairs) if provider else None
     for attempt in range(ATTEMPTS):
         try:
-            return _attempt(staged, pairs, table, provider, run_ts, max_calls, f"{scratch}/{attempt}")
+            run = _attempt(
+                staged, pairs, table, provider, run_ts, max_calls, f"{scratch}/{attempt}", store
+            )
+            if store:
+                store.clear(table.spark)
+            return run
         except CommitConflict:
             if attempt == ATTEMPTS - 1:
                 raise
@@ -132,6 +140,7 @@ def _attempt(
     run_ts: datetime,
     max_calls: int | None,
     scratch: str,
+    store: AnswerStore | None,
 ) -> int:
     """One run over the state of the newest commit."""
     base = table.head()
@@ -149,7 +158,7 @@ def _attempt(
     if stay == total:
         return table.append(None, touched, base)
     changed = delta.where(~unchanged(delta)) if stay else delta
-    enriched = enrich(_flagged_content(staged, changed, all_new), provider, max_calls)
+    enriched = enrich(_flagged_content(staged, changed, all_new), provider, max_calls, store)
     enriched = materialize(enriched, "enriched", scratch)
     merged = upserted(with_enrichment(changed, enriched), stored, run_ts)
     if stay:

@@ -49,7 +49,7 @@ def _file_system(address: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(address)
 
 
-def _remote_path(path: str) -> tuple[fs.FileSystem, str, str]:
+def open_store(path: str) -> tuple[fs.FileSystem, str, str]:
     """(file system, path inside it, what to put before an inside path)."""
     scheme, rest = path.split("://", 1)
     authority, _, inside = rest.partition("/")
@@ -64,7 +64,7 @@ def _entries(folder: str) -> Iterator[tuple[str, bool, int, int]]:
     links are not followed into."""
     local = local_path(folder)
     if local is None:
-        system, inside, before = _remote_path(folder)
+        system, inside, before = open_store(folder)
         for info in system.get_file_info(fs.FileSelector(inside)):
             is_dir = info.type == fs.FileType.Directory
             if is_dir or info.type == fs.FileType.File:
@@ -138,7 +138,7 @@ def _read_file(path: str) -> bytes | None:
         if local is not None:
             with open(local, "rb") as file:
                 return file.read() if os.fstat(file.fileno()).st_size < LONGEST_FILE else None
-        system, inside, _ = _remote_path(path)
+        system, inside, _ = open_store(path)
         with system.open_input_file(inside) as file:
             return file.read() if file.size() < LONGEST_FILE else None
     except OSError:

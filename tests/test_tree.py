@@ -104,7 +104,7 @@ def test_remote_paths(monkeypatch):
     bases = {"hdfs://host:9/": "/", "s3://bucket/": "bucket", "gs://b/": "b/"}
     monkeypatch.setattr(tree, "_file_system", lambda address: (System, bases[address]))
     for path, inside in [("hdfs://host:9/a/b", "/a/b"), ("s3a://bucket/a", "bucket/a"), ("gs://b/x", "b/x")]:
-        system, got, before = tree._remote_path(path)
+        system, got, before = tree.open_store(path)
         assert (system, got) == (System, inside)
         assert before + got == path
 
