@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import shutil
 import tempfile
 import uuid
@@ -51,7 +52,11 @@ def ship_package(spark: SparkSession) -> None:
         return
     package = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp(prefix="gleanery-")) / package.name
-    context.addPyFile(shutil.make_archive(str(target), "zip", package.parent, package.name))
+    archive = shutil.make_archive(str(target), "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    # The driver's process that plans a streaming source looks here alone.
+    known = context.environment.get("PYTHONPATH")
+    context.environment["PYTHONPATH"] = f"{known}{os.pathsep}{archive}" if known else archive
 
 
 def shared_folder(spark: SparkSession) -> str:
