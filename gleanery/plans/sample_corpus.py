@@ -70,17 +70,21 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def chunks_with_id(spark: SparkSession, folder: str) -> DataFrame:
-    """The chunk table, with ``doc_id`` on top."""
-    vectors = table(spark, folder, "embeddings").select(
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("doc_id"), F.col("embedding").alias("summary_vec")
     )
+
+
+def _shaped(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as chunks without vectors. What follows from the text is computed here, so
+    that a join behind it moves the text only where content is wanted."""
     shaped = (
         documents(spark, folder)
         .withColumn("line_start", F.lit(1))
         .withColumn("line_end", line_count(F.col("text")))
     )
-    return shaped.join(vectors, "doc_id", "left").select(
+    return shaped.select(
         "doc_id",
         chunk_id(F.col("path"), F.col("line_start"), F.col("line_end")).alias("id"),
         "repository",
@@ -91,13 +95,18 @@ def chunks_with_id(spark: SparkSession, folder: str) -> DataFrame:
         F.col("text").alias("content"),
         "line_start",
         "line_end",
-        "summary_vec",
         content_hash(F.col("text")).alias("content_hash"),
         F.lit(FIRST_RUN).alias("summarized_at"),
         F.lit(FIRST_RUN).alias("created_at"),
     )
 
 
+def chunks_with_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunk table, with ``doc_id`` on top."""
+    shaped = _shaped(spark, folder)
+    return shaped.join(_vectors(spark, folder), "doc_id", "left").select("doc_id", *CHUNK_COLUMNS)
+
+
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunks_with_id(spark, folder).select(CHUNK_COLUMNS)
 
@@ -134,26 +143,37 @@ def previous_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     0: missing, though every second of them is stored under the ref ``old``;
     1: other content; 2: no summary; 3: no vector; 4: as it is now.
     """
-    now = chunks_with_id(spark, folder)
+    now = _shaped(spark, folder)
     rest = F.col("doc_id") % 5
     old_content = F.when(rest == 1, F.concat("content", F.lit(" old"))).otherwise(F.col("content"))
-    return (
+    before = (
         now.where((rest != 0) | (F.col("doc_id") % 10 == 5))
         .withColumn("ref", F.when(rest == 0, "old").otherwise(F.col("ref")))
         .withColumn("content", old_content)
         .withColumn("content_hash", content_hash(F.col("content")))
         .withColumn("summary", F.when(rest == 2, "").otherwise(F.col("summary")))
+    )
+    return (
+        before.join(_vectors(spark, folder), "doc_id", "left")
         .withColumn("summary_vec", F.when(rest != 3, F.col("summary_vec")))
         .select(CHUNK_COLUMNS)
     )
 
 
 def new_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """The current files as an indexing run sees them before enrichment."""
-    return chunks(spark, folder).select(
+    """The current files as an indexing run sees them before enrichment.
+
+    They have no vectors, so no text moves for these; a document with several vectors is as
+    many chunks here as in the chunk table.
+    """
+    several = _vectors(spark, folder).groupBy("doc_id").agg(F.count("*").alias("times"))
+    several = several.where("times > 1")
+    times = F.coalesce("times", F.lit(1)).cast("int")
+    repeated = _shaped(spark, folder).join(F.broadcast(several), "doc_id", "left")
+    return repeated.select(
         "id", "repository", "ref", "path", "line_start", "line_end", "language", "content",
-        "content_hash",
-    )
+        "content_hash", F.explode(F.array_repeat(F.lit(0), times)).alias("copy"),
+    ).drop("copy")
 
 
 def write_tree(files: DataFrame) -> None:
