@@ -94,3 +94,18 @@ def unchanged(delta: DataFrame) -> Column:
         & ~F.col("need_embed")
         & F.col("old_language").eqNullSafe(F.col("language"))
     )
+
+
+def flagged_content(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """The rows of ``index_delta`` that need a provider, with their content.
+
+    Lookup and flags run without content, once per key and hash; content joins what they
+    flagged at the end and moves once.
+    """
+    key = [*NATURAL_KEY, "content_hash"]
+    thin = new.drop("content").dropDuplicates(key)
+    delta = index_delta(meta_lookup(thin, stored))
+    flagged = delta.where(F.col("need_summary") | F.col("need_embed"))
+    content = new.select(*[F.col(c).alias(f"_{c}") for c in key], "content")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    return content.join(flagged, same).select(*flagged.columns, "content")

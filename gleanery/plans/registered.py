@@ -13,7 +13,7 @@ from gleanery.functions import content as content_rules
 from gleanery.functions import links, paths, scoring, text, trigrams, vectors
 from gleanery.operators import ann, catalog, postings, results, search
 from gleanery.operators.batch_search import batch_search
-from gleanery.operators.delta import index_delta, meta_lookup
+from gleanery.operators.delta import flagged_content, index_delta, meta_lookup
 from gleanery.operators.enrich import enrich
 from gleanery.operators.merge import upsert_chunks
 from gleanery.plans import oracle
@@ -232,14 +232,18 @@ def q_summary_stub(spark, folder):
 
 
 def _delta(spark, folder) -> DataFrame:
-    looked_up = meta_lookup(
+    new = corpus.new_chunks(spark, folder).drop("content")
+    return index_delta(meta_lookup(new, corpus.previous_snapshot(spark, folder)))
+
+
+def _flagged(spark, folder) -> DataFrame:
+    return flagged_content(
         corpus.new_chunks(spark, folder), corpus.previous_snapshot(spark, folder)
     )
-    return index_delta(looked_up)
 
 
 def _enriched(spark, folder) -> DataFrame:
-    return enrich(_delta(spark, folder), make_provider("stub", dim=corpus.DIM))
+    return enrich(_flagged(spark, folder), make_provider("stub", dim=corpus.DIM))
 
 
 def q_summarize(spark, folder):
@@ -666,7 +670,7 @@ class LengthProvider:
 
 def q_provider(spark, folder):
     register_provider("length", LengthProvider)
-    enriched = enrich(_delta(spark, folder), make_provider("length", dim=corpus.DIM))
+    enriched = enrich(_flagged(spark, folder), make_provider("length", dim=corpus.DIM))
     return enriched.select(
         *NATURAL_KEY, F.col("new_summary").alias("summary"), _vec_sum("new_vec").alias("total")
     )

@@ -17,12 +17,13 @@ def _text_moves(frame) -> int:
     assert steps
     # Small inputs are spread over the cores first, by number.
     spreads = len(re.findall(r"Arguments: RoundRobinPartitioning", plan))
-    return sum(bool(re.search(r"\b(text|content)#", s)) for s in steps) - spreads
+    return sum(bool(re.search(r"\b(text|content|input)#", s)) for s in steps) - spreads
 
 
 @pytest.mark.parametrize(
     ("name", "most"),
-    [("index_delta", 0), ("meta_lookup", 0), ("upsert_chunks", 0)],
+    [("index_delta", 0), ("meta_lookup", 0), ("upsert_chunks", 0),
+     ("summarize", 1), ("embed", 1), ("provider", 1)],
 )
 def test_text_moves_only_where_content_is_wanted(spark, name, most):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
