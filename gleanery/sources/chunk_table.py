@@ -284,7 +284,8 @@ class ChunkTable:
             .hint("rebalance", "repository", "ref")
             .sortWithinPartitions("repository", "ref", "path")
         )
-        ordered.write.partitionBy("repository", "ref").parquet(f"{self.path}/{_DATA}/run={run}")
+        write = ordered.write.option("compression", "zstd").partitionBy("repository", "ref")
+        write.parquet(f"{self.path}/{_DATA}/run={run}")
         return self._written(_DATA, run)
 
     def save(self, chunks: DataFrame) -> int:
