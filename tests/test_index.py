@@ -15,6 +15,7 @@ from gleanery.schema import CHUNK_COLUMNS, FILES, NATURAL_KEY
 from gleanery.session import new_scratch, shared_folder
 from gleanery.sources.chunk_table import ChunkTable, CommitConflict
 from gleanery.sources.providers import StubProvider, default_dim, make_provider, register_provider
+from gleanery.streaming import index_stream as stream_module
 from gleanery.streaming.index_stream import CHANGES, index_stream
 
 DAY = [datetime(2026, 3, day, tzinfo=UTC) for day in range(1, 9)]
@@ -344,6 +345,25 @@ def test_stream_of_records_without_time_or_content(spark, table):
         "a.py": "timed", "b.py": max(["1", "2"], key=lambda c: hashlib.sha1(c.encode()).hexdigest())}
 
 
+def test_stream_calls_python_by_groups_of_files(spark, table, monkeypatch):
+    """Files that share a group keep their own marks."""
+    monkeypatch.setattr(stream_module, "GROUPS", 3, raising=False)
+    feed = new_scratch(spark, "feed")
+    states = []
+    for day, content in ((1, b"new"), (0, b"old"), (2, b"newest")):
+        contents = {f"{i}.py": content + b" %d" % i for i in range(0, 60, day + 1)}
+        part = files(spark, contents).withColumn("changed_at", F.lit(DAY[day]))
+        part.coalesce(1).write.mode("append").parquet(feed)
+        stream = index_stream(spark.readStream.schema(CHANGES).parquet(feed), table, STUB,
+                              f"{feed}-checkpoint", DAY[4])
+        stream.awaitTermination()
+        states += [p["stateOperators"][0] for p in stream.recentProgress if p["stateOperators"]]
+    assert states[-1]["numRowsTotal"] == 3
+    kept = {k[1]: r["content"] for k, r in stored(table).items()}
+    word = lambda i: "newest" if i % 3 == 0 else "new" if i % 2 == 0 else "old"
+    assert kept == {f"{i}.py": f"{word(i)} {i}" for i in range(60)}
+
+
 def _data_files(table):
     return sorted(table._glob("data/*/*/*/*.parquet"))
 
