@@ -166,7 +166,7 @@ def _share(value: np.ndarray, maximum: np.ndarray) -> np.ndarray:
 def _task_maxima(queries: QuerySlice):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maxima = np.full((len(TERMS), len(queries.ids)), -1.0)
-        for block in row_blocks(batches):
+        for block in row_blocks(batches, len(queries.ids)):
             allowed = queries.allowed(block)
             terms = queries.score_terms(block)
             for i, name in enumerate(TERMS):
@@ -185,7 +185,7 @@ def _task_best(queries: QuerySlice, maxima: np.ndarray, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = RunningBest(k, len(queries.ids), order)
-        for block in row_blocks(batches):
+        for block in row_blocks(batches, len(queries.ids)):
             t = queries.score_terms(block)
             score = (
                 scoring.SEMANTIC_WEIGHT * _share(t["sem"], maxima[0])

@@ -9,13 +9,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_ROWS = 2048
+#: Cells of a rows x queries matrix, of which a task holds a dozen at a time.
+BLOCK_CELLS = 1 << 17
 
 
-def row_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def row_blocks(batches: Iterator[pa.RecordBatch], queries: int = 1) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces small enough for a rows x queries matrix."""
+    rows = min(BLOCK_ROWS, max(1, BLOCK_CELLS // max(1, queries)))
     for batch in batches:
-        for at in range(0, batch.num_rows, BLOCK_ROWS):
-            yield batch.slice(at, BLOCK_ROWS)
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def key_order(block: pa.RecordBatch, key: list[str]) -> np.ndarray:
