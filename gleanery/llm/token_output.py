@@ -22,6 +22,7 @@ empty. Only two columns are read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import struct
 import zlib
@@ -48,6 +49,8 @@ PACK_DOCUMENTS = 4096
 #: Words whose ids a Python worker remembers, and the longest one.
 CACHED_WORDS = 400_000
 CACHED_LENGTH = 40
+#: Words that go through the library as one text.
+AT_ONCE = 4096
 LEVEL = 3
 
 #: Where a word cannot be cut off in front of its space, because white space follows.
@@ -73,35 +76,71 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token.startswith(_SPACE)]] = True
-        self.words: dict[str, bytes] = {}
+        self._forget()
 
-    def _ids(self, text: str) -> np.ndarray:
-        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
-        return np.array(found[0].ids, "<u4")
-
-    def whole(self, text: str) -> bytes:
-        return self._ids(text).tobytes() if text else b""
+    def _forget(self) -> None:
+        """The memory: words, the ids of each, and in how many batches it was used."""
+        self.words = pa.array([], pa.large_string())
+        self.ids = _lists(np.empty(0, "<u4"), [0])
+        self.used = np.empty(0, np.int64)
 
-    def _after_space(self, words: list[str]) -> list[bytes]:
+    def _ids(self, text: str) -> np.ndarray:
+        return self._batch([text])[0]
+
+    def _each(self, texts: list[str]) -> pa.Array:
+        """Ids of texts, each by itself; long ones in a call of their own."""
+        ids, held, size = [], [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size > 8 * AT_ONCE:
+                ids += self._batch(held)
+                held, size = [], 0
+        ids += self._batch(held)
+        cuts = np.cumsum([0, *map(len, ids)])
+        return _lists(np.concatenate([np.empty(0, "<u4"), *ids]), cuts)
+
+    def _batch(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4") for e in found]
+
+    def _after_space(self, words: pa.Array) -> pa.Array:
         """Ids of words after a space: a token that begins with a space begins a word."""
-        if not words:
-            return []
-        ids = self._ids(" " + " ".join(words))
-        starts = np.flatnonzero(self.opens[ids])
-        if len(starts) != len(words):  # not a byte-level pre-tokenizer that cuts at spaces
-            return [self.whole(" " + word) for word in words]
-        raw, cuts = ids.tobytes(), (4 * np.append(starts, len(ids))).tolist()
-        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-    def _look_up(self, words: list[str]) -> list[bytes]:
-        known = self.words
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = [word for word in words if word not in known]
-        once = {}
-        for word, ids in zip(new, self._after_space(new), strict=True):
-            (known if len(word) <= CACHED_LENGTH else once)[word] = ids
-        return [known[word] if word in known else once[word] for word in words]
+        found = [_lists(np.empty(0, "<u4"), [0])]
+        for start in range(0, len(words), AT_ONCE):
+            texts = words[start : start + AT_ONCE].to_pylist()
+            ids = self._ids(" " + " ".join(texts))
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) == len(texts):
+                found.append(_lists(ids, np.append(starts, len(ids))))
+            else:  # not a byte-level pre-tokenizer that cuts at spaces
+                found.append(self._each([" " + word for word in texts]))
+        return pa.concat_arrays(found)
+
+    def _look_up(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words after a space. Too many remembered words leave only those
+        that several batches used, and if these are too many, none."""
+        if len(self.words) > CACHED_WORDS:
+            often = np.flatnonzero(self.used > 1)
+            if len(often) > CACHED_WORDS // 2:
+                self._forget()
+            else:
+                keep = pa.array(often)
+                self.words, self.ids = self.words.take(keep), self.ids.take(keep)
+                self.used = np.ones(len(often), np.int64)
+        at = pc.index_in(words, value_set=self.words)
+        fresh = words.filter(at.is_null())
+        known, before = self.ids, len(self.words)
+        found = self._after_space(fresh)
+        at = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.used[at[at >= 0]] += 1
+        at[at < 0] = before + np.arange(len(fresh))
+        short = pc.less_equal(pc.utf8_length(fresh), CACHED_LENGTH)
+        both = pa.concat_arrays([known, found])
+        self.words = pa.concat_arrays([self.words, fresh.filter(short)])
+        self.ids = pa.concat_arrays([known, found.filter(short)])
+        self.used = np.append(self.used, np.ones(len(self.words) - before, np.int64))
+        return both.take(pa.array(at))
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of every text."""
@@ -111,30 +150,27 @@ class WordEncoder:
         by_word = [text if ok else "" for text, ok in zip(texts, safe, strict=True)]
         split = pc.split_pattern(pa.array(by_word, pa.large_string()), " ")
         at = split.offsets.to_numpy()
-        coded = split.values.dictionary_encode()
-        codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         first = at[:-1]
-        heads = [
-            self.whole(words[code] if ok else text)
-            for code, text, ok in zip(codes[first].tolist(), texts, safe, strict=True)
-        ]
-        after_space = np.ones(len(codes), bool)
+        after_space = np.ones(len(split.values), bool)
         after_space[first] = False
-        used = np.unique(codes[after_space])
-        parts = self._look_up([words[code] for code in used.tolist()]) + heads
-        slots = np.zeros(len(words), np.int64)
-        slots[used] = np.arange(len(used))
-        pieces = slots[codes]
-        pieces[first] = len(used) + np.arange(len(texts))
-        lengths = np.array([len(part) // 4 for part in parts], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        table = np.frombuffer(b"".join(parts), "<u4")
-        counts = lengths[pieces]
-        ends = np.cumsum(counts)
-        flat = table[np.repeat(starts[pieces] - ends + counts, counts) + np.arange(ends[-1])]
-        cuts = [0, *ends[at[1:] - 1].tolist()]
+        heads = split.values.take(pa.array(first)).to_pylist()
+        heads = [head if ok else text for head, text, ok in zip(heads, texts, safe, strict=True)]
+        coded = split.values.filter(pa.array(after_space)).dictionary_encode()
+        places = np.empty(len(after_space), np.int64)
+        places[after_space] = coded.indices.to_numpy()
+        places[first] = len(coded.dictionary) + np.arange(len(texts))
+        parts = pa.concat_arrays([self._look_up(coded.dictionary), self._each(heads)])
+        flat = parts.take(pa.array(places))
+        ids, ends = flat.values.to_numpy(), flat.offsets.to_numpy()
+        cuts = ends[at].tolist()
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield flat[a:b].tobytes()
+            yield ids[a:b].tobytes()
+
+
+def _lists(values: np.ndarray, cuts) -> pa.Array:
+    return pa.LargeListArray.from_arrays(
+        pa.array(cuts, pa.int64()), pa.array(values, pa.uint32())
+    )
 
 
 _ENCODERS: dict[int, WordEncoder] = {}

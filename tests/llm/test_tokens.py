@@ -1,6 +1,7 @@
 import struct
 import zlib
 
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -94,3 +95,23 @@ def test_many_batches(tokenizer, monkeypatch):
         for text, ids in zip(texts, encoder.texts(texts), strict=True):
             whole = tokenizer.encode(text, add_special_tokens=False).ids
             assert ids == struct.pack(f"<{len(whole)}I", *whole)
+
+
+def test_words_of_several_batches_are_remembered(tokenizer, monkeypatch):
+    """A full memory keeps what several batches used, so it is not encoded again."""
+    monkeypatch.setattr(token_output, "CACHED_WORDS", 60)
+    monkeypatch.setattr(token_output, "AT_ONCE", 7)
+    with open(token_output.default_tokenizer(), encoding="utf-8") as file:
+        encoder = token_output.WordEncoder(file.read())
+    encoded = []
+    plain = encoder._after_space
+    encoder._after_space = lambda words: encoded.extend(words.to_pylist()) or plain(words)
+    usual = " ".join(f"usual{i}" for i in range(20))
+    for turn in range(12):
+        texts = [f"t{turn} {usual} " + " ".join(f"w{turn}x{i}" for i in range(25))]
+        for text, ids in zip(texts, encoder.texts(texts), strict=True):
+            whole = tokenizer.encode(text, add_special_tokens=False).ids
+            assert ids == struct.pack(f"<{len(whole)}I", *whole)
+    assert len(encoder.words) <= 60 + 45
+    assert encoded.count("usual3") == 1
+    assert isinstance(encoder.words, pa.Array)  # no object per word
