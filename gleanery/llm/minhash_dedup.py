@@ -57,6 +57,8 @@ K = 32
 SHORT = 24
 #: A list of differences gives its pairs if their number is at most the square of this.
 FEW = 64
+#: Bytes of text that a worker hashes at once; its arrays take many times as much.
+SLICE = 1 << 20
 #: Chance that a linked pair differs in as many retained values as a document that is not
 #: crowded has in short lists, and that its estimate lies below the least one that goes on
 #: to the exact comparison.
@@ -98,7 +100,7 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
 
 def _sketches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
-        for batch in batches(part, "text"):
+        for batch in batches(part, "text", SLICE):
             sizes, nodes, sketches = [], [], []
             for found in shingle_sets(batch.column("text")):
                 sizes.append(len(found))
@@ -119,7 +121,7 @@ def _sketches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _full_sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
-        for batch in batches(part, "text"):
+        for batch in batches(part, "text", SLICE):
             sets = [s.tobytes() for s in shingle_sets(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), pa.array(sets, pa.binary())], ["node", "members"]

@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from gleanery.llm import components, minhash_dedup
@@ -146,3 +148,19 @@ def test_several_groups_in_the_same_lists(documents, monkeypatch, seed):
             head[: rng.randrange(13)] = heads[(i + 1) % 4][: rng.randrange(13)]
         rows.append((i, _edited(rng, head + base, rng.randrange(3))))
     _check(documents(*rows), rows)
+
+
+def test_texts_are_hashed_in_small_slices(monkeypatch):
+    """The arrays of a slice are many times its size, and workers live for the whole run."""
+    texts = [f"text {i} " + "some words of it " * 700 for i in range(300)]
+    part = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "key": [0] * 300, "text": texts})
+    plain, sizes = minhash_dedup.shingle_sets, []
+    monkeypatch.setattr(
+        minhash_dedup, "shingle_sets", lambda c: sizes.append(pc.sum(pc.binary_length(c)).as_py()) or plain(c)
+    )
+    whole = [s.tobytes() for s in plain(part.column("text"))]
+    with_nodes = part.rename_columns(["node", "key", "text"])
+    found = pa.Table.from_batches(minhash_dedup._full_sets(iter([with_nodes])))
+    assert found["members"].to_pylist() == whole and found["node"].to_pylist() == list(range(300))
+    assert sum(map(len, minhash_dedup._sketches(iter([part])))) == 300
+    assert sum(sizes) == 2 * sum(map(len, texts)) and max(sizes) <= 1 << 20
