@@ -31,7 +31,7 @@ LONG = 0.25
 SPARE_BLOCKS = 3
 FILLS = 8
 #: Rounds of filling in one plan.
-SAVED_FILLS = 4
+SAVED_FILLS = 2
 #: Largest number of times that a document is taken.
 MOST_COPIES = 3
 SEED = 911
@@ -126,10 +126,14 @@ def _draw(counts: Column, size: Column, node: Column, seed: int) -> Column:
     return F.aggregate(counts, start, step, lambda state: state["drawn"])
 
 
-def splitting_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
+def splitting_tree(
+    quotas: DataFrame, shards: int, seed: int = SEED, folder: str | None = None
+) -> DataFrame:
     """``sid``, ``draws`` -> ``shard``, ``counts`` (an array in the order of sid).
 
-    The node of a shard range holds one number per source, never the blocks.
+    The node of a shard range holds one number per source, never the blocks. With a
+    ``folder`` the levels are stored: in one plan the draws of a level stand several times
+    in the next one's, and the driver holds them all.
     """
     tree = quotas.agg(
         F.transform(
@@ -152,6 +156,8 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFram
         whole = F.struct("shard", "width", "counts")
         parts = F.when(F.col("width") > 1, F.array(one, two)).otherwise(F.array(whole))
         tree = halves.select(F.inline(parts))
+        if folder:
+            tree = save(tree, folder, "tree")
         shards = (shards + 1) // 2
     return tree.select("shard", "counts")
 
@@ -236,7 +242,7 @@ def mix_plan(
     quotas = blocks.groupBy("sid").agg(F.sum("block_copies").alias("draws"))
     before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        splitting_tree(quotas, shards, seed)
+        splitting_tree(quotas, shards, seed, folder)
         .select("shard", F.posexplode("counts").alias("sid", "count"))
         .withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0)))
         .where("count > 0")
@@ -249,11 +255,14 @@ def mix_plan(
             F.filter("starts", lambda s: s["start"] <= c * F.col("there") + F.col("at")), -1
         )["shard"],
     )
-    drawn = blocks.join(starts, "sid", "left").select(
-        "sid", "block", "at", "passes", "split", "open", "source_size", "target",
-        F.when(F.col("block_copies") > 0, draws)
-        .otherwise(F.array().cast("array<int>"))
-        .alias("shards"),
+    drawn = save(
+        blocks.join(starts, "sid", "left").select(
+            "sid", "block", "at", "passes", "split", "open", "source_size", "target",
+            F.when(F.col("block_copies") > 0, draws)
+            .otherwise(F.array().cast("array<int>"))
+            .alias("shards"),
+        ),
+        folder, "drawn",
     )
     joined = placed.join(drawn, ["sid", "block"])
     settled = joined.where(~F.col("split")).withColumn("copies", F.size("shards"))

@@ -31,6 +31,8 @@ from gleanery.llm.wordhash import batches, text_buffers, word_hashes, word_spans
 #: Labelled documents that train the model, and the longest text among them.
 TRAIN_DOCUMENTS = 3_000
 TRAIN_BYTES = 50_000
+#: Bytes of training text whose features the driver computes at once.
+SLICE = 1 << 19
 STEPS = 200
 RATE = 0.08
 RIDGE = 1e-3
@@ -207,10 +209,18 @@ def _logit(means: np.ndarray) -> np.ndarray:
     return np.log(means / (1 - means))
 
 
+def _all_lines(texts: list[str]):
+    """``line_features`` of all texts, whose working arrays hold one slice at a time."""
+    table = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
+    parts = [line_features(*text_buffers(b.column("text"))) for b in batches(table, "text", SLICE)]
+    features, lengths = (np.concatenate([part[i] for part in parts]) for i in (0, 1))
+    lines = np.concatenate([np.diff(part[2]) for part in parts])
+    return features, lengths, np.concatenate([[0], np.cumsum(lines)])
+
+
 def fit(texts: list[str], labels: list[int]) -> QualityModel:
     """Gradient ascent (Adam) on the likelihood of the labelled chains."""
-    values, offsets = text_buffers(pa.array(texts, pa.large_string()))
-    features, lengths, at = line_features(values, offsets)
+    features, lengths, at = _all_lines(texts)
     goal = np.asarray(labels)
     lines_of = np.diff(at)
     label = np.repeat(goal, lines_of)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery.llm import mixing
+from gleanery.llm.common import job_folder
 from tests.llm.conftest import ODD
 
 
@@ -142,3 +143,14 @@ def test_long_document_is_no_miss(documents, seed):
         targets[r.source] = r.target
     assert set(targets) == {"a", "b", "c"}
     assert all(abs(taken[s] - t) <= 5 for s, t in targets.items()), (taken, targets)
+
+
+def test_draws_stand_in_no_later_plan(spark, documents):
+    """The driver plans every level of the tree alone; what follows reads stored draws."""
+    rows = [(i, "some words " * (1 + i % 7), f"s{i % 3}") for i in range(60)]
+    plan = mixing.mix_plan(documents(*rows), shards=16, block_words=20)
+    assert "aggregate(" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    quotas = spark.createDataFrame([(0, 40), (1, 25)], "sid int, draws bigint")
+    stored = mixing.splitting_tree(quotas, 16, folder=job_folder(spark, "test"))
+    assert "aggregate(" not in stored._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(stored.collect()) == sorted(mixing.splitting_tree(quotas, 16).collect())

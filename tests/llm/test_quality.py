@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 from itertools import product
 
@@ -99,3 +100,16 @@ def test_labels_of_one_kind_or_none(documents, labels):
 
 def test_empty_table(documents, labels):
     assert quality.op5_quality_crf(documents(), labels((1, 1, 0))).collect() == []
+
+
+def test_training_holds_the_arrays_of_a_slice(monkeypatch):
+    monkeypatch.setattr(quality, "STEPS", 1)
+    texts = [f"word{i} " * 3000 + "\n" + "x y\n" * (i % 5) for i in range(300)]
+    whole = quality.line_features(*quality.text_buffers(pa.array(texts, pa.large_string())))
+    for a, b in zip(quality._all_lines(texts), whole, strict=True):
+        assert np.array_equal(a, b)
+    tracemalloc.start()
+    quality.fit(texts, [i % 2 for i in range(300)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * sum(map(len, texts))
