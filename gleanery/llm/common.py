@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import string
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ from gleanery.session import materialize, new_scratch
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Spark's setting by which a query removes its shuffle files when it ends.
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Stands for a null doc_id where an order is needed: smaller than any other.
 NULL_ID = -(2**63)
 
@@ -57,3 +62,25 @@ def job_folder(spark: SparkSession, name: str) -> str:
 def save(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back."""
     return materialize(df, f"{name}-{uuid.uuid4().hex[:6]}", folder)
+
+
+@contextmanager
+def sweeping(spark: SparkSession) -> Iterator[None]:
+    """DataFrames made inside remove their shuffle files at the end of each query. Others
+    keep them until the driver happens to collect its garbage, so that those of many steps
+    lie on disk together."""
+    before = spark.conf.get(SWEEP, None)
+    spark.conf.set(SWEEP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SWEEP)
+        else:
+            spark.conf.set(SWEEP, before)
+
+
+def settle(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """``save`` that leaves no shuffle files behind."""
+    with sweeping(df.sparkSession):
+        return save(df.select("*"), folder, name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import save
+from gleanery.llm.common import settle, sweeping
 
 
 def components(links: DataFrame, folder: str) -> DataFrame:
@@ -17,9 +17,9 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     shuffle) and joins them back, so a hub costs no more than its links. Rounds end when
     all links lead to roots; each is written to the shared folder.
     """
-    edges = save(_ordered(links), folder, "links")
+    edges = settle(_ordered(links), folder, "links")
     while not _flat(edges):
-        edges = save(_small_star(_large_star(edges)), folder, "links")
+        edges = settle(_small_star(_large_star(edges)), folder, "links")
     roots = edges.select("b").distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         roots.select(F.col("b").alias("node"), F.col("b").alias("root"))
@@ -32,11 +32,11 @@ def merged(roots: DataFrame, links: DataFrame, folder: str) -> DataFrame:
     for end in ("a", "b"):
         root = roots.select(F.col("node").alias(end), F.col("root").alias("r"))
         ends = ends.join(root, end, "left").withColumn(end, F.coalesce("r", end)).drop("r")
-    up = save(components(ends, folder), folder, "up")
+    up = settle(components(ends, folder), folder, "up")
     new = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
     moved = roots.join(new, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     fresh = up.join(roots.select("node"), "node", "left_anti")
-    return save(moved.unionByName(fresh), folder, "roots")
+    return settle(moved.unionByName(fresh), folder, "roots")
 
 
 def _flat(edges: DataFrame) -> bool:
@@ -45,7 +45,8 @@ def _flat(edges: DataFrame) -> bool:
         edges.select(F.col("b").alias("a"), F.lit(0).alias("out"), F.lit(1).alias("in"))
     )
     degree = ends.groupBy("a").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
-    return degree.where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("in") > 0))).isEmpty()
+    with sweeping(edges.sparkSession):
+        return degree.where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("in") > 0))).isEmpty()
 
 
 def _ordered(links: DataFrame) -> DataFrame:

@@ -39,8 +39,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import job_folder, save
+from gleanery.llm.common import job_folder, settle
 from gleanery.llm.components import merged
+from gleanery.llm.sieve import Sieve
 from gleanery.llm.wordhash import (
     batches,
     mix,
@@ -49,6 +50,7 @@ from gleanery.llm.wordhash import (
     word_hashes,
     word_spans,
 )
+from gleanery.session import delete_folder
 
 SHINGLE = 5
 SIMILAR = 85
@@ -237,15 +239,21 @@ def _estimated(pairs: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
 def near_duplicates(documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """Links are pairs of at least ``similar`` percent. One row per input row: doc_id, key (hash of the text), n_shingles, root (names the
     component; null for an empty set), component_id."""
-    folder = job_folder(documents.sparkSession, "minhash")
+    return _near_duplicates(documents, similar, job_folder(documents.sparkSession, "minhash"))
+
+
+def _near_duplicates(documents: DataFrame, similar: int, folder: str) -> DataFrame:
+    """``near_duplicates``, read from three tables in ``folder``; what else was stored on
+    the way is deleted."""
+    spark, steps = documents.sparkSession, f"{folder}/steps"
     texts = documents.select("doc_id", F.xxhash64("text").alias("key"), "text")
     schema = "doc_id bigint, key bigint, n_shingles bigint, node binary, sketch array<bigint>"
-    rows = save(
+    sketched = settle(
         texts.select(F.col("doc_id").cast("long"), "key", "text").mapInArrow(_sketches, schema),
-        folder, "rows",
+        f"{folder}/sketched", "rows",
     )
-    classes = save(
-        rows.where("node is not null")
+    classes = settle(
+        sketched.where("node is not null")
         .groupBy("node")
         .agg(
             F.min("doc_id").alias("least_id"),
@@ -253,10 +261,12 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
             F.first("n_shingles").alias("n"),
             F.first("sketch").alias("sketch"),
         ),
-        folder, "classes",
+        steps, "classes",
     )
-    listed = save(
-        _listed(classes.select("node", "n", F.explode("sketch").alias("v"))), folder, "listed"
+    rows = settle(sketched.drop("sketch"), folder, "rows")
+    delete_folder(spark, f"{folder}/sketched")
+    listed = settle(
+        _listed(classes.select("node", "n", F.explode("sketch").alias("v"))), steps, "listed"
     )
     short = listed.where(F.col("length") <= SHORT)
     long_values = listed.where(F.col("length") > SHORT).groupBy("node").agg(
@@ -264,38 +274,40 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
     )
     retained = F.least(F.col("n"), F.lit(K))
     need = F.least(F.lit(unlike(similar, MISS)), _differ(similar))
-    crowded = save(
+    crowded = settle(
         long_values.where(retained - F.col("long_lists") < need).select("node", "n"),
-        folder, "crowded",
+        steps, "crowded",
     )
     met = _pairs(short, similar)
     long = None
     if not crowded.isEmpty():
-        prefix = save(_rarest(_sets(texts, classes, crowded), crowded, similar), folder, "prefix")
+        crowded_sets = _sets(texts, classes, crowded, steps)
+        prefix = settle(_rarest(crowded_sets, crowded, similar), steps, "prefix")
         met = met.union(_pairs(prefix.where(F.col("length") <= SHORT), similar)).distinct()
         long = prefix.where(F.col("length") > SHORT)
-    pairs = save(_estimated(met, classes, similar), folder, "pairs")
+    pairs = settle(_estimated(met, classes, similar), steps, "pairs")
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
     if long is not None:
         involved = involved.union(long.select("node"))
-    sets = save(_sets(texts, classes, involved.distinct()), folder, "sets")
-    roots = documents.sparkSession.createDataFrame([], "node binary, root binary")
-    links = save(_confirmed(pairs, sets, similar), folder, "links")
+    sets = settle(_sets(texts, classes, involved.distinct(), steps), steps, "sets")
+    roots = spark.createDataFrame([], "node binary, root binary")
+    links = settle(_confirmed(pairs, sets, similar), steps, "links")
     if not links.isEmpty():
-        roots = merged(roots, links, folder)
+        roots = merged(roots, links, steps)
     if long is not None:
         lists = long.select(F.col("v").alias("list"), "node", "n", "common")
-        roots = _hub_links(lists, sets, classes, roots, folder, similar)
-    named = (
+        roots = _hub_links(lists, sets, classes, roots, steps, similar)
+    named = settle(
         classes.select("node", "least_id")
         .join(roots, "node", "left")
-        .withColumn("root", F.coalesce("root", "node"))
+        .withColumn("root", F.coalesce("root", "node")),
+        folder, "named",
     )
+    delete_folder(spark, steps)
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_class = named.join(least, "root").select("node", "root", "component_id")
     return (
-        rows.drop("sketch")
-        .join(of_class, "node", "left")
+        rows.join(of_class, "node", "left")
         .select(
             "doc_id", "key", "n_shingles", "root",
             F.when(F.col("node").isNull(), F.col("doc_id"))
@@ -305,10 +317,16 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
     )
 
 
-def _sets(texts: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The full sets of ``nodes``, made from one text of each."""
+def _of_row() -> Column:
+    """Hash of what a row is found by again; ``doc_id`` may be of any integer type."""
+    return F.xxhash64("key", F.col("doc_id").cast("long"))
+
+
+def _sets(texts: DataFrame, classes: DataFrame, nodes: DataFrame, folder: str) -> DataFrame:
+    """The full sets of ``nodes``, made from one text of each; other texts do not move."""
     wanted = classes.join(nodes.select("node"), "node", "left_semi")
-    t, w = texts.alias("t"), wanted.select("row.doc_id", "row.key", "node").alias("w")
+    wanted = settle(wanted.select("row.doc_id", "row.key", "node"), folder, "wanted")
+    t, w = Sieve(wanted, _of_row()).passing(texts, _of_row()).alias("t"), wanted.alias("w")
     same = (F.col("t.key") == F.col("w.key")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
     return (
         t.join(w, same)
@@ -359,7 +377,7 @@ def _hub_links(lists, sets, classes, roots, folder, similar) -> DataFrame:
         hubs = hubs.where("lo != hi").select(
             "list", F.col("h.node").alias("hub"), F.col("h.root").alias("hub_root")
         )
-        met = save(
+        met = settle(
             at.join(hubs, "list")
             .where("node != hub")
             .select("hub", "node", "n", "common", (F.col("root") == F.col("hub_root")).alias("same"))
@@ -369,7 +387,7 @@ def _hub_links(lists, sets, classes, roots, folder, similar) -> DataFrame:
         if met.isEmpty():
             return roots
         of_hub = sets.select(F.col("node").alias("hub"), F.col("members").alias("members_h"))
-        found = save(
+        found = settle(
             met.join(sets, "node").join(of_hub, "hub").mapInArrow(
                 _differences(similar),
                 "hub binary, node binary, n bigint, common double, same boolean, linked boolean,"
@@ -377,7 +395,7 @@ def _hub_links(lists, sets, classes, roots, folder, similar) -> DataFrame:
             ),
             folder, "differences",
         )
-        postings = save(_by_differences(found, similar), folder, "postings")
+        postings = settle(_by_differences(found, similar), folder, "postings")
         a, b = postings.where("short").alias("a"), postings.where("short and stray").alias("b")
         # Places bound what two members share; each pair has a stray, two strays meet once.
         shared = F.least("a.behind", "b.behind")
@@ -391,7 +409,7 @@ def _hub_links(lists, sets, classes, roots, folder, similar) -> DataFrame:
         )
         apart = _estimated(_with_roots(pairs.distinct(), roots), classes, similar)
         close = found.where("linked and not same").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        links = save(close.unionByName(_confirmed(apart, sets, similar)), folder, "links")
+        links = settle(close.unionByName(_confirmed(apart, sets, similar)), folder, "links")
         if not links.isEmpty():
             roots = merged(roots, links, folder)
         lists = postings.where("not short").select("list", "node", "n", "common")
@@ -437,26 +455,38 @@ def _by_differences(found: DataFrame, similar: int) -> DataFrame:
 
 def keep_one(documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """One row of each component of ``near_duplicates``, that of the smallest doc_id, with all its columns. Texts
-    without words are linked with nothing and stay."""
-    folder = job_folder(documents.sparkSession, "near-copies")
-    found = near_duplicates(documents, similar).groupBy("root", "doc_id", "key")
-    found = found.agg(F.count("*").alias("n"))
+    without words are linked with nothing and stay.
+
+    Only rows that may have to go, or to be one of several alike, move to the keys they
+    are compared with; the others are handed on where they are read.
+    """
+    spark = documents.sparkSession
+    folder, pairs = job_folder(spark, "near-copies"), job_folder(spark, "minhash")
+    found = _near_duplicates(documents, similar, pairs).groupBy("root", "doc_id", "key")
+    found = settle(found.agg(F.count("*").alias("n")), folder, "found")
+    delete_folder(spark, pairs)
     stays = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "n")).alias("s")
-    best = save(
-        found.where("root is not null").groupBy("root").agg(stays).select("s.doc_id", "s.key", "s.n"),
+    best = settle(
+        found.where("root is not null").groupBy("root").agg(stays).select("root", "s.doc_id", "s.key", "s.n"),
         folder, "stay",
     )
-    empty = found.where("root is null").select("doc_id", "key", "n")
-    d = documents.select(
-        F.xxhash64("text").alias("key"), "doc_id", F.struct("*").alias("row")
-    ).alias("d")
+    f, b = found.alias("f"), best.where("n = 1").alias("b")
+    alone = (F.col("f.root") == F.col("b.root")) & (F.col("f.key") == F.col("b.key")) & F.col(
+        "f.doc_id"
+    ).eqNullSafe(F.col("b.doc_id"))
+    doubtful = f.where("f.root is not null").join(b, alone, "left_anti")
+    sieve = Sieve(settle(doubtful.select("doc_id", "key"), folder, "doubtful"), _of_row())
+    empty = found.where("root is null").select("doc_id", "key")
+    d = documents.select(F.xxhash64("text").alias("key"), "doc_id", F.struct("*").alias("row"))
+    moved = sieve.passing(d, _of_row()).alias("d")
 
     def rows_of(keys: DataFrame) -> DataFrame:
         same = (F.col("d.key") == F.col("k.key")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
-        return d.join(keys.alias("k"), same, "left_semi")
+        return moved.join(sieve.passing(keys, _of_row()).alias("k"), same, "left_semi")
 
-    kept = rows_of(best.where("n = 1").unionByName(empty))
-    again = best.where("n > 1")
+    kept = sieve.stopped(d, _of_row())
+    kept = kept.unionByName(rows_of(best.where("n = 1").select("doc_id", "key").unionByName(empty)))
+    again = best.where("n > 1").select("doc_id", "key")
     if not again.isEmpty():
         kept = kept.unionByName(rows_of(again).dropDuplicates(["doc_id", "key"]))
     return kept.select("row.*")
