@@ -50,7 +50,7 @@ from gleanery.llm.wordhash import (
     word_hashes,
     word_spans,
 )
-from gleanery.session import delete_folder
+from gleanery.session import delete_folder, empty
 
 SHINGLE = 5
 SIMILAR = 85
@@ -290,7 +290,8 @@ def _near_duplicates(documents: DataFrame, similar: int, folder: str) -> DataFra
     if long is not None:
         involved = involved.union(long.select("node"))
     sets = settle(_sets(texts, classes, involved.distinct(), steps), steps, "sets")
-    roots = spark.createDataFrame([], "node binary, root binary")
+    # Rows from Python, even none, would start workers of their own, which stay.
+    roots = empty(spark, classes.select("node", F.col("node").alias("root")).schema)
     links = settle(_confirmed(pairs, sets, similar), steps, "links")
     if not links.isEmpty():
         roots = merged(roots, links, steps)
@@ -317,9 +318,9 @@ def _near_duplicates(documents: DataFrame, similar: int, folder: str) -> DataFra
     )
 
 
-def _of_row() -> Column:
+def _of_row(key: Column | str = "key") -> Column:
     """Hash of what a row is found by again; ``doc_id`` may be of any integer type."""
-    return F.xxhash64("key", F.col("doc_id").cast("long"))
+    return F.xxhash64(key, F.col("doc_id").cast("long"))
 
 
 def _sets(texts: DataFrame, classes: DataFrame, nodes: DataFrame, folder: str) -> DataFrame:
@@ -476,7 +477,7 @@ def keep_one(documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
     ).eqNullSafe(F.col("b.doc_id"))
     doubtful = f.where("f.root is not null").join(b, alone, "left_anti")
     sieve = Sieve(settle(doubtful.select("doc_id", "key"), folder, "doubtful"), _of_row())
-    empty = found.where("root is null").select("doc_id", "key")
+    wordless = found.where("root is null").select("doc_id", "key")
     d = documents.select(F.xxhash64("text").alias("key"), "doc_id", F.struct("*").alias("row"))
     moved = sieve.passing(d, _of_row()).alias("d")
 
@@ -484,12 +485,12 @@ def keep_one(documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
         same = (F.col("d.key") == F.col("k.key")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
         return moved.join(sieve.passing(keys, _of_row()).alias("k"), same, "left_semi")
 
-    kept = sieve.stopped(d, _of_row())
-    kept = kept.unionByName(rows_of(best.where("n = 1").select("doc_id", "key").unionByName(empty)))
+    kept = rows_of(best.where("n = 1").select("doc_id", "key").unionByName(wordless))
     again = best.where("n > 1").select("doc_id", "key")
     if not again.isEmpty():
         kept = kept.unionByName(rows_of(again).dropDuplicates(["doc_id", "key"]))
-    return kept.select("row.*")
+    # Nothing is added to the rows that surely stay: they are written as they are read.
+    return sieve.stopped(documents, _of_row(F.xxhash64("text"))).union(kept.select("row.*"))
 
 
 def op10_minhash_dedup(documents: DataFrame) -> DataFrame:

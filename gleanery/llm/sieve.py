@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import sweeping
+from gleanery.llm.common import sweeping, unused_name
 
 #: Bits of a filter at most (16 MB), and for each key in it.
 MOST_BITS = 1 << 27
@@ -34,24 +34,26 @@ class Sieve:
         values = np.zeros(self.bits // 64, np.int64)
         values[found.column("word").to_numpy()] = found.column("mask").to_numpy()
         row = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
-        self.row = keys.sparkSession.createDataFrame(pa.table({"sieve_words": row}))
+        self.row = keys.sparkSession.createDataFrame(pa.table({"words": row}))
 
     def _slots(self, hashed: Column) -> list[Column]:
         return [h.bitwiseAND(self.bits - 1) for h in (hashed, F.xxhash64(hashed))]
 
-    def _has(self, hashed: Column) -> Column:
-        first, second = (
-            F.getbit(F.get("sieve_words", _word(s)), _place(s)) == 1 for s in self._slots(hashed)
-        )
-        return first & second
-
     def passing(self, rows: DataFrame, hashed: Column) -> DataFrame:
         """Rows whose key is in the filter, and a few others."""
-        return rows.join(F.broadcast(self.row), self._has(hashed), "left_semi")
+        return self._split(rows, hashed, "left_semi")
 
     def stopped(self, rows: DataFrame, hashed: Column) -> DataFrame:
         """The rows that do not pass; none of their keys is in the filter."""
-        return rows.join(F.broadcast(self.row), self._has(hashed), "left_anti")
+        return self._split(rows, hashed, "left_anti")
+
+    def _split(self, rows: DataFrame, hashed: Column, how: str) -> DataFrame:
+        name = unused_name("words", rows.columns)
+        first, second = (
+            F.getbit(F.get(name, _word(s)), _place(s)) == 1 for s in self._slots(hashed)
+        )
+        words = F.broadcast(self.row.withColumnRenamed("words", name))
+        return rows.join(words, first & second, how)
 
 
 def _word(slot: Column) -> Column:
